@@ -52,6 +52,14 @@ def broadcast_if_small(df: DataFrame, at_most: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(at_most + 1).count() <= at_most else df
 
 
+def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row frame as literals: totals need no join."""
+    row = one_row.first()
+    return df.select(
+        "*", *(F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in one_row.schema.fields)
+    )
+
+
 def row_index_within(
     df: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str = "position", start: int = 0
 ) -> DataFrame:
@@ -110,7 +118,7 @@ def exact_quantiles(
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_totals(counted, [value], {"_upto": "_n"}, by)
     sizes = ranked.groupBy(*by).agg(F.max("_upto").alias("_size"))
-    ranked = ranked.join(sizes, list(by)) if by else ranked.join(F.broadcast(sizes))
+    ranked = ranked.join(broadcast_if_small(sizes), list(by)) if by else with_constants(ranked, sizes)
     last = F.col("_size") - 1
     parts = []
     for name, p in probabilities.items():
