@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.functions.rules import APPROVE, BLOCK, KINDS, REVIEW, was_escalated
+from riskloom.functions.rules import BLOCK, KINDS, REVIEW, was_escalated
 from riskloom.functions.scalars import steps_below
 from riskloom.operators.velocity import flatten
 
@@ -284,7 +284,3 @@ def busiest_cards(decisions: DataFrame, limit: int = 10) -> DataFrame:
 def card_history(decisions: DataFrame, card_id: str) -> DataFrame:
     own = decisions.where(F.col("card_id") == card_id)
     return own.withColumn("rules", fired_rules()).orderBy(F.desc("scored_at"), "transaction_id")
-
-
-def approvals(decisions: DataFrame) -> DataFrame:
-    return decisions.where(F.col("decision") == APPROVE)

@@ -17,7 +17,6 @@ from riskloom.functions.scalars import steps_at_or_below
 from riskloom.operators.ranking import (
     broadcast_if_small,
     exact_quantiles,
-    row_index,
     row_index_within,
     running_totals,
     with_constants,
@@ -195,16 +194,14 @@ class Cut:
         return (F.col(score) > self.score) | tied
 
 
-def budget_cuts(df: DataFrame, score: str, row_id: str, budgets: Sequence[float]) -> tuple[int, list[Cut]]:
-    """Where the top `budget` share of rows ends, ties taken in `row_id` order.
+def top_cuts(df: DataFrame, score: str, row_id: str, wanted: Sequence[int]) -> list[Cut]:
+    """Where the `k` highest scores end, ties taken in `row_id` order, for each wanted k.
 
-    The number of alerts rounds half to even. Only one row per budget comes back
-    to the driver; a tie group that is cut through is ranked across the cluster.
+    Only one row per k comes back to the driver; a tie group that is cut through
+    is ranked across the cluster, as it may be a large part of the table.
     """
     counted = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.count(F.lit(1)).alias("n"))
     ranked = running_totals(counted, [F.desc("score")], {"upto": "n"})
-    size = ranked.agg(F.max("upto")).first()[0] or 0
-    wanted = [int(round(b * size)) for b in budgets]
     ends = ranked.agg(
         *(
             F.max(
@@ -213,10 +210,9 @@ def budget_cuts(df: DataFrame, score: str, row_id: str, budgets: Sequence[float]
             for i, k in enumerate(wanted)
         )
     ).first()
+    place_in_tie = lambda k, end: k - (end["upto"] - end["n"])
     partial = {
-        (end["score"], k - (end["upto"] - end["n"]))
-        for k, end in zip(wanted, ends)
-        if end is not None and k < end["upto"]
+        (end["score"], place_in_tie(k, end)) for k, end in zip(wanted, ends) if end is not None and k < end["upto"]
     }
     last = {}
     if partial:
@@ -227,20 +223,23 @@ def budget_cuts(df: DataFrame, score: str, row_id: str, budgets: Sequence[float]
         placed = row_index_within(tied, ["score"], ["_id"], "place", start=1)
         found = placed.join(F.broadcast(needed), ["score", "place"]).collect()
         last = {(row["score"], row["place"]): row["_id"] for row in found}
-    cuts = []
-    for k, end in zip(wanted, ends):
-        if k == 0 or end is None:
-            cuts.append(Cut(0, None, None))
-        else:
-            cuts.append(Cut(k, end["score"], last.get((end["score"], k - (end["upto"] - end["n"])))))
-    return size, cuts
+    return [
+        Cut(0, None, None) if end is None else Cut(k, end["score"], last.get((end["score"], place_in_tie(k, end))))
+        for k, end in zip(wanted, ends)
+    ]
+
+
+def budget_cuts(df: DataFrame, score: str, row_id: str, budgets: Sequence[float]) -> list[Cut]:
+    """`top_cuts` for shares of the table; the number of alerts rounds half to even."""
+    size = df.count()
+    return top_cuts(df, score, row_id, [int(round(b * size)) for b in budgets])
 
 
 def budget_table(
     df: DataFrame, score: str, label: str, row_id: str, budgets: Sequence[float] = DEFAULT_BUDGETS
 ) -> DataFrame:
     """Precision and recall when only the top share of rows is alerted, one scan for all budgets."""
-    _, cuts = budget_cuts(df, score, row_id, budgets)
+    cuts = budget_cuts(df, score, row_id, budgets)
     fraud = F.col(label) == 1
     caught = [
         F.struct(
@@ -264,8 +263,8 @@ def budget_table(
 
 def overlap(df: DataFrame, first: str, second: str, label: str, row_id: str, budget: float) -> DataFrame:
     """Frauds caught by both, one or neither of two rankings at the same budget."""
-    a = budget_cuts(df, first, row_id, [budget])[1][0].flags(first, row_id)
-    b = budget_cuts(df, second, row_id, [budget])[1][0].flags(second, row_id)
+    a = budget_cuts(df, first, row_id, [budget])[0].flags(first, row_id)
+    b = budget_cuts(df, second, row_id, [budget])[0].flags(second, row_id)
     fraud = F.col(label) == 1
     return df.agg(
         F.count_if(fraud & a & b).alias("both"),
@@ -287,7 +286,7 @@ def amount_profile(df: DataFrame, amount: str, groups: Mapping[str, Column]) ->
 
 def false_alarms(df: DataFrame, score: str, label: str, amount: str, row_id: str, budget: float) -> DataFrame:
     """Amounts of all normal rows against those a ranking would alert on."""
-    flagged = budget_cuts(df, score, row_id, [budget])[1][0].flags(score, row_id)
+    flagged = budget_cuts(df, score, row_id, [budget])[0].flags(score, row_id)
     normal = F.col(label) == 0
     return amount_profile(df, amount, {"all normal": normal, "false alarms": normal & flagged})
 
@@ -463,8 +462,3 @@ def side_by_side(left: DataFrame, right: DataFrame, key: str, names: tuple[str,
         for df, name in zip((left, right), names)
     ]
     return renamed[0].join(renamed[1], key)
-
-
-def ordered(df: DataFrame, *order: str) -> DataFrame:
-    """Positions for callers that need input order as a tie-break."""
-    return row_index(df, list(order), "row_order")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.rules import Rule, Thresholds, decide, escalate, reasons, velocity_rules
 from riskloom.operators import velocity as vel
-from riskloom.operators.ranking import row_index
 
 # Columns of a scoring result, in order.
 RESULT_COLUMNS = (
@@ -136,8 +135,3 @@ def rule_what_if(measured: DataFrame, model_decision: Column, settings: Sequence
     ]
     row = base.agg(F.array(*shares).alias("all"))
     return row.select(F.inline("all")).withColumn("share", F.col("escalated") / F.col("transactions"))
-
-
-def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Input order as a column, for callers who need results lined up with it."""
-    return row_index(df, order, "input_order")
