@@ -7,6 +7,9 @@ rejected value.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,7 @@ FIELDS = ("transaction_id", *RAW_FEATURES, *ENTITIES)
 
 _DECIMAL = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 _SPECIAL = r"(?i)^\s*[+-]?(nan|inf|infinity)\s*$"
+_SUFFIXED = r':\s*"\s*[+-]?[\d.]+([eE][+-]?\d+)?[dDfF]\s*"'
 _BARE_SPECIAL = r"([:\[,]\s*)(-?(?:NaN|Infinity))(\s*[,}\]])"
 
 
@@ -64,26 +68,59 @@ def _parsed(text: Column) -> Column:
     return F.coalesce(whole(text), whole(F.regexp_replace(quoted, _BARE_SPECIAL, '$1"$2"$3')))
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def _members(got: Column, names: Sequence[str]) -> Column:
+    """Array of (name, raw, kind, text) per field, null raw when absent. Stepwise, so that the
+    plan holds one small lambda per step however many fields there are."""
+    found = F.transform(F.array(*(F.lit(n) for n in names)), lambda n: F.struct(n.alias("name"), F.try_element_at(got, n).alias("raw")))
+    return F.transform(
+        found,
+        lambda f: F.struct(
+            f["name"].alias("name"),
+            f["raw"].alias("raw"),
+            F.schema_of_variant(f["raw"]).alias("kind"),
+            F.try_variant_get(f["raw"], "$", "string").alias("text"),
+        ),
+    )
+
 
+def _numbers(members: Column) -> Column:
+    """Array of (name, absent, kind, number): numeric text counts as a number."""
+
+    def number(f: Column) -> Column:
+        text = f["text"]
+        from_text = F.when(text.rlike(_DECIMAL), F.trim(text).try_cast("double")).when(
+            text.rlike(_SPECIAL), F.when(F.lower(text).contains("nan"), float("nan")).otherwise(float("inf"))
+        )
+        return F.when(f["kind"] == "STRING", from_text).otherwise(F.try_variant_get(f["raw"], "$", "double"))
 
-def _number(value: Column, kind: Column) -> Column:
-    text = F.try_variant_get(value, "$", "string")
-    special = F.when(text.contains("n") & text.contains("a"), float("nan")).otherwise(float("inf"))
-    from_text = F.when(text.rlike(_DECIMAL), F.trim(text).try_cast("double")).when(text.rlike(_SPECIAL), special)
-    return F.when(kind == "STRING", from_text).otherwise(F.try_variant_get(value, "$", "double"))
+    return F.transform(
+        members,
+        lambda f: F.struct(
+            f["name"].alias("name"), f["raw"].isNull().alias("absent"), f["kind"].alias("kind"), number(f).alias("number")
+        ),
+    )
 
 
-def _number_problem(name: str, value: Column, kind: Column, number: Column) -> Column:
-    said = lambda reason: F.lit(f"{name}: {reason}")
-    problem = (
-        F.when(value.isNull(), said(REQUIRED))
-        .when((kind == "STRING") & number.isNull(), said(NOT_PARSED))
-        .when(number.isNull(), said(NOT_A_NUMBER))
+def _number_problem(f: Column) -> Column:
+    said = lambda reason: F.concat(f["name"], F.lit(f": {reason}"))
+    number = f["number"]
+    return (
+        F.when(f["absent"], said(REQUIRED))
+        .when(number.isNull(), F.when(f["kind"] == "STRING", said(NOT_PARSED)).otherwise(said(NOT_A_NUMBER)))
         .when(F.isnan(number) | (F.abs(number) == float("inf")), said(NOT_FINITE))
+        .when(f["name"].isin(*NON_NEGATIVE) & (number < 0), said(NEGATIVE))
     )
-    return problem.when(number < 0, said(NEGATIVE)) if name in NON_NEGATIVE else problem
+
+
+def _held(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once and then only read.
+
+    A plain projection would be inlined again by every later reference and by
+    every filter pushed below it, and these expressions feed many others. The
+    one-row generator above the projection is where the optimizer stops doing that.
+    """
+    computed = df.withColumns(columns)
+    return computed.select(*df.columns, F.inline(F.array(F.struct(*columns))))
 
 
 def decode(messages: DataFrame, require_id: bool = True) -> DataFrame:
@@ -92,63 +129,80 @@ def decode(messages: DataFrame, require_id: bool = True) -> DataFrame:
     Input: `key` and `value` as bytes. `require_id=False` is the batch path, where
     an omitted id is generated before the first write.
     """
-    text = F.col("value").cast("string")
-    readable = F.is_valid_utf8(text)
-    step = messages.withColumn("_doc", F.when(readable & (F.length("value") <= MAX_MESSAGE_BYTES), _parsed(text)))
-    step = step.withColumn(
-        "_doc",
-        F.when(F.try_variant_get("_doc", "$[1]", "variant").isNull(), F.try_variant_get("_doc", "$[0]", "variant")),
+    kept = list(messages.columns)
+    text, size = F.col("value").cast("string"), F.length("value")
+    parsed = F.when(F.is_valid_utf8(text) & (size <= MAX_MESSAGE_BYTES), _parsed(text))
+    step = _held(messages, _all=parsed)
+    only = F.try_variant_get("_all", "$[1]", "variant").isNull()
+    step = _held(step, _doc=F.when(only, F.try_variant_get("_all", "$[0]", "variant")))
+    is_object = F.coalesce(F.schema_of_variant("_doc").startswith("OBJECT"), F.lit(False))
+    names = ("transaction_id", *ENTITIES)
+    step = _held(
+        step,
+        _got=F.when(is_object, F.try_variant_get("_doc", "$", "map<string,variant>")),
+        _value=F.struct(*(F.try_variant_get("_doc", f"$.{n}", "double").alias(n) for n in RAW_FEATURES)),
+        _kind=F.struct(*(F.schema_of_variant(F.try_variant_get("_doc", f"$.{n}", "variant")).alias(n) for n in names)),
+        _text=F.struct(*(F.try_variant_get("_doc", f"$.{n}", "string").alias(n) for n in names)),
     )
-    is_object = F.coalesce(_kind(F.col("_doc")).startswith("OBJECT"), F.lit(False))
-    step = step.withColumn("_got", F.when(is_object, F.try_variant_get("_doc", "$", "map<string,variant>")))
-    member = lambda name: F.try_element_at("_got", F.lit(name))
-    step = step.select(
-        *messages.columns, "_doc", "_got", F.struct(*(member(n).alias(n) for n in FIELDS)).alias("_raw"),
-        F.struct(*(_kind(member(n)).alias(n) for n in FIELDS)).alias("_kind"),
-    )
-    as_text = lambda n: F.when(F.col(f"_kind.{n}") == "STRING", F.try_variant_get(f"_raw.{n}", "$", "string"))
-    numbers = [_number(F.col(f"_raw.{n}"), F.col(f"_kind.{n}")).alias(n) for n in RAW_FEATURES]
-    texts = [as_text(n).alias(n) for n in ("transaction_id", *ENTITIES)]
-    step = step.select(*messages.columns, "_doc", "_got", "_raw", "_kind", F.struct(*numbers, *texts).alias("_v"))
 
-    ident, ident_kind = F.col("_v.transaction_id"), F.col("_kind.transaction_id")
-    problems = [
+    # Nearly every message is fine, and a few comparisons show it. Only the others
+    # are taken apart field by field to say what is wrong.
+    infinite = F.lit(float("inf"))
+    sound = [F.abs(F.col(f"_value.{n}")) < infinite for n in RAW_FEATURES]
+    sound += [F.col(f"_value.{n}") >= 0 for n in NON_NEGATIVE]
+    ident, ident_kind = F.col("_text.transaction_id"), F.col("_kind.transaction_id")
+    sound.append((ident_kind == "STRING") & F.length(ident).between(1, MAX_ID_LENGTH))
+    for name, pattern in ENTITIES.items():
+        kind = F.col(f"_kind.{name}")
+        sound.append(kind.isNull() | (kind == "VOID") | ((kind == "STRING") & matches(F.col(f"_text.{name}"), pattern)))
+    unknown = F.array_except(F.map_keys("_got"), F.array(*(F.lit(n) for n in FIELDS)))
+    sound.append(F.size(unknown) == 0)
+    sound.append(~text.rlike(_SUFFIXED))
+    step = _held(step, _fine=F.coalesce(reduce(lambda a, b: a & b, sound), F.lit(False)))
+    taken_apart = F.when(~F.col("_fine"), F.transform(_numbers(_members(F.col("_got"), RAW_FEATURES)), _number_problem))
+
+    said = lambda name, reason: F.lit(f"{name}: {reason}")
+    opening = F.when(
+        ident_kind.isNotNull(),
+        F.when(ident_kind != "STRING", said("transaction_id", NOT_A_STRING))
+        .when(F.length(ident) < 1, said("transaction_id", TOO_SHORT))
+        .when(F.length(ident) > MAX_ID_LENGTH, said("transaction_id", TOO_MANY)),
+    )
+    closing = [
         F.when(
-            F.col("_raw.transaction_id").isNotNull(),
-            F.when(ident_kind != "STRING", F.lit(f"transaction_id: {NOT_A_STRING}"))
-            .when(F.length(ident) < 1, F.lit(f"transaction_id: {TOO_SHORT}"))
-            .when(F.length(ident) > MAX_ID_LENGTH, F.lit(f"transaction_id: {TOO_MANY}")),
+            F.col(f"_kind.{name}") != "VOID",
+            F.when(F.col(f"_kind.{name}") != "STRING", said(name, NOT_A_STRING)).when(
+                ~matches(F.col(f"_text.{name}"), pattern), said(name, NO_MATCH.format(pattern))
+            ),
         )
+        for name, pattern in ENTITIES.items()
     ]
-    problems += [
-        _number_problem(n, F.col(f"_raw.{n}"), F.col(f"_kind.{n}"), F.col(f"_v.{n}")) for n in RAW_FEATURES
-    ]
-    for name, pattern in ENTITIES.items():
-        kind, value = F.col(f"_kind.{name}"), F.col(f"_v.{name}")
-        problems.append(
-            F.when(
-                kind.isNotNull() & (kind != "VOID"),
-                F.when(kind != "STRING", F.lit(f"{name}: {NOT_A_STRING}")).when(
-                    ~matches(value, pattern), F.lit(f"{name}: {NO_MATCH.format(pattern)}")
-                ),
-            )
-        )
-    unknown = F.array_except(F.map_keys("_got"), F.array(*(F.lit(n) for n in FIELDS)))
     extras = F.transform(unknown, lambda name: F.concat(name, F.lit(f": {EXTRA}")))
-    listed = F.array_join(F.concat(F.array_compact(F.array(*problems)), extras), "; ")
-    size = F.length("value")
+    listed = F.array_join(F.concat(F.array(opening), taken_apart, F.array(*closing), extras), "; ")
+    step = _held(
+        step,
+        _listed=F.when(~F.col("_fine"), listed),
+        _id=F.when(ident_kind == "STRING", ident),
+    )
+    before, after = TOO_LONG.split("{}")
     refused = (
         F.when(F.col("value").isNull() | (size == 0), F.lit(EMPTY))
-        .when(size > MAX_MESSAGE_BYTES, F.concat(F.lit(TOO_LONG.split("{}")[0]), size, F.lit(TOO_LONG.split("{}")[1])))
+        .when(size > MAX_MESSAGE_BYTES, F.concat(F.lit(before), size, F.lit(after)))
         .when(F.col("_doc").isNull(), F.lit(NOT_JSON))
         .when(F.col("_got").isNull(), F.lit(NOT_AN_OBJECT))
-        .when(listed != "", listed)
+        .when(F.col("_listed") != "", F.col("_listed"))
     )
     if require_id:
-        refused = refused.when(ident.isNull(), F.lit(NO_ID))
-    wrong_key = F.col("key").isNotNull() & ident.isNotNull() & (F.col("key") != ident.cast("binary"))
+        refused = refused.when(F.col("_id").isNull(), F.lit(NO_ID))
+    wrong_key = F.col("key").isNotNull() & F.col("_id").isNotNull() & (F.col("key") != F.col("_id").cast("binary"))
     refused = refused.when(wrong_key, F.lit(OTHER_KEY))
-    return step.select(*messages.columns, "_v.*", refused.alias("problem"))
+    return _held(step, problem=refused).select(
+        *kept,
+        F.col("_id").alias("transaction_id"),
+        *(F.col(f"_value.{name}").alias(name) for name in RAW_FEATURES),
+        *(F.when(F.col(f"_kind.{name}") == "STRING", F.col(f"_text.{name}")).alias(name) for name in ENTITIES),
+        "problem",
+    )
 
 
 def with_generated_ids(valid: DataFrame) -> DataFrame:
