@@ -21,7 +21,7 @@ def full_transactions(spark, sf_dir):
     """Every contract field: 28 numbers follow from the event id."""
     tx = transactions(spark, sf_dir)
     made = {f"V{i}": (F.pmod(F.col("event_id") * i, F.lit(97)) / 10 - 4).cast("double") for i in range(1, 29)}
-    return tx.withColumns({**made, "country": F.lit("GB"), "merchant": F.lit("fuel-stop")})
+    return tx.withColumns({**made, "country": F.upper(F.substring("country", 1, 2)), "merchant": F.lit("fuel-stop")})
 
 
 def messages(spark, sf_dir, broken=True):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,18 +33,29 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, reachable by every executor.
 
-    The folder comes from the session's `spark.checkpoint.dir`. Only where the
-    cluster names none (a local test run) does a scratch folder stand in.
+    It comes from the session's `spark.checkpoint.dir`. Only where the cluster
+    names none (a local test run) does a scratch folder stand in.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             shared = tempfile.mkdtemp(prefix="riskloom-checkpoint-")
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def run_folder(spark: SparkSession, purpose: str) -> str:
+    """A new, not yet existing folder under the shared one."""
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared checkpoint folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
