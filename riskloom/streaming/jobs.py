@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -171,13 +172,30 @@ def record_batch(batch: DataFrame, batch_id: int, job: ScoringJob, record: Batch
         rows.unpersist()
 
 
+@contextmanager
+def _setting(spark: SparkSession, values: dict[str, str]):
+    """Session settings a query copies when it starts, put back afterwards."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def start_scoring(
     spark: SparkSession, clean_path: str, job: ScoringJob, record: BatchWriter, checkpoint: str,
     stats_path: str | None = None, files_per_batch: int | None = None, **trigger,
 ) -> StreamingQuery:
     """The second query, over the clean rows of the first."""
-    if job.windows is not None:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    trigger = trigger or {"availableNow": True}
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    if trigger.get("availableNow"):
+        # Idle cards expire in batches without data, which a live query runs; a query
+        # that should end once the input is used up would go on with them for ever.
+        settings["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
     reader = spark.readStream.schema(CLEAN_SCHEMA)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -187,12 +205,13 @@ def start_scoring(
     def run(batch: DataFrame, batch_id: int) -> None:
         record_batch(batch, batch_id, job, record, stats_path)
 
-    return (
-        measured.writeStream.foreachBatch(run)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    with _setting(spark, settings):
+        return (
+            measured.writeStream.foreachBatch(run)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**trigger)
+            .start()
+        )
 
 
 def positions_from_progress(spark: SparkSession, progress: dict) -> DataFrame:

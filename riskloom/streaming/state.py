@@ -8,42 +8,37 @@ it disappears after an idle retention period.
 from __future__ import annotations
 
 import bisect
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from riskloom.operators.velocity import FEATURES, MICROS, VelocityWindows, nest, without_velocity
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-EVENT_SCHEMA = T.StructType(
-    [
-        T.StructField("us", T.LongType()),
-        T.StructField("transaction_id", T.StringType()),
-        T.StructField("cents", T.LongType()),
-        T.StructField("country", T.StringType()),
-    ]
-)
+# The kept events as JSON rows of (arrival, id, cents, country): at most `keep` of them.
+STATE_SCHEMA = "kept string"
 FLAT = [f"velocity_{name}" for name in FEATURES]
 
 
-class CardActivity(StatefulProcessor):
+class CardActivity:
     """Measures each event of a card against the events kept so far, then keeps it too."""
 
     def __init__(self, windows: VelocityWindows, columns: list[str]):
         self.windows = windows
         self.columns = columns
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", EVENT_SCHEMA, int(self.windows.long * 1000))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         # One card's share of one micro-batch, which the source's per-batch limit bounds.
         batch = pd.concat(list(rows)).sort_values(["arrival_us", "sequence", "transaction_id"], kind="stable")
-        kept = sorted(tuple(event) for event in self.kept.get())
+        kept = [tuple(event) for event in json.loads(state.get[0])] if state.exists else []
         measured = []
         for us, ident, amount, country in zip(
             batch["arrival_us"], batch["transaction_id"], batch["Amount"], batch["country"]
@@ -51,8 +46,10 @@ class CardActivity(StatefulProcessor):
             event = (int(us), ident, int(round(float(amount) * 100)), country or "")
             kept = self._add(kept, event)
             measured.append(self._features(kept, event))
-        self.kept.put(kept)
+        state.update((json.dumps(kept),))
+        state.setTimeoutDuration(int(self.windows.long * 1000))
         features = pd.DataFrame(measured, columns=FLAT, index=batch.index)
+        features[FLAT[5]] = features[FLAT[5]].astype("float64")
         yield pd.concat([batch[self.columns], features], axis=1)
 
     def _add(self, kept: list[tuple], event: tuple) -> list[tuple]:
@@ -77,9 +74,6 @@ class CardActivity(StatefulProcessor):
             gap,
         )
 
-    def close(self) -> None:
-        pass
-
 
 def live_velocity(events: DataFrame, windows: VelocityWindows = VelocityWindows()) -> DataFrame:
     """Adds `velocity` to a stream of checked transactions.
@@ -100,11 +94,8 @@ def live_velocity(events: DataFrame, windows: VelocityWindows = VelocityWindows(
     measured = (
         events.where(F.col("card_id").isNotNull())
         .groupBy("card_id")
-        .transformWithStateInPandas(
-            statefulProcessor=CardActivity(windows, columns),
-            outputStructType=output,
-            outputMode="Append",
-            timeMode="ProcessingTime",
+        .applyInPandasWithState(
+            CardActivity(windows, columns), output, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout
         )
     )
     return nest(measured).unionByName(without_velocity(events.where(F.col("card_id").isNull())))
