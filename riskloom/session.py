@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once, for jobs with Python functions.
+
+    Not needed where it is installed on the cluster; harmless there.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_riskloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="riskloom-package-")) / "riskloom.zip"
+    with zipfile.ZipFile(archive, "w") as bundle:
+        for file in sorted(root.rglob("*.py")):
+            bundle.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))  # read on the driver, handed out by Spark
+    context._riskloom_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints, reachable by every executor.
 

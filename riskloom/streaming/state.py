@@ -64,7 +64,8 @@ class CardActivity:
         now = event[0]
         since = lambda seconds: sum(1 for e in kept if e[0] >= now - seconds * MICROS)
         others = [e[0] for e in kept if e[1:] != event[1:]]
-        gap = round((now - max(others)) / MICROS, 3) if others else None
+        # Milliseconds rounded half up on whole microseconds, as the batch operator does.
+        gap = (now - max(others) + 500) // 1000 / 1000 if others else None
         return (
             since(self.windows.short),
             since(self.windows.middle),
