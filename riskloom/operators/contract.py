@@ -44,9 +44,15 @@ FIELDS = ("transaction_id", *RAW_FEATURES, *ENTITIES)
 
 _DECIMAL = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 _SPECIAL = r"(?i)^\s*[+-]?(nan|inf|infinity)\s*$"
-_SUFFIXED = r':\s*"\s*[+-]?[\d.]+([eE][+-]?\d+)?[dDfF]\s*"'
 _BARE_SPECIAL = r"([:\[,]\s*)(-?(?:NaN|Infinity))(\s*[,}\]])"
 
+# One message in brackets: numbers strictly numeric, texts as variants to keep their JSON type.
+_TYPED = (
+    "array<struct<"
+    + ", ".join([*(f"{n}: double" for n in RAW_FEATURES), *(f"{n}: variant" for n in ("transaction_id", *ENTITIES))])
+    + ">>"
+)
+
 
 def matches(value: Column, pattern: str) -> Column:
     """A whole-string match; `$` alone would let a closing line break through."""
@@ -131,35 +137,39 @@ def decode(messages: DataFrame, require_id: bool = True) -> DataFrame:
     """
     kept = list(messages.columns)
     text, size = F.col("value").cast("string"), F.length("value")
-    parsed = F.when(F.is_valid_utf8(text) & (size <= MAX_MESSAGE_BYTES), _parsed(text))
-    step = _held(messages, _all=parsed)
+    names = ("transaction_id", *ENTITIES)
+    readable = F.is_valid_utf8(text) & (size <= MAX_MESSAGE_BYTES)
+    wrapped = F.concat(F.lit("["), text, F.lit("]"))
+
+    # Nearly every message is fine. One typed parse and a few comparisons show it;
+    # only the others are taken apart as variants to say what is wrong.
+    typed = F.from_json(F.when(readable, wrapped), _TYPED, {"allowSingleQuotes": "false"})
+    step = _held(messages, _typed=typed, _keys=F.when(readable, F.json_object_keys(text)))
+    step = _held(step, _quick=F.when(F.size("_typed") == 1, F.get("_typed", F.lit(0))))
+    quick = lambda n: F.col(f"_quick.{n}")
+    as_text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    absent = lambda v: v.isNull() | F.is_variant_null(v)
+    sound = [F.abs(quick(n)) < F.lit(float("inf")) for n in RAW_FEATURES]
+    sound += [quick(n) >= 0 for n in NON_NEGATIVE]
+    sound.append(F.length(as_text(quick("transaction_id"))).between(1, MAX_ID_LENGTH))
+    sound += [absent(quick(n)) | matches(as_text(quick(n)), pattern) for n, pattern in ENTITIES.items()]
+    known = F.array(*(F.lit(n) for n in FIELDS))
+    sound.append(F.size(F.array_except("_keys", known)) == 0)
+    step = _held(step, _fine=F.coalesce(reduce(lambda a, b: a & b, sound), F.lit(False)))
+
+    step = _held(step, _all=F.when(~F.col("_fine") & readable, _parsed(text)))
     only = F.try_variant_get("_all", "$[1]", "variant").isNull()
     step = _held(step, _doc=F.when(only, F.try_variant_get("_all", "$[0]", "variant")))
     is_object = F.coalesce(F.schema_of_variant("_doc").startswith("OBJECT"), F.lit(False))
-    names = ("transaction_id", *ENTITIES)
+    step = _held(step, _got=F.when(is_object, F.try_variant_get("_doc", "$", "map<string,variant>")))
+    apart = lambda array: F.when(F.col("_got").isNotNull(), array)
     step = _held(
         step,
-        _got=F.when(is_object, F.try_variant_get("_doc", "$", "map<string,variant>")),
-        _value=F.struct(*(F.try_variant_get("_doc", f"$.{n}", "double").alias(n) for n in RAW_FEATURES)),
-        _kind=F.struct(*(F.schema_of_variant(F.try_variant_get("_doc", f"$.{n}", "variant")).alias(n) for n in names)),
-        _text=F.struct(*(F.try_variant_get("_doc", f"$.{n}", "string").alias(n) for n in names)),
+        _numbers=apart(_numbers(_members(F.col("_got"), RAW_FEATURES))),
+        _texts=apart(_members(F.col("_got"), names)),
     )
-
-    # Nearly every message is fine, and a few comparisons show it. Only the others
-    # are taken apart field by field to say what is wrong.
-    infinite = F.lit(float("inf"))
-    sound = [F.abs(F.col(f"_value.{n}")) < infinite for n in RAW_FEATURES]
-    sound += [F.col(f"_value.{n}") >= 0 for n in NON_NEGATIVE]
-    ident, ident_kind = F.col("_text.transaction_id"), F.col("_kind.transaction_id")
-    sound.append((ident_kind == "STRING") & F.length(ident).between(1, MAX_ID_LENGTH))
-    for name, pattern in ENTITIES.items():
-        kind = F.col(f"_kind.{name}")
-        sound.append(kind.isNull() | (kind == "VOID") | ((kind == "STRING") & matches(F.col(f"_text.{name}"), pattern)))
-    unknown = F.array_except(F.map_keys("_got"), F.array(*(F.lit(n) for n in FIELDS)))
-    sound.append(F.size(unknown) == 0)
-    sound.append(~text.rlike(_SUFFIXED))
-    step = _held(step, _fine=F.coalesce(reduce(lambda a, b: a & b, sound), F.lit(False)))
-    taken_apart = F.when(~F.col("_fine"), F.transform(_numbers(_members(F.col("_got"), RAW_FEATURES)), _number_problem))
+    part = lambda i, what: F.get("_texts", F.lit(i))[what]
+    ident, ident_kind = part(0, "text"), part(0, "kind")
 
     said = lambda name, reason: F.lit(f"{name}: {reason}")
     opening = F.when(
@@ -170,37 +180,39 @@ def decode(messages: DataFrame, require_id: bool = True) -> DataFrame:
     )
     closing = [
         F.when(
-            F.col(f"_kind.{name}") != "VOID",
-            F.when(F.col(f"_kind.{name}") != "STRING", said(name, NOT_A_STRING)).when(
-                ~matches(F.col(f"_text.{name}"), pattern), said(name, NO_MATCH.format(pattern))
+            part(i, "kind") != "VOID",
+            F.when(part(i, "kind") != "STRING", said(name, NOT_A_STRING)).when(
+                ~matches(part(i, "text"), pattern), said(name, NO_MATCH.format(pattern))
             ),
         )
-        for name, pattern in ENTITIES.items()
+        for i, (name, pattern) in enumerate(ENTITIES.items(), 1)
     ]
+    unknown = F.array_except(F.map_keys("_got"), known)
     extras = F.transform(unknown, lambda name: F.concat(name, F.lit(f": {EXTRA}")))
-    listed = F.array_join(F.concat(F.array(opening), taken_apart, F.array(*closing), extras), "; ")
-    step = _held(
-        step,
-        _listed=F.when(~F.col("_fine"), listed),
-        _id=F.when(ident_kind == "STRING", ident),
-    )
+    problems = F.transform("_numbers", _number_problem)
+    listed = F.array_join(F.concat(F.array(opening), problems, F.array(*closing), extras), "; ")
+    fine = F.col("_fine")
+    own_id = F.when(fine, as_text(quick("transaction_id"))).otherwise(F.when(ident_kind == "STRING", ident))
+    step = _held(step, _listed=F.when(~fine, listed), _id=own_id)
     before, after = TOO_LONG.split("{}")
     refused = (
         F.when(F.col("value").isNull() | (size == 0), F.lit(EMPTY))
         .when(size > MAX_MESSAGE_BYTES, F.concat(F.lit(before), size, F.lit(after)))
-        .when(F.col("_doc").isNull(), F.lit(NOT_JSON))
-        .when(F.col("_got").isNull(), F.lit(NOT_AN_OBJECT))
+        .when(~fine & F.col("_doc").isNull(), F.lit(NOT_JSON))
+        .when(~fine & F.col("_got").isNull(), F.lit(NOT_AN_OBJECT))
         .when(F.col("_listed") != "", F.col("_listed"))
     )
     if require_id:
         refused = refused.when(F.col("_id").isNull(), F.lit(NO_ID))
     wrong_key = F.col("key").isNotNull() & F.col("_id").isNotNull() & (F.col("key") != F.col("_id").cast("binary"))
     refused = refused.when(wrong_key, F.lit(OTHER_KEY))
+    slow_number = lambda i: F.get("_numbers", F.lit(i))["number"]
+    slow_text = lambda i: F.when(part(i, "kind") == "STRING", part(i, "text"))
     return _held(step, problem=refused).select(
         *kept,
         F.col("_id").alias("transaction_id"),
-        *(F.col(f"_value.{name}").alias(name) for name in RAW_FEATURES),
-        *(F.when(F.col(f"_kind.{name}") == "STRING", F.col(f"_text.{name}")).alias(name) for name in ENTITIES),
+        *(F.when(fine, quick(n)).otherwise(slow_number(i)).alias(n) for i, n in enumerate(RAW_FEATURES)),
+        *(F.when(fine, as_text(quick(n))).otherwise(slow_text(i)).alias(n) for i, n in enumerate(ENTITIES, 1)),
         "problem",
     )
 

@@ -14,6 +14,7 @@ from riskloom.plans import sql
 from riskloom.plans.registry import query
 from riskloom.plans.quality import rounded
 from riskloom.plans.tables import table, transactions
+from riskloom.session import ship
 from riskloom.sources import replay
 
 LINE_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -209,6 +210,7 @@ def hash_identities(spark, sf_dir):
 @query()
 def keyed_identities(spark, sf_dir):
     """With the keyed 64-bit hash, which SQL here does not have."""
+    ship(spark)
     return I.with_identities(events(spark, sf_dir).select("transaction_id"), keyed=True)
 
 
