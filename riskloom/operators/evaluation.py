@@ -306,7 +306,8 @@ def spearman(df: DataFrame, first: str, second: str) -> DataFrame:
     rows travels once; the correlation is taken from weighted sums.
     """
     pairs = df.groupBy(first, second).agg(F.count(F.lit(1)).alias("_w"))
-    ranked = pairs.join(mid_ranks(df, first, "_a"), first).join(mid_ranks(df, second, "_b"), second)
+    lookup = lambda value, name: broadcast_if_small(mid_ranks(df, value, name), 100_000)
+    ranked = pairs.join(lookup(first, "_a"), first).join(lookup(second, "_b"), second)
     # Centred on the mean rank (n + 1) / 2, known from the count alone, to keep the sums small.
     size = df.agg(F.count(F.lit(1)).alias("_n"))
     centred = with_constants(ranked, size).select(
