@@ -55,7 +55,7 @@ def report(sent: DataFrame, start: int, partitions: int, key: str = "transaction
     where = F.pmod(sql_digest(F.col(key), "partition"), F.lit(partitions)).cast("int")
     counted = sent.groupBy(where.alias("partition")).agg(F.count(F.lit(1)).alias("sent"))
     total = counted.agg(F.coalesce(F.sum("sent"), F.lit(0))).first()[0]
-    return counted.withColumn("next_start", F.lit(start + total))
+    return counted.withColumn("next_start", F.lit(start + total).cast("bigint"))
 
 
 def sample_bodies(rows: DataFrame, fields: Sequence[str], batch: bool, order: str) -> DataFrame:
