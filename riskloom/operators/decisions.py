@@ -221,7 +221,8 @@ def over_time(decisions: DataFrame, bucket_seconds: int) -> DataFrame:
     counted = decisions.groupBy(bucket.alias("bucket")).agg(
         *(F.count_if(F.col("decision") == kind).alias(kind) for kind in KINDS)
     )
-    ends = decisions.agg(F.min(bucket).alias("lo"), F.max(bucket).alias("hi")).where(F.col("lo").isNotNull())
+    # The ends come from the same aggregate, whose shuffle is then shared by both uses.
+    ends = counted.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).where(F.col("lo").isNotNull())
     calendar = ends.select(F.explode(F.sequence("lo", "hi", F.lit(bucket_seconds).cast("long"))).alias("bucket"))
     filled = calendar.join(counted, "bucket", "left")
     return filled.select(

@@ -32,10 +32,19 @@ REASON, TOPIC, PARTITION, OFFSET, FAILED_AT = (
 MAX_BATCH = 500
 
 
-def kafka_stream(spark: SparkSession, servers: str, topic: str, per_batch: int = MAX_BATCH) -> DataFrame:
-    """Messages of a topic; a new checkpoint starts from the earliest one."""
+def kafka_stream(
+    spark: SparkSession, servers: str, topic: str, per_batch: int = MAX_BATCH, min_partitions: int | None = None
+) -> DataFrame:
+    """Messages of a topic; a new checkpoint starts from the earliest one.
+
+    `min_partitions` reads few topic partitions with more tasks, since checking
+    messages is the costly step.
+    """
+    reader = spark.readStream.format("kafka")
+    if min_partitions is not None:
+        reader = reader.option("minPartitions", min_partitions)
     return (
-        spark.readStream.format("kafka")
+        reader
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", "earliest")
