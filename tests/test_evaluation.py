@@ -117,6 +117,22 @@ def test_positions_totals_and_quantiles(spark):
     assert K.hot_keys(df.select(F.col("g").cast("string").alias("g")), "g", 333) == ["0"]
 
 
+def test_bracketed_quantiles_equal_the_exact_aggregate(spark):
+    """A group large enough to be bracketed, with a third of its rows on one value, and a small one."""
+    v = F.when(F.col("id") % 3 == 0, 500.0).otherwise(F.round(F.rand(1) * F.rand(2) * 1e6, 1))
+    big = spark.range(150_000).select(F.lit("big").alias("g"), v.alias("v"))
+    df = big.unionByName(spark.range(1000).select(F.lit("small").alias("g"), (F.col("id") * 1.5).alias("v"))).cache()
+    ps = {"a": 0.0, "b": 0.0001, "c": 0.25, "d": 0.5, "e": 0.75, "f": 0.9999, "h": 1.0}
+    want = {r["g"]: r["q"] for r in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, ps.values()))).alias("q")).collect()}
+    got = {r["g"]: list(r)[1:] for r in K.exact_quantiles(df, "v", ps, ["g"], bracket_above=0).collect()}
+    for g in want:
+        assert got[g] == pytest.approx(want[g])
+    alone = K.exact_quantiles(df.where("g = 'big'"), "v", {"d": 0.5, "e": 0.75}, bracket_above=0).first()
+    assert tuple(alone) == pytest.approx((want["big"][3], want["big"][4]))
+    kept = K._near_quantiles(df.where("g = 'big'"), "v", [0.5, 0.75], ["g"])
+    assert kept.count() == 150_000 and kept.select("v").distinct().count() < 1000
+
+
 # -------------------------------------------------------------------- policy
 POLICY = ([0, 0, 0, 0, 1, 1], [0.1, 0.5, 0.96, 0.995, 0.97, 0.999], [10, 10, 10, 10, 100, 200])
 
