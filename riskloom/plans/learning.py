@@ -19,7 +19,7 @@ from riskloom.plans import sql
 from riskloom.plans.messaging import _BROKEN, messages
 from riskloom.plans.quality import rounded
 from riskloom.plans.registry import query
-from riskloom.plans.tables import LIMITS, THRESHOLDS, VERSION, WINDOWS, stub_risk, table, transactions
+from riskloom.plans.tables import LIMITS, THRESHOLDS, VERSION, WINDOWS, stub_risk, table
 from riskloom.session import run_folder, ship
 from riskloom.sources import messages as msg
 from riskloom.streaming import jobs as J
@@ -126,8 +126,7 @@ EVERY_FILE = 1_000_000  # all files that are there make one batch
 
 def _halves(spark, sf_dir):
     """The messages of the first and of the second half of the month."""
-    arrived = transactions(spark, sf_dir).select("event_id", F.timestamp_micros("arrival_us").alias("timestamp"))
-    sent = messages(spark, sf_dir).join(arrived, "event_id").select(*msg.MESSAGE_SCHEMA.fieldNames())
+    sent = messages(spark, sf_dir).select(*msg.MESSAGE_SCHEMA.fieldNames())
     half = F.lit("2024-01-16").cast("timestamp")
     return sent.where(F.col("timestamp") < half), sent.where(F.col("timestamp") >= half)
 

@@ -53,6 +53,7 @@ def messages(spark, sf_dir, broken=True):
         F.lit("transactions").alias("topic"),
         F.pmod(F.col("event_id"), F.lit(3)).cast("int").alias("partition"),
         F.floor(F.col("event_id") / 3).alias("offset"),
+        F.timestamp_micros("arrival_us").alias("timestamp"),
     )
 
 
