@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.text import as_bytes, mixed, pieces, run_hashes, runs, small_batches
+from riskloom.llm.text import as_bytes, mixed, pieces, run_hashes, runs, small_batches, with_columns
 
 BUCKETS = 1 << 13  # spellings share so many vectors
 SHAPES = 64
@@ -227,32 +227,35 @@ def fitted(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network |
     return fit(x, y, share[y.astype(int)], mixed(ids, 5) % np.uint64(5) == 0)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): doc_id, held_out, score (0 to 1) and predicted.
+def with_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """`docs` with the column `_score` (0 to 1, higher: label 1 likelier); other columns pass through.
 
     The network is fitted on a bounded sample of `labels` (LABELLED_PER_CLASS) whose rows are not held out; the word
     vectors come from every text. Null text is empty, and an empty text is scored by its (empty) features. Without
-    labelled rows of both classes every score is the smoothed share of label 1. A null doc_id is not held out.
+    labelled rows of both classes every score is the smoothed share of label 1.
     """
     small_batches(docs.sparkSession)
     vectors = word_vectors(docs)
-    net = fitted(docs, labels, vectors)
-    model = docs.sparkSession.sparkContext.broadcast((vectors, net))
+    model = docs.sparkSession.sparkContext.broadcast((vectors, fitted(docs, labels, vectors)))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compute():
         vectors, net = model.value
-        for whole in batches:
-            for batch in pieces(whole, "text", 1 << 20):
-                if isinstance(net, float):
-                    p = np.full(batch.num_rows, net)
-                else:
-                    p = net.probability(pooled(batch.column("text"), vectors))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(score, "doc_id long, score double")
-    return rows.select(
+
+        def columns(batch: pa.RecordBatch) -> list[pa.Array]:
+            if isinstance(net, float):
+                return [pa.array(np.full(batch.num_rows, net))]
+            return [pa.array(net.probability(pooled(batch.column("text"), vectors)))]
+
+        return columns
+
+    return with_columns(docs, [("_score", "double")], compute)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per row of `docs` (doc_id, text): doc_id, held_out, score and predicted. A null doc_id is not held out."""
+    return with_scores(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels).select(
         "doc_id",
         F.coalesce(F.expr("crc32(cast(doc_id as string)) % 5 = 0"), F.lit(False)).alias("held_out"),
-        "score",
-        (F.col("score") >= CUT_OFF).cast("int").alias("predicted"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= CUT_OFF).cast("int").alias("predicted"),
     )

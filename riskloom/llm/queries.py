@@ -5,26 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm.exact import exact_groups
-from riskloom.llm.quality import quality_scores
+from riskloom.llm import bpe, decontaminate, exact, near, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary() -> str:
+    """The vocabulary file the queries encode with; it belongs to the public tokenizers and is read where it lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return bpe.with_tokens(docs, vocabulary()).select("doc_id", *bpe.digests())
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(_table(spark, sf_dir, "documents")).drop("n_chars")
+    return exact.exact_groups(_table(spark, sf_dir, "documents")).drop("n_chars")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_classes(_table(spark, sf_dir, "documents"))
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_exact_dedup, op7_quality_classifier)}
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op2_benchmark_decontamination,
+        op4_bpe_encoding,
+        op5_exact_dedup,
+        op7_quality_classifier,
+        op10_minhash_near_dedup,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": r"""

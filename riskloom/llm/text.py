@@ -6,12 +6,14 @@ long ones are only hashed piece by piece, so scratch memory stays at a few dozen
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 PIECE = 1 << 18  # bytes hashed at a time
 ROWS_PER_BATCH = 512  # documents in one Arrow batch, so that a batch of long texts fits a worker
@@ -140,3 +142,21 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         hi = max(lo + 1, int(np.searchsorted(upto, before + most, side="right")))
         yield batch.slice(lo, hi - lo)
         lo = hi
+
+
+def with_columns(docs: DataFrame, fields: list[tuple[str, str]], compute: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], most: int = 1 << 20) -> DataFrame:
+    """`docs` with further columns that `compute` derives from its text; all other columns pass through unmoved.
+
+    `fields` are (name, type); `compute` is called once in each task and returns what turns a batch into the columns.
+    """
+    wanted = T.StructType([*docs.schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in fields)])
+    arrow = to_arrow_schema(wanted)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = compute()
+        for whole in batches:
+            for batch in pieces(whole, "text", most):
+                columns = [*batch.columns, *own(batch)]
+                yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
+
+    return docs.mapInArrow(rows, wanted)
