@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, exact, near, quality
+from riskloom.llm import bpe, decontaminate, exact, near, quality, secrets, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(_table(spark, sf_dir, "documents"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +44,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_classes(_table(spark, sf_dir, "documents"))
 
@@ -47,15 +55,69 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_secret_scan,
         op2_benchmark_decontamination,
         op4_bpe_encoding,
         op5_exact_dedup,
         op7_quality_classifier,
+        op9_warc,
         op10_minhash_near_dedup,
     )
 }
 
+# Fixed by the contract, as in secrets.RULES; quotes are doubled for SQL.
+_ASSIGN = """(?i:(password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
 ORACLES: dict[str, str] = {
+    "op1_secret_scan": rf"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+        found AS (
+            SELECT doc_id, 0 AS o, 'assign' AS kind, regexp_split_to_array(x, '{_ASSIGN}') AS p,
+                   regexp_extract_all(x, '{_ASSIGN}') AS m, list_transform(regexp_extract_all(x, '{_ASSIGN}', 2), lambda g: length(g) >= 6) AS ok
+            FROM t
+            UNION ALL
+            SELECT doc_id, 1, 'access', regexp_split_to_array(x, 'AKIA[A-Z0-9]+'), regexp_extract_all(x, 'AKIA[A-Z0-9]+'),
+                   list_transform(regexp_extract_all(x, 'AKIA[A-Z0-9]+'), lambda g: length(g) >= 20)
+            FROM t
+            UNION ALL
+            SELECT doc_id, 2, 'hex', regexp_split_to_array(x, '[0-9a-f]{{24,}}'), regexp_extract_all(x, '[0-9a-f]{{24,}}'),
+                   list_transform(regexp_extract_all(x, '[0-9a-f]{{24,}}'), lambda g: true)
+            FROM t),
+        each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
+        spans AS (
+            SELECT doc_id, o, kind,
+                   CAST(list_sum(list_transform(p[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda z: length(z))), 0) AS BIGINT) AS s,
+                   length(m[i]) AS n
+            FROM each WHERE ok[i]),
+        agg AS (
+            SELECT doc_id, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+                   string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, o) AS spans
+            FROM spans GROUP BY doc_id)
+        SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+               sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM t LEFT JOIN agg USING (doc_id)
+    """,
+    "op2_benchmark_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        b AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark),
+        bw AS (
+            SELECT item_id, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i, w FROM b WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS t FROM bw),
+        dw AS (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k),
+        hits AS (
+            SELECT doc_id, dw.k, i, item_id FROM (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS t FROM dw) dw JOIN win USING (k, t)),
+        words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM hits) GROUP BY doc_id),
+        items AS (
+            SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+            FROM hits GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
     "op5_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm,
@@ -67,4 +129,16 @@ ORACLES: dict[str, str] = {
             FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
     """,
+    "op9_warc": """
+        WITH t AS (
+            SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha1(coalesce(html, '')) AS h,
+                   max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+            FROM pages)
+        SELECT page_id, n AS payload_bytes,
+               list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + ((CAST(('0x' || substr(h, 1 + 5 * (i // 4), 5)) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), lambda a, b: a || b) AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM t
+    """,
 }
