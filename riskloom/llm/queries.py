@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, exact, near, quality, secrets, warc
+from riskloom.llm import bpe, decontaminate, exact, html, near, quality, secrets, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,10 +40,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_table(spark, sf_dir, "documents")).drop("n_chars")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -59,7 +67,9 @@ QUERIES: dict[str, Query] = {
         op2_benchmark_decontamination,
         op4_bpe_encoding,
         op5_exact_dedup,
+        op6_html_extraction,
         op7_quality_classifier,
+        op8_toxicity,
         op9_warc,
         op10_minhash_near_dedup,
     )

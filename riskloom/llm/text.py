@@ -15,12 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from riskloom.session import ship
+
 PIECE = 1 << 18  # bytes hashed at a time
 ROWS_PER_BATCH = 512  # documents in one Arrow batch, so that a batch of long texts fits a worker
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ROWS_PER_BATCH rows: document rows can be megabytes wide."""
+    """Readies a session for Python functions over wide rows: Arrow batches of at most ROWS_PER_BATCH, code at the workers."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ROWS_PER_BATCH:
         spark.conf.set(key, str(ROWS_PER_BATCH))
