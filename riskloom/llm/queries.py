@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, exact, html, near, quality, secrets, toxicity, warc
+from riskloom.llm import bpe, decontaminate, exact, html, lm, near, quality, secrets, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,11 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm.backoff_scores(_table(spark, sf_dir, "documents"))
+    return scores.select("doc_id", "n_words", F.round("score", 6).alias("score"))
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return bpe.with_tokens(docs, vocabulary()).select("doc_id", *bpe.digests())
@@ -65,6 +70,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_secret_scan,
         op2_benchmark_decontamination,
+        op3_lm_scoring,
         op4_bpe_encoding,
         op5_exact_dedup,
         op6_html_extraction,
@@ -128,6 +134,25 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    # On so few words the vocabulary is every word, as here.
+    "op3_lm_scoring": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM documents),
+        each AS (SELECT r, unnest(w) AS w, unnest(range(len(w))) AS i FROM d),
+        g AS (SELECT r, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v FROM each),
+        uni AS (SELECT w, count(*) AS c FROM g GROUP BY w),
+        n AS (SELECT count(*) AS total FROM g),
+        own AS (SELECT r, v, w, count(*) AS times FROM g WHERE v IS NOT NULL GROUP BY ALL),
+        pair AS (SELECT v, w, sum(times) AS c FROM own GROUP BY ALL),
+        scored AS (
+            SELECT r, times * CASE WHEN pair.c > times THEN ln(pair.c / f.c) ELSE ln(0.4 * s.c / total) END AS x
+            FROM own JOIN pair USING (v, w) JOIN uni f ON f.w = own.v JOIN uni s ON s.w = own.w, n
+            UNION ALL
+            SELECT r, ln(c / total) FROM g JOIN uni USING (w), n WHERE v IS NULL)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(x / len(w), 6) AS score
+        FROM d LEFT JOIN (SELECT r, sum(x) AS x FROM scored GROUP BY r) USING (r)
+    """,
     "op5_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm,
