@@ -3,8 +3,9 @@
 A text is its bag of five-word shingles, weighted by how often each occurs times its inverse document frequency. The
 samples (Ioffe's improved scheme) of two bags agree with a probability equal to their weighted Jaccard similarity.
 Texts with the same bag are one node. Nodes that share a band of samples are candidates; they are not paired with each
-other but with one chief of the band, then, while classes still meet in a band, with other chiefs. Each pair is
-verified on its whole texts, and classes are the connected components of verified pairs.
+other but with one chief of the band and then, where classes still meet in a band, with a few neighbours in a random
+order, another one in each step, until a step links no classes. Each pair is verified on its whole texts, and classes
+are the connected components of verified pairs.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.text import Words, mixed, pieces, shingle_hashes, small_batches
@@ -23,6 +24,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, BAND_SAMPLES = 16, 4  # a pair of similarity 0.8 shares a band with probability 0.9998
 SKETCH_BITS = 17  # document frequencies are counted in 2**17 cells, whatever the corpus
 DAMPING = 0.25  # weight of the frequency term: the rarest shingle weighs 1.25, one that is everywhere 1
+NEIGHBOURS = 16  # members of other classes that a member is compared with in each band and step after the first
+SLICE = 4096  # members of a large band that one task sorts
 FILTER_BITS = 26  # bits of the filter that says which texts a verification may need: 8 MB
 PIECE = 1 << 18  # bytes of text sampled at a time
 
@@ -193,7 +196,7 @@ def _verified_rows(inverse):
                     if similarity((bags.hash[own], weights[own]), chief) >= SIMILAR:
                         good.append(i)
                 rows = pa.array(good, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(rows), batch.column("chief").take(rows)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column("class").take(rows), batch.column("chief_class").take(rows)], ["a", "b"])
 
     return verified
 
@@ -235,6 +238,32 @@ def components(links: DataFrame) -> DataFrame:
         )
 
 
+def _with_chief(placed: DataFrame) -> DataFrame:
+    """Every member of a band with the band's chief."""
+    first = F.min(F.struct(F.xxhash64("key").alias("h"), F.col("key").alias("chief")))
+    # Stored, so that the join shuffles both sides itself and adaptive execution can split a hot band.
+    chiefs = checkpointed(placed.groupBy("band").agg(first.alias("c")).select("band", "c.chief"))
+    return placed.join(chiefs, "band").where("key <> chief").select("key", "chief", "class", F.col("chief").alias("chief_class"))
+
+
+def _with_neighbours(placed: DataFrame, step: int) -> DataFrame:
+    """Members of bands where classes still meet, each with the next NEIGHBOURS of other classes in an order of this step.
+
+    A band of up to NEIGHBOURS + 1 members is compared whole in the first such step and needs no other. A larger one is
+    dealt into slices, other ones in each step, so that it is sorted by many tasks.
+    """
+    hashed = F.xxhash64("class")
+    bands = placed.groupBy("band").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high"), F.max("n").alias("n")).where("low <> high")
+    if step > 1:
+        bands = bands.where(F.col("n") > NEIGHBOURS + 1)
+    bands = checkpointed(bands.select("band", F.ceil(F.col("n") / SLICE).alias("slices")))
+    dealt = placed.join(bands, "band").select("band", "key", "class", F.pmod(F.xxhash64("key", F.lit(step)), "slices").alias("slice"))
+    order = Window.partitionBy("band", "slice").orderBy(F.xxhash64("key", F.lit(-step)), "key").rowsBetween(1, NEIGHBOURS)
+    following = F.collect_list(F.struct(F.col("key").alias("chief"), F.col("class").alias("chief_class"))).over(order)
+    each = dealt.withColumn("following", following).select("key", "class", F.explode("following").alias("c"))
+    return each.select("key", "c.chief", "class", "c.chief_class").where("class <> chief_class")
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` (doc_id, text): class_id, class_size, kept.
 
@@ -252,42 +281,32 @@ def near_classes(docs: DataFrame) -> DataFrame:
     )
     banded = nodes.select("key", F.explode("bands").alias("band"))
     # Only bands that nodes share, found by a combined count.
-    crowded = checkpointed(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"))
-    members = checkpointed(banded.join(crowded, "band"))
+    crowded = checkpointed(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    placed = checkpointed(banded.join(crowded, "band").withColumn("class", F.col("key")))
 
-    texts = None
-    links, roots = None, None
-    step = 0
+    texts, step = None, 0
     while True:
-        if roots is None:
-            placed = members.withColumn("class", F.col("key"))
-        else:
-            placed = members.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("key", "band", F.coalesce("root", "key").alias("class"))
-        first = F.min(F.struct(F.xxhash64("key", F.lit(step)).alias("h"), F.col("key").alias("chief"), F.col("class").alias("chief_class")))
-        chiefs = placed.groupBy("band").agg(first.alias("c"), F.min("class").alias("low"), F.max("class").alias("high"))
-        chiefs = checkpointed(chiefs.where("low <> high").select("band", "c.chief", "c.chief_class"))
-        pairs = checkpointed(placed.join(chiefs, "band").where("class <> chief_class").select("key", "chief").distinct())
+        pairs = checkpointed((_with_chief(placed) if step == 0 else _with_neighbours(placed, step)).dropDuplicates(["key", "chief"]))
         if pairs.isEmpty():
             break
         if texts is None:
-            wanted = spark.sparkContext.broadcast(_filter(members.select("key").distinct()))
+            wanted = spark.sparkContext.broadcast(_filter(placed.select("key").distinct()))
             folder = run_folder(spark, "near-texts")
             docs.select("text").mapInArrow(_text_rows(wanted), "key binary, text string").groupBy("key").agg(F.max("text").alias("text")).write.parquet(folder)
             texts = spark.read.parquet(folder)
         full = pairs.join(texts, "key").join(texts.select(F.col("key").alias("chief"), F.col("text").alias("chief_text")), "chief")
-        found = checkpointed(full.select("key", "chief", "text", "chief_text").mapInArrow(_verified_rows(inverse), "a binary, b binary"))
-        if found.isEmpty():
+        links = full.select("class", "chief_class", "chief", "text", "chief_text").mapInArrow(_verified_rows(inverse), "a binary, b binary")
+        links = checkpointed(links.distinct())
+        if not links.isEmpty():
+            roots = components(links).withColumnRenamed("node", "class")
+            placed = checkpointed(placed.join(roots, "class", "left").select("key", "band", "n", F.coalesce("root", "class").alias("class")))
+        elif step > 0:
             break
-        links = found if links is None else links.unionAll(found)
-        roots = components(links)
         step += 1
 
-    if roots is None:
-        classes = nodes.select("key", F.col("copies").alias("class_size"), F.col("least_id").alias("class_id"))
-    else:
-        named = nodes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "copies", "least_id", F.coalesce("root", "key").alias("root"))
-        sizes = named.groupBy("root").agg(F.sum("copies").alias("class_size"), F.min("least_id").alias("class_id"))
-        classes = named.select("key", "root").join(sizes, "root").drop("root")
+    named = nodes.join(placed.select("key", "class").distinct(), "key", "left").select("key", "copies", "least_id", F.coalesce("class", "key").alias("class"))
+    sizes = named.groupBy("class").agg(F.sum("copies").alias("class_size"), F.min("least_id").alias("class_id"))
+    classes = named.select("key", "class").join(sizes, "class").drop("class")
     shared = checkpointed(classes.where("class_size > 1"))
     alone = F.col("class_size").isNull()
     return rows.join(shared, "key", "left").select(
