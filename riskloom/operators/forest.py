@@ -15,8 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.functions.scalars import steps_at_or_below
-from riskloom.operators.evaluation import calibrated, hashed_fraction
+from riskloom.operators.evaluation import calibrated
 from riskloom.operators.ranking import exact_quantiles
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, below int, above int, path double"
@@ -36,27 +35,15 @@ def expected_path(rows: int) -> float:
 def samples(df: DataFrame, row_id: str, features: Column, trees: int, sample_rows: int, seed: int) -> DataFrame:
     """(tree, x) with at most `sample_rows` rows per tree, chosen by hash.
 
-    On a large table a row first draws how many trees want it, almost always
-    none, so the rows are not multiplied by the number of trees.
+    Every row asks every tree by a cheap hash whether it is wanted, as one array
+    filter; only the few wanted pairs become rows. Trees want SPARE times the
+    sample, so that all but a vanishing share end full. Copies of a row count.
     """
-    size = df.count()
-    share = min(1.0, SPARE * sample_rows / max(size, 1))
+    share = min(1.0, SPARE * sample_rows / max(df.count(), 1))
+    drawn = lambda t: F.pmod(F.xxhash64(F.col("_id"), t, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     base = df.select(F.col(row_id).alias("_id"), features.alias("x"))
-    if size <= 100 * sample_rows:
-        every = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        wanted = every.withColumn("_u", hashed_fraction(F.lit(seed), F.col("tree"), F.col("_id"))).where(F.col("_u") < share)
-    else:
-        chances, upto, edges = (1 - share) ** trees, 0.0, []
-        for k in range(min(trees, 12)):
-            upto += chances
-            edges.append(upto)
-            chances *= (trees - k) / (k + 1) * share / (1 - share)
-        edges = sorted(set(e for e in edges if e < 1.0))
-        many = steps_at_or_below(hashed_fraction(F.lit(seed), F.lit("n"), F.col("_id")), edges)
-        chosen = base.withColumn("_k", many).where("_k > 0").withColumn("_j", F.explode(F.sequence(F.lit(1), F.col("_k"))))
-        tree = F.floor(hashed_fraction(F.lit(seed), F.lit("t"), F.col("_j"), F.col("_id")) * trees).cast("int")
-        wanted = chosen.withColumn("tree", tree).dropDuplicates(["tree", "_id"])
-        wanted = wanted.withColumn("_u", hashed_fraction(F.lit(seed), F.col("tree"), F.col("_id")))
+    asked = base.withColumn("tree", F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: drawn(t) < share))
+    wanted = asked.where(F.size("tree") > 0).select("_id", "x", F.explode("tree").alias("tree")).withColumn("_u", drawn(F.col("tree")))
     place = F.row_number().over(Window.partitionBy("tree").orderBy("_u", "_id"))  # about 1.3 samples per group
     return wanted.withColumn("_place", place).where(F.col("_place") <= sample_rows).select("tree", "x")
 

@@ -102,9 +102,13 @@ def first_by_hash(df: DataFrame, label: str, row_id: str, wanted: dict, seed: in
 
 
 def class_sizes(df: DataFrame, label: str) -> dict:
-    """Rows per class; only the labels 0 and 1 are allowed, so this is two numbers."""
-    rows = df.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()
-    return {row[0]: row[1] for row in rows}
+    """Rows per class in one scan. A row with another label, or none, has no class to be split by and is refused."""
+    row = df.agg(
+        F.count_if(F.col(label) == 0).alias("normal"), F.count_if(F.col(label) == 1).alias("fraud"), F.count(F.lit(1)).alias("all")
+    ).first()
+    if row["normal"] + row["fraud"] < row["all"]:
+        raise ValueError(f"{row['all'] - row['normal'] - row['fraud']} rows have a label other than 0 and 1")
+    return {y: n for y, n in ((0, row["normal"]), (1, row["fraud"])) if n}
 
 
 def holdout(df: DataFrame, label: str, row_id: str, share: float = 0.2, seed: int = 42, name: str = "is_test") -> DataFrame:
@@ -123,15 +127,17 @@ def folds(df: DataFrame, label: str, row_id: str, k: int = 5, seed: int = 42, bi
     """Adds `fold`: the hash rank inside the class, modulo k, so classes spread evenly.
 
     Ranks come from fixed hash bins plus the rows before each bin: no window ever
-    spans a class, and the broadcast table has at most two rows per bin.
+    spans a class, and the broadcast table has at most two rows per bin. Every row
+    gets a fold; rows without a label of 0 or 1 are refused.
     """
+    class_sizes(df, label)
     bin_of = F.floor(F.col("_h") * bins).cast("int")
     hashed = df.withColumn("_h", hash_order(row_id, seed)).withColumn("_bin", bin_of)
-    per_bin = hashed.where(F.col(label).isin(0, 1)).groupBy(label, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    per_bin = hashed.groupBy(label, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(label).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bin.select(label, "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(label, "_bin").orderBy("_h", row_id)
-    ranked = hashed.withColumn("_in", F.row_number().over(inside) - 1).join(F.broadcast(offsets), [label, "_bin"])
+    ranked = hashed.withColumn("_in", F.row_number().over(inside) - 1).join(F.broadcast(offsets), [label, "_bin"], "left")
     fold = F.pmod(F.col("_before") + F.col("_in"), F.lit(k)).cast("int")
     return ranked.withColumn("fold", fold).select(*df.columns, "fold")
 

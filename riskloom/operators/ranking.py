@@ -141,19 +141,17 @@ def exact_quantiles(
     value: str,
     probabilities: Mapping[str, float],
     by: Sequence[str] = (),
-    bracket_above: int = 5_000_000,
 ) -> DataFrame:
     """Linear-interpolated quantiles, one row per `by` group, one column per name.
 
     Equal to the built-in `percentile`, whose buffer keeps every distinct value
-    of a group in one task. Here values are collapsed to counts, ranked across
-    the cluster, and only the two neighbours of each rank are kept. Above
-    `bracket_above` rows an approximate first pass leaves under a thousandth of
-    the values per quantile to be sorted; the result stays exact.
+    of a group in one task. Here an approximate first pass leaves only values
+    near the wanted ranks apart (under a thousandth of a large group for each
+    quantile), the rest is collapsed to counts, and what is left is ranked across
+    the cluster; the result stays exact.
     """
     known = df.where(F.col(value).isNotNull()).select(*by, value)
-    if known.count() > bracket_above:
-        known = _near_quantiles(known, value, list(probabilities.values()), by)
+    known = _near_quantiles(known, value, list(probabilities.values()), by)
     counted = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_totals(counted, [value], {"_upto": "_n"}, by)
     sizes = ranked.groupBy(*by).agg(F.max("_upto").alias("_size"))
@@ -174,13 +172,7 @@ def exact_quantiles(
     return picked.select(*by, *(lerp(name).alias(name) for name in probabilities))
 
 
-def hot_keys(df: DataFrame, key: str, more_than: int, at_most: int = 1000) -> list:
-    """The largest keys with over `more_than` rows, at most `at_most` of them.
-
-    A key outside the list holds either few rows or, being behind `at_most`
-    larger ones, less than 1/`at_most` of the table. The counting is combined
-    on the map side and only the short list reaches the driver.
-    """
+def hot_keys(df: DataFrame, key: str, more_than: int) -> DataFrame:
+    """All keys with over `more_than` rows, as one column `key`: counted with a map-side combine, never collected."""
     counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    top = counted.where(F.col("_n") > more_than).orderBy(F.desc("_n"), key).limit(at_most)
-    return [row[0] for row in top.collect()]
+    return counted.where(F.col("_n") > more_than).select(key)

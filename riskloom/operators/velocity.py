@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.ranking import hot_keys, row_index
+from riskloom.operators.ranking import broadcast_if_small, hot_keys, row_index
+from riskloom.session import checkpointed
 
 MICROS = 1_000_000
 
@@ -146,16 +147,17 @@ def measure(
     found by a map-side combined count and measured in slices, so no task ever
     owns one of them whole. Rows without a card are spread by their own hash.
     """
-    hot = hot_keys(events, "card_id", hot_rows)
+    hot = checkpointed(hot_keys(events, "card_id", hot_rows))
+    some = not hot.isEmpty()
     own = F.xxhash64("transaction_id", "arrival_us", "sequence").cast("string")
     order = ["arrival_us", "sequence", "transaction_id"]
     usual = events
-    if hot:
-        listed = F.broadcast(events.sparkSession.createDataFrame([(k,) for k in hot], "card_id string"))
+    if some:
+        listed = broadcast_if_small(hot)
         usual = events.join(listed, "card_id", "left_anti")
     keyed = usual.withColumn("_key", F.coalesce("card_id", own))
     measured = _measured(keyed, ["_key"], order, windows).select(*events.columns, "velocity")
-    if hot:
+    if some:
         busy = _measured_in_slices(events.join(listed, "card_id", "left_semi"), windows, slice_rows)
         measured = measured.unionByName(busy)
     return measured

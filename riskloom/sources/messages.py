@@ -29,18 +29,19 @@ REASON, TOPIC, PARTITION, OFFSET, FAILED_AT = (
     "dlq-source-offset",
     "dlq-failed-at",
 )
-MAX_BATCH = 500
-
 
 def kafka_stream(
-    spark: SparkSession, servers: str, topic: str, per_batch: int = MAX_BATCH, min_partitions: int | None = None
+    spark: SparkSession, servers: str, topic: str, per_batch: int | None = None, min_partitions: int | None = None
 ) -> DataFrame:
     """Messages of a topic; a new checkpoint starts from the earliest one.
 
+    A batch takes all there is unless `per_batch` says how many at most.
     `min_partitions` reads few topic partitions with more tasks, since checking
     messages is the costly step.
     """
     reader = spark.readStream.format("kafka")
+    if per_batch is not None:
+        reader = reader.option("maxOffsetsPerTrigger", per_batch)
     if min_partitions is not None:
         reader = reader.option("minPartitions", min_partitions)
     return (
@@ -48,7 +49,6 @@ def kafka_stream(
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", "earliest")
-        .option("maxOffsetsPerTrigger", per_batch)
         .load()
         .select(*MESSAGE_SCHEMA.fieldNames())
     )

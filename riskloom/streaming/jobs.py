@@ -68,6 +68,17 @@ def decision_log(path: str) -> BatchWriter:
     return lambda df, batch_id: decisions.append_batch(df, path, batch_id)
 
 
+# What exceptions of a JVM client are called while a store can't be reached.
+AWAY = ("java.net.", "java.io.IOException", "java.sql.SQLTransient", "java.sql.SQLRecoverable", "java.util.concurrent.TimeoutException", "org.apache.kafka.common.errors.Retriable", "org.apache.kafka.common.errors.TimeoutException")
+
+
+def is_away(error: Exception) -> bool:
+    """Whether an error says that a store is unavailable, as opposed to refusing the rows or being called wrongly."""
+    java = getattr(error, "java_exception", None)
+    named = java.toString() if java is not None else str(error)
+    return isinstance(error, (ConnectionError, TimeoutError, OSError)) or any(name in named for name in AWAY)
+
+
 @dataclass
 class Outage:
     count: int = 0
@@ -76,27 +87,30 @@ class Outage:
 
 def record_patiently(
     write: Callable[[], None],
-    attempts: int = 20,
+    attempts: int | None = None,
     delays: Sequence[float] = RETRY_DELAYS,
     sleep: Callable[[float], None] = time.sleep,
     clock: Callable[[], float] = time.monotonic,
+    away: Callable[[Exception], bool] = is_away,
+    stopped: Callable[[], bool] = lambda: False,
 ) -> Outage:
-    """Runs `write` until it succeeds, waiting longer each time.
+    """Runs `write` until it succeeds, waiting longer each time, as long as the outage lasts.
 
-    The batch is held meanwhile and the next one is not planned. When the attempts
-    run out the error is raised: nothing is committed and a restart repeats the batch.
+    The batch is held meanwhile and the next one is not planned. An error that is
+    no outage is raised at once; so is an outage when `stopped` says so or a given
+    number of further attempts runs out. Nothing is committed then, and a restart repeats the batch.
     """
-    started = clock()
-    for attempt in range(attempts + 1):
+    started, failed = clock(), 0
+    while True:
         try:
             write()
-        except Exception:  # noqa: BLE001 - whatever the store raises means it is away
-            if attempt == attempts:
+        except Exception as error:  # noqa: BLE001 - `away` decides
+            if not away(error) or failed == attempts or stopped():
                 raise
-            sleep(delays[min(attempt, len(delays) - 1)])
+            sleep(delays[min(failed, len(delays) - 1)])
+            failed += 1
         else:
-            return Outage(1, clock() - started) if attempt else Outage()
-    raise AssertionError("unreachable")
+            return Outage(1, clock() - started) if failed else Outage()
 
 
 def _write_stats(spark: SparkSession, path: str, batch_id: int, **numbers) -> None:
@@ -150,7 +164,7 @@ class ScoringJob:
     version: str = "unversioned"
     windows: VelocityWindows | None = field(default_factory=VelocityWindows)
     rules: Sequence[Rule] | None = None
-    attempts: int = 20
+    attempts: int | None = None
     sleep: Callable[[float], None] = time.sleep
 
 

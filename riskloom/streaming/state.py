@@ -1,16 +1,16 @@
 """Per-card activity as streaming state: the trailing window of a live stream.
 
-Arrival time is a column, so a replay gives the same answer. The state of a card
-is the list of its newest events (at most `keep`), trimmed to the retention, and
-it disappears after an idle retention period.
+Arrival time is a column, so a replay gives the same answer, and an event is
+measured against what arrived before it, also when it comes late. The state of a
+card is its newest events, at most `keep`.
 """
 
 from __future__ import annotations
 
-import bisect
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,67 +20,105 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from riskloom.operators.velocity import FEATURES, MICROS, VelocityWindows, nest, without_velocity
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-# The kept events as JSON rows of (arrival, id, cents, country): at most `keep` of them.
+# The kept events as JSON columns of arrivals, sequences, ids, cents and countries: at most `keep` of them.
 STATE_SCHEMA = "kept string"
 FLAT = [f"velocity_{name}" for name in FEATURES]
+ORDER = ["us", "sequence", "id"]
+
+
+def windows_of(events: pd.DataFrame, new: np.ndarray, windows: VelocityWindows) -> pd.DataFrame:
+    """Features of the events marked `new`, each from the events up to it; `events` (us, sequence, id, cents, place) are in ORDER.
+
+    Of deliveries of the same event only the last one up to a row counts for it.
+    """
+    us, cents = events["us"].to_numpy(np.int64), events["cents"].to_numpy(np.int64)
+    n, at = len(events), np.flatnonzero(new)
+    again = events.duplicated(["id", "cents", "place"], keep=False).to_numpy()
+    ahead = lambda seconds, side: np.searchsorted(us, us[at] - int(seconds * MICROS), side)
+    oldest = ahead(windows.long, "right")
+    if not again.any():
+        first = np.maximum(oldest, at - windows.keep + 1)
+        summed = np.concatenate([[0], np.cumsum(cents)])
+        places = np.zeros(len(at), np.int64)
+        codes, names = pd.factorize(events["place"])
+        for code, name in enumerate(names):
+            if name:  # a card's countries: few
+                last = np.maximum.accumulate(np.where(codes == code, np.arange(n), -1))[at]
+                places += last >= first
+        gap = np.where(at > first, us[at] - us[np.maximum(at - 1, 0)], -1)
+        counts = [at - np.maximum(first, ahead(w, "left")) + 1 for w in (windows.short, windows.middle)]
+        counts += [at - first + 1]
+        amount = summed[at + 1] - summed[first]
+    else:
+        # Some event came again: each row looks at its own window, of `keep` events and their repeats.
+        same = events.groupby(["id", "cents", "place"], sort=False).ngroup().to_numpy()
+        place = events["place"].to_numpy()
+        rows = []
+        for i, low in zip(at.tolist(), oldest.tolist()):
+            seen, own = set(), []
+            for k in range(i, low - 1, -1):
+                if same[k] not in seen:
+                    seen.add(same[k])
+                    own.append(k)
+                    if len(own) == windows.keep:
+                        break
+            since = lambda w: int(np.count_nonzero(us[own] >= us[i] - int(w * MICROS)))  # noqa: E731, B023
+            rows.append((since(windows.short), since(windows.middle), len(own), int(cents[own].sum()), len({place[k] for k in own if place[k]}), us[i] - us[own[1]] if len(own) > 1 else -1))
+        *counts, amount, places, gap = (np.array(c) for c in zip(*rows)) if rows else [at] * 6
+    # Milliseconds rounded half up on whole microseconds, as the batch operator does.
+    seconds = np.where(gap >= 0, (gap + 500) // 1000 / 1000, np.nan)
+    return pd.DataFrame(dict(zip(FLAT, (*counts, amount / 100, places, seconds))))
 
 
 class CardActivity:
-    """Measures each event of a card against the events kept so far, then keeps it too."""
+    """Measures each event of a card against what is kept and what came with it, then keeps the newest."""
 
-    def __init__(self, windows: VelocityWindows, columns: list[str]):
+    def __init__(self, windows: VelocityWindows, columns: list[str], late_us: int | None = None):
         self.windows = windows
         self.columns = columns
+        self.late_us = late_us
 
     def __call__(self, key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        # One card's share of one micro-batch, which the source's per-batch limit bounds.
-        batch = pd.concat(list(rows)).sort_values(["arrival_us", "sequence", "transaction_id"], kind="stable")
-        kept = [tuple(event) for event in json.loads(state.get[0])] if state.exists else []
-        measured = []
-        for us, ident, amount, country in zip(
-            batch["arrival_us"], batch["transaction_id"], batch["Amount"], batch["country"]
-        ):
-            event = (int(us), ident, int(round(float(amount) * 100)), country or "")
-            kept = self._add(kept, event)
-            measured.append(self._features(kept, event))
-        state.update((json.dumps(kept),))
-        state.setTimeoutDuration(int(self.windows.long * 1000))
-        features = pd.DataFrame(measured, columns=FLAT, index=batch.index)
-        features[FLAT[5]] = features[FLAT[5]].astype("float64")
-        yield pd.concat([batch[self.columns], features], axis=1)
-
-    def _add(self, kept: list[tuple], event: tuple) -> list[tuple]:
-        """Without what has aged out and without an earlier delivery of the same event."""
-        oldest = event[0] - int(self.windows.long * MICROS)
-        live = [e for e in kept if e[0] > oldest and e[1:] != event[1:]]
-        # Among equal instants the later arrival stays behind the earlier ones.
-        live.insert(bisect.bisect_right([e[0] for e in live], event[0]), event)
-        return live[-self.windows.keep :]
-
-    def _features(self, kept: list[tuple], event: tuple) -> tuple:
-        now = event[0]
-        since = lambda seconds: sum(1 for e in kept if e[0] >= now - seconds * MICROS)
-        others = [e[0] for e in kept if e[1:] != event[1:]]
-        # Milliseconds rounded half up on whole microseconds, as the batch operator does.
-        gap = (now - max(others) + 500) // 1000 / 1000 if others else None
-        return (
-            since(self.windows.short),
-            since(self.windows.middle),
-            len(kept),
-            sum(e[2] for e in kept) / 100,
-            len({e[3] for e in kept if e[3]}),
-            gap,
-        )
-
-
-def live_velocity(events: DataFrame, windows: VelocityWindows = VelocityWindows()) -> DataFrame:
+        kept = pd.DataFrame(dict(zip([*ORDER, "cents", "place"], json.loads(state.get[0])))) if state.exists else None
+        newest = 0
+        for batch in rows:  # Arrow batches, so that a card's share of a batch is never held whole
+            own = pd.DataFrame(
+                {
+                    "us": batch["arrival_us"].astype("int64"),
+                    "sequence": batch["sequence"].astype("int64"),
+                    "id": batch["transaction_id"],
+                    "cents": np.floor(batch["Amount"].astype("float64") * 100 + 0.5).astype("int64"),
+                    "place": batch["country"].where(batch["country"].notna(), "").astype(str),
+                    "row": np.arange(len(batch)),
+                }
+            )
+            events = own if kept is None else pd.concat([kept.assign(row=-1), own], ignore_index=True)
+            events = events.sort_values(ORDER, kind="stable", ignore_index=True)
+            new = events["row"].to_numpy() >= 0
+            features = windows_of(events, new, self.windows)
+            features.index = batch.index[events["row"].to_numpy()[new]]
+            yield pd.concat([batch[self.columns], features], axis=1)
+            latest = events.drop_duplicates(["id", "cents", "place"], keep="last")
+            newest = int(events["us"].iloc[-1])
+            kept = latest[[*ORDER, "cents", "place"]].tail(self.windows.keep)
+        state.update((json.dumps([kept[c].tolist() for c in kept]),))
+        if self.late_us is not None:
+            state.setTimeoutTimestamp(max((newest + self.late_us) // 1000 + int(self.windows.long * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def live_velocity(
+    events: DataFrame, windows: VelocityWindows = VelocityWindows(), late_seconds: float | None = None
+) -> DataFrame:
     """Adds `velocity` to a stream of checked transactions.
 
     One shuffle by card. Rows without a card bypass the state, where they would
-    all share one key.
+    all share one key. By default a card's few newest events are kept for good (on
+    disk, in RocksDB), and no row is ever too late. With `late_seconds` a card
+    expires, by event time, once it has been idle for the longest window and that
+    long besides; Spark then drops rows that come later still.
     """
     columns = events.columns
     output = T.StructType(
@@ -92,11 +130,11 @@ def live_velocity(events: DataFrame, windows: VelocityWindows = VelocityWindows(
             T.StructField(FLAT[5], T.DoubleType()),
         ]
     )
-    measured = (
-        events.where(F.col("card_id").isNotNull())
-        .groupBy("card_id")
-        .applyInPandasWithState(
-            CardActivity(windows, columns), output, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout
-        )
+    carded, late_us, timeout = events.where(F.col("card_id").isNotNull()), None, GroupStateTimeout.NoTimeout
+    if late_seconds is not None:
+        late_us, timeout = int(late_seconds * MICROS), GroupStateTimeout.EventTimeTimeout
+        carded = carded.withColumn("_arrived", F.timestamp_micros("arrival_us")).withWatermark("_arrived", f"{late_seconds} seconds")
+    measured = carded.groupBy("card_id").applyInPandasWithState(
+        CardActivity(windows, columns, late_us), output, STATE_SCHEMA, "append", timeout
     )
     return nest(measured).unionByName(without_velocity(events.where(F.col("card_id").isNull())))

@@ -1,6 +1,7 @@
 import json
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,22 @@ def test_an_endless_outage_leaves_the_batch_uncommitted():
 
     with pytest.raises(OSError):
         J.record_patiently(down, attempts=3, sleep=lambda s: None)
+    waits = []
+    with pytest.raises(OSError):  # without a limit it goes on until the job is stopped
+        J.record_patiently(down, sleep=waits.append, stopped=lambda: len(waits) == 50)
+    assert len(waits) == 50
+
+
+def test_an_error_that_is_no_outage_is_raised_at_once():
+    calls = []
+
+    def wrong():
+        calls.append(1)
+        raise ValueError("a column is missing")
+
+    with pytest.raises(ValueError):
+        J.record_patiently(wrong, sleep=lambda s: pytest.fail("it waited"))
+    assert calls == [1]
 
 
 def test_recording_retries_inside_a_batch(spark, tmp_path):
@@ -157,11 +174,74 @@ def test_state_equals_the_batch_operator(spark):
         events.append((f"tx-{n}", "card-a", rng.randint(0, 5000) / 100, rng.choice(["GB", "NG", None]), at, n))
     df = spark.createDataFrame(events, "transaction_id string, card_id string, Amount double, country string, arrival_us bigint, sequence bigint")
     batch = {r["transaction_id"]: tuple(r)[1:] for r in V.flatten(V.measure(df, windows)).select("transaction_id", *(f"velocity_{n}" for n in V.FEATURES)).collect()}
-    state, kept = CardActivity(windows, []), []
-    for ident, _, amount, country, us, _ in events:
-        event = (us, ident, round(amount * 100), country or "")
-        kept = state._add(kept, event)
-        assert state._features(kept, event) == batch[ident], ident
+    names = ["transaction_id", "card_id", "Amount", "country", "arrival_us", "sequence"]
+    for shuffled in (False, True):
+        whole = pd.DataFrame(events, columns=names)
+        if shuffled:  # late within a batch of rows, never across: each row still sees all that came before it
+            whole = pd.concat([whole.iloc[i : i + 40].sample(frac=1, random_state=1) for i in range(0, 200, 40)])
+        activity, state, got = CardActivity(windows, names), FakeState(), {}
+        for i in range(0, 200, 40):
+            for part in activity(("card-a",), iter([whole.iloc[i : i + 40].reset_index(drop=True)]), state):
+                got |= {r[0]: r[len(names) :] for r in part.itertuples(index=False)}
+        assert {k: tuple(None if x != x else x for x in v) for k, v in got.items()} == batch
+
+
+class FakeState:
+    """What Spark hands a stateful function, without Spark."""
+
+    hasTimedOut = False
+
+    def __init__(self):
+        self.value = None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def setTimeoutTimestamp(self, at):
+        self.timeout = at
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+
+def activity_of(*batches, windows=V.VelocityWindows(), late_us=None):
+    """Features by id after each batch of (id, seconds, amount, country)."""
+    names = ["transaction_id", "Amount", "country", "arrival_us", "sequence"]
+    activity, state, got = CardActivity(windows, names, late_us), FakeState(), {}
+    for n, rows in enumerate(batches):
+        frame = pd.DataFrame([(i, a, c, int(s * 1e6), 10 * n + k) for k, (i, s, a, c) in enumerate(rows)], columns=names)
+        for part in activity(("card",), iter([frame]), state):
+            got |= {r[0]: tuple(None if x != x else x for x in r[5:]) for r in part.itertuples(index=False)}
+    return got, state
+
+
+def test_a_late_event_sees_nothing_later():
+    got, _ = activity_of([("a", 40, 1.0, "GB"), ("b", 100, 2.0, "NG")], [("late", 50, 4.0, "GB")], [("c", 101, 8.0, None)])
+    assert got["late"] == (2, 2, 2, 5.0, 1, 10.0)
+    assert got["c"] == (3, 4, 4, 15.0, 2, 1.0)
+    assert activity_of([("b", 100, 2.0, "NG")], [("late", 50, 4.0, "GB")])[0]["late"] == (1, 1, 1, 4.0, 1, None)
+
+
+def test_a_delivery_again_counts_once_and_moves():
+    got, _ = activity_of([("a", 10, 1.0, "GB"), ("b", 20, 2.0, "GB")], [("a", 30, 1.0, "GB")], [("c", 40, 3.0, "GB")])
+    assert got["a"] == (2, 2, 2, 3.0, 1, 10.0) and got["c"] == (3, 3, 3, 6.0, 1, 10.0)
+
+
+def test_a_stop_of_the_job_loses_no_history():
+    """Expiry is by event time or not at all; how long the job stood still has no part in it."""
+    _, state = activity_of([("a", 10, 1.0, "GB")])
+    assert not hasattr(state, "timeout")
+    _, state = activity_of([("a", 10, 1.0, "GB")], late_us=5_000_000)
+    assert state.timeout == 10_000 + 5_000 + 3_600_000
+
+
+def test_the_newest_events_are_kept():
+    windows = V.VelocityWindows(keep=4)
+    _, state = activity_of([(f"e{i}", i, 1.0, "GB") for i in range(10)], windows=windows)
+    assert json.loads(state.get[0])[2] == ["e6", "e7", "e8", "e9"]
 
 
 def test_positions_from_progress(spark):
