@@ -8,10 +8,10 @@ that hash, and runs in Arrow batches.
 from __future__ import annotations
 
 import hashlib
-from itertools import accumulate
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Size and skew of the card portfolio, places and merchants.
@@ -69,32 +69,24 @@ def keyed_choice(value: Column, salt: str, n: int) -> Column:
     return choice(value)
 
 
-def card_shares() -> list[float]:
-    """Cumulative share of traffic of each card, busiest first."""
-    weights = [1 / (i + 1) ** CARD_WEIGHT_EXPONENT for i in range(CARD_COUNT)]
-    total = sum(weights)
-    return list(accumulate(w / total for w in weights))
+def card_table(spark: SparkSession) -> DataFrame:
+    """For each of BINS equal parts of [0, 1): the cards whose range ends before it, and the ends inside it.
 
+    Cards have ranges of [0, 1) one behind the other, as wide as their weight rank ** -CARD_WEIGHT_EXPONENT
+    has a share in all weights. As many rows as bins, whatever the data.
+    """
+    upto = np.cumsum(np.arange(1.0, CARD_COUNT + 1) ** -CARD_WEIGHT_EXPONENT)
+    ends = (upto / upto[-1])[:-1]  # the last card takes whatever is left
+    edges = np.searchsorted((ends * BINS).astype(int), np.arange(BINS + 1))
+    rows = [(b, int(edges[b]), ends[edges[b] : edges[b + 1]].tolist()) for b in range(BINS)]
+    return spark.createDataFrame(rows, "_bin int, _before int, _ends array<double>")
 
-def with_card(df: DataFrame, fraction: Column) -> DataFrame:
-    """Adds `card_id`, drawn by rank from the cumulative shares.
 
-    A range lookup done as an equi-join: the share table is cut into equal bins
-    of [0, 1), each row of it holding how many cards end before the bin and which
-    end inside. The table's size is fixed by the constants above.
-    """
-    shares = card_shares()
-    inside: list[list[float]] = [[] for _ in range(BINS)]
-    for share in shares[:-1]:  # the last card takes whatever is left
-        inside[min(int(share * BINS), BINS - 1)].append(share)
-    rows, before = [], 0
-    for number, ends in enumerate(inside):
-        rows.append((number, before, ends))
-        before += len(ends)
-    table = df.sparkSession.createDataFrame(rows, "_bin int, _before int, _ends array<double>")
+def with_card(df: DataFrame, fraction: Column) -> DataFrame:
+    """Adds `card_id`: the card in whose range the fraction falls, found by an equi-join on its bin."""
     drawn = df.withColumn("_u", fraction).withColumn("_bin", F.floor(F.col("_u") * BINS).cast("int"))
     rank = F.col("_before") + F.size(F.filter("_ends", lambda end: end <= F.col("_u")))
-    joined = drawn.join(F.broadcast(table), "_bin", "left")
+    joined = drawn.join(F.broadcast(card_table(df.sparkSession)), "_bin", "left")
     card = F.concat(F.lit("card-"), F.lpad(rank.cast("string"), 5, "0"))
     return joined.withColumn("card_id", card).drop("_u", "_bin", "_before", "_ends")
 

@@ -242,5 +242,5 @@ def checked_batch(rows: DataFrame, max_rows: int = MAX_BATCH_ROWS) -> DataFrame:
     if verdict["repeated"]:
         raise ValueError(f"duplicate transaction_id in batch: {verdict['first_repeated']}")
     if not verdict["accepted"]:
-        raise ValueError(f"a batch holds 1 to {max_rows} transactions, got {verdict['rows']}")
+        raise ValueError(f"{verdict['rows']} rows where 1 to {max_rows} are allowed")
     return rows

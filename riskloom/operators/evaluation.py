@@ -37,14 +37,14 @@ def check_inputs(df: DataFrame, label: str, *numbers: str, both: bool = True) ->
         *odd,
     ).first()
     if row["_other"]:
-        raise ValueError("labels must be 0 (normal) or 1 (fraud)")
+        raise ValueError("a label is neither 0 (normal) nor 1 (fraud)")
     for c in numbers:
         if row[c]:
-            raise ValueError(f"{c} contains missing, NaN or infinite values")
+            raise ValueError(f"column {c} contains values that are null, NaN or infinite")
     if both and not (row["_fraud"] and row["_normal"]):
-        raise ValueError("evaluation needs both normal and fraud rows")
+        raise ValueError("rows of both normal and fraud are required")
     if not row["_fraud"]:
-        raise ValueError("need at least one fraud row")
+        raise ValueError("without at least one fraud row there is nothing to find")
     return df
 
 
@@ -158,7 +158,7 @@ def threshold_table(
 
 
 def confusion_at(df: DataFrame, score: str, label: str, threshold: float) -> DataFrame:
-    """Counts when every row with score >= threshold is flagged."""
+    """tp, fp, fn and tn of one threshold; a score equal to it counts as flagged."""
     flagged, fraud = F.col(score) >= threshold, F.col(label) == 1
     return df.agg(
         F.count_if(flagged & fraud).alias("tp"),

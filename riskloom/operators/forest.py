@@ -112,7 +112,7 @@ def fit_forest(
     drawn = samples(normal, row_id, features, trees, sample_rows, seed)
     nodes = drawn.groupBy("tree").applyInPandas(fit, NODE_SCHEMA).toPandas()
     if nodes.empty:
-        raise ValueError("no normal transactions to train on")
+        raise ValueError("there are no normal rows to grow trees from")
     return IsolationForest(nodes, min(sample_rows, normal.count()))
 
 

@@ -131,7 +131,7 @@ def choices(priced: DataFrame, capacity: float, tolerance: float = 0.02, by: Seq
 def choose_thresholds(priced: DataFrame, capacity: float, tolerance: float = 0.02) -> DataFrame:
     """`choices` for one table; an error when no pair fits the capacity."""
     best = choices(priced, capacity, tolerance)
-    failed = F.raise_error(F.lit(f"no policy reviews at most {capacity:.2%} of transactions"))
+    failed = F.raise_error(F.lit(f"no policy reviews at most a share of {capacity} of the rows"))
     return best.agg(F.max_by(F.struct("*"), F.lit(1)).alias("_best"), F.count(F.lit(1)).alias("_n")).select(
         F.when(F.col("_n") > 0, F.col("_best")).otherwise(failed).alias("_best")
     ).select("_best.*")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -196,8 +196,19 @@ def model_inputs(df: DataFrame, scaling: dict[str, float], keep: Sequence[str] =
     return df.select(*keep, amount.alias("Amount"), sine.alias("time_sin"), cosine.alias("time_cos"), *V_COLUMNS)
 
 
+class ModelInputs(Estimator):
+    """Learns the scaling from the rows it is fitted on, so that inside a fold it never sees the rows held out."""
+
+    def __init__(self, others: Sequence[str] = V_COLUMNS):
+        super().__init__()
+        self.others = others
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        return preprocessing(fit_scaling(dataset), self.others).fit(dataset)
+
+
 def preprocessing(scaling: dict[str, float], others: Sequence[str] = V_COLUMNS) -> Pipeline:
-    """The same inputs as ML stages, so that a saved model carries its preprocessing."""
+    """The same inputs as ML stages with a known scaling, so that a saved model carries its preprocessing."""
     spread = scaling["q75"] - scaling["q25"] or 1.0
     statement = (
         f"SELECT *, (log1p(Amount) - {scaling['q50']!r}D) / {spread!r}D AS scaled_amount, "

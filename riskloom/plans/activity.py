@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from riskloom.functions import rules as R
@@ -275,7 +277,8 @@ def latest_decisions(spark, sf_dir):
 def flatten_velocity(spark, sf_dir):
     flat = V.flatten(measured(spark, sf_dir).select("transaction_id", "velocity"))
     back = V.nest(flat.select("*", *(F.col(c).alias("copy_" + c) for c in flat.columns if c != "transaction_id")), "copy_velocity_")
-    same = F.col("velocity.count_1h") == F.col("velocity_count_1h")
+    pairs = [F.col(f"velocity.{name}").eqNullSafe(F.col(f"velocity_{name}")) for name in V.FEATURES]
+    same = reduce(lambda a, b: a & b, pairs)
     return back.withColumn("same_after_nesting", same).drop("velocity")
 
 
@@ -292,10 +295,9 @@ def decision_by_id(spark, sf_dir):
 
 
 @query(sql.with_(sql.SCORED, """, kinds(decision) AS (VALUES ('approve'), ('review'), ('block'))
-SELECT k.decision, count(s.transaction_id) AS decisions FROM kinds k LEFT JOIN scored s ON s.decision = k.decision AND s.risk < 0.95 GROUP BY 1"""))
+SELECT k.decision, count(s.transaction_id) AS decisions FROM kinds k LEFT JOIN scored s ON s.decision = k.decision GROUP BY 1"""))
 def decision_counts(spark, sf_dir):
-    """Counted without the blocking scores, so that one kind must come back as zero."""
-    return D.counts_by_kind(decisions(spark, sf_dir).where("risk_score < 0.95"))
+    return D.counts_by_kind(decisions(spark, sf_dir))
 
 
 @query(
@@ -334,16 +336,14 @@ def bucket_width(spark, sf_dir):
 @query(
     sql.with_(
         sql.SCORED,
-        """, c AS (SELECT us // 1000000 - (us // 1000000) % 3600 AS b, * FROM scored WHERE decision <> 'approve'),
+        """, c AS (SELECT us // 1000000 - (us // 1000000) % 3600 AS b, * FROM scored),
  cal AS (SELECT unnest(range((SELECT min(b) FROM c), (SELECT max(b) FROM c) + 1, 3600)) AS b)
 SELECT cal.b AS bucket_second, count(*) FILTER (WHERE decision = 'approve') AS approve, count(*) FILTER (WHERE decision = 'review') AS review,
   count(*) FILTER (WHERE decision = 'block') AS block FROM cal LEFT JOIN c USING (b) GROUP BY 1""",
     )
 )
 def decisions_over_time(spark, sf_dir):
-    """Hourly, without the approvals, so that some hours are empty."""
-    rows = decisions(spark, sf_dir).where("decision <> 'approve'")
-    out = D.over_time(rows, 3600)
+    out = D.over_time(decisions(spark, sf_dir), 3600)
     return out.select(F.unix_seconds("bucket_start").alias("bucket_second"), "approve", "review", "block")
 
 
@@ -367,6 +367,12 @@ def review_queue(spark, sf_dir):
     return queue.select("transaction_id", "decision", F.unix_micros("scored_at").alias("scored_us"), joined("rules").alias("rules"))
 
 
+@query(sql.with_(sql.SCORED, """SELECT transaction_id, decision, us AS scored_us, reasons AS rules FROM scored WHERE decision <> 'approve'"""))
+def review_queue_all(spark, sf_dir):
+    queue = D.review_queue(decisions(spark, sf_dir), only_escalated=False)
+    return queue.select("transaction_id", "decision", F.unix_micros("scored_at").alias("scored_us"), joined("rules").alias("rules"))
+
+
 @query(sql.with_(sql.SCORED, """SELECT unnest(string_split(reasons, ',')) AS rule, count(*) AS fired FROM scored WHERE reasons <> '' GROUP BY 1"""))
 def reason_counts(spark, sf_dir):
     return D.rule_counts(decisions(spark, sf_dir))
@@ -424,7 +430,9 @@ def load_decisions(spark, sf_dir):
     return rows.withColumn("scored_us", F.unix_micros("scored_at")).withColumn("reasons", joined("reasons")).drop("scored_at")
 
 
-@query(sql.with_(sql.TX, "SELECT least(count(*), 1001) AS rows, count(*) > 1000 AS truncated FROM tx"))
+@query(sql.with_(sql.SCORED, "SELECT least(count(*), 1001) AS rows, count(*) > 1000 AS truncated FROM scored WHERE us >= 1705276800000000"))
 def decisions_truncated(spark, sf_dir):
-    rows = transactions(spark, sf_dir).select("transaction_id").limit(1001)
-    return D.truncation(rows, 1000)
+    """Whether the view of the second half of the month, at most a thousand rows, leaves any out."""
+    from datetime import datetime, timezone
+
+    return D.truncation(D.view(decisions(spark, sf_dir), datetime(2024, 1, 15, tzinfo=timezone.utc), 1000), 1000)

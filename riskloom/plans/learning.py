@@ -39,7 +39,7 @@ def labelled_documents(spark, sf_dir):
         F.regexp_count(text, F.lit("[A-Z]")).cast("double").alias("capitals"),
         F.regexp_count(text, F.lit("\n")).cast("double").alias("lines"),
     )
-    return counted.join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
+    return counted.join(labels.where("quality is not null").select("doc_id", F.col("quality").alias("label")), "doc_id")
 
 
 def inputs():
@@ -97,7 +97,7 @@ def isolation_forest(spark, sf_dir):
     ship(spark)
     rows = forest_rows(spark, sf_dir)
     normal = prep.normal_only(rows, "label")
-    forest = IF.fit_forest(normal, "vec_id", F.col("x"), trees=100)
+    forest = IF.fit_forest(normal, "vec_id", F.col("x"))
     return rounded(IF.forest_risk(forest, normal, rows, F.col("x")).select("vec_id", "label", "raw", "risk"), "raw", "risk")
 
 
@@ -106,7 +106,7 @@ def forest_quality(spark, sf_dir):
     ship(spark)
     rows = forest_rows(spark, sf_dir)
     normal = prep.normal_only(rows, "label")
-    forest = IF.fit_forest(normal, "vec_id", F.col("x"), trees=100)
+    forest = IF.fit_forest(normal, "vec_id", F.col("x"))
     scored = IF.forest_risk(forest, normal, rows, F.col("x"))
     return rounded(E.metrics(scored, "risk", "label"), "pr_auc", "pr_auc_baseline", "roc_auc")
 
@@ -116,7 +116,7 @@ def contamination_offset(spark, sf_dir):
     ship(spark)
     rows = forest_rows(spark, sf_dir)
     normal = prep.normal_only(rows, "label")
-    scored = IF.fit_forest(normal, "vec_id", F.col("x"), trees=100).score(normal, F.col("x"))
+    scored = IF.fit_forest(normal, "vec_id", F.col("x")).score(normal, F.col("x"))
     return rounded(IF.contamination_cut(scored, 0.0017), "offset")
 
 

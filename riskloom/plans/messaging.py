@@ -322,10 +322,12 @@ SELECT stage, round((t2 - t1) / (n2 - n1), 6) AS server_seconds FROM ends""",
     )
 )
 def counter_deltas(spark, sf_dir):
-    """Each request is followed by a scrape of the running total and count of its stage."""
+    """Each instant with requests is followed by a scrape of the running total and count of its stage."""
     from riskloom.operators.ranking import running_totals
 
-    log = requests(spark, sf_dir).select("stage", F.col("arrival_us").alias("scraped_at"), "latency_s", F.lit(1).cast("long").alias("one"))
+    log = requests(spark, sf_dir).groupBy("stage", F.col("arrival_us").alias("scraped_at")).agg(
+        F.sum("latency_s").alias("latency_s"), F.count(F.lit(1)).alias("one")
+    )
     scrapes = running_totals(log, ["scraped_at"], {"total": "latency_s", "count": "one"}, ["stage"])
     return rounded(O.counter_means(scrapes, "stage"), "server_seconds")
 

@@ -57,13 +57,13 @@ def duplicate_report(spark, sf_dir):
 
 
 @query(
-    """WITH j AS (SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))
-SELECT unnest(['doc_id', 'lang', 'quality', 'toxic', '(all)']) AS name, unnest([count(*) FILTER (WHERE doc_id IS NULL), count(*) FILTER (WHERE lang IS NULL),
-  count(*) FILTER (WHERE quality IS NULL), count(*) FILTER (WHERE toxic IS NULL),
-  count(*) FILTER (WHERE doc_id IS NULL) + count(*) FILTER (WHERE lang IS NULL) + count(*) FILTER (WHERE quality IS NULL) + count(*) FILTER (WHERE toxic IS NULL)]) AS missing FROM j"""
+    """WITH j AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)),
+m AS (SELECT count(*) - count(COLUMNS(*)) FROM j)
+SELECT name, missing FROM (UNPIVOT m ON COLUMNS(*) INTO NAME name VALUE missing)
+UNION ALL SELECT '(all)', CAST(sum(missing) AS BIGINT) FROM (UNPIVOT m ON COLUMNS(*) INTO NAME name VALUE missing)"""
 )
 def missing_cells(spark, sf_dir):
-    joined = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return prep.missing_cells(joined)
 
 

@@ -194,7 +194,8 @@ def lowest_lift(spark, sf_dir):
     sql.with_(
         RATED,
         """, b AS (SELECT min(-amount) AS lo, max(-amount) AS hi FROM rated WHERE label = 0),
- s AS (SELECT 'min-max' AS scheme, label, least(greatest((hi + amount) / (hi - lo), 0), 1) AS v FROM rated, b UNION ALL SELECT 'negated', label, amount FROM rated)
+ s AS (SELECT 'min-max' AS scheme, label, least(greatest((hi + amount) / (hi - lo), 0), 1) AS v FROM rated, b UNION ALL SELECT 'negated', label, amount FROM rated
+  UNION ALL SELECT 'percentile', label, (sum(1 - label) OVER () - sum(1 - label) OVER (ORDER BY -amount)) / sum(1 - label) OVER () FROM rated)
 SELECT scheme, round(100 * count(*) FILTER (WHERE v >= 0.5 AND label = 0) / count(*) FILTER (WHERE label = 0), 6) AS normal_flagged_pct,
   count(*) FILTER (WHERE v >= 0.5 AND label = 1) AS fraud_caught, round(median(v) FILTER (WHERE label = 0), 6) AS normal_median,
   round(median(v) FILTER (WHERE label = 1), 6) AS fraud_median FROM s GROUP BY 1""",
@@ -203,9 +204,11 @@ SELECT scheme, round(100 * count(*) FILTER (WHERE v >= 0.5 AND label = 0) / coun
 def risk_scalings(spark, sf_dir):
     df = rated(spark, sf_dir).withColumn("raw", -F.col("Amount"))
     ends = df.where("label = 0").agg(F.min("raw"), F.max("raw")).first()
+    df = E.calibrated(df.where("label = 0"), df, "raw", "percentile")
     schemes = {
         "min-max": min_max_risk(F.col("raw"), F.lit(ends[0]), F.lit(ends[1])),
         "negated": negated_risk(F.col("raw")),
+        "percentile": F.col("percentile"),
     }
     return rounded(E.scaling_comparison(df, schemes, "label"), "normal_flagged_pct", "normal_median", "fraud_median")
 

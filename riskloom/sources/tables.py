@@ -12,7 +12,7 @@ def check_columns(columns: list[str]) -> None:
     """Missing columns are an error that lists them sorted; extra ones are kept."""
     missing = sorted({*RAW_FEATURES, TARGET} - set(columns))
     if missing:
-        raise ValueError(f"raw data is missing columns: {missing}")
+        raise ValueError(f"columns to be added to the table first: {missing}")
 
 
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
