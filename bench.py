@@ -30,6 +30,9 @@ HEADLINE = (
     "hash_identities",
     "request_latency",
     "stream_ingest_stats",
+    "stream_decisions",
+    "isolation_forest",
+    "train_metadata",
 )
 
 

@@ -15,6 +15,7 @@ from riskloom.plans.quality import rounded
 from riskloom.plans.registry import query
 from riskloom.plans.tables import LIMITS, stub_risk, transactions
 from riskloom.sources import messages as M
+from riskloom.sources.tables import spread
 
 
 def full_transactions(spark, sf_dir):
@@ -26,7 +27,7 @@ def full_transactions(spark, sf_dir):
 
 def messages(spark, sf_dir, broken=True):
     """One record per event over three partitions; ten kinds of damage by event id."""
-    tx = full_transactions(spark, sf_dir)
+    tx = spread(full_transactions(spark, sf_dir))
     kind = F.pmod(F.col("event_id"), F.lit(40)).cast("int")
     fields = ("transaction_id", *RAW_FEATURES, "card_id", "merchant", "country")
     text = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})

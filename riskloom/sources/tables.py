@@ -27,6 +27,15 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer files than there are cores, dealt out to all of them before a costly step; others as they are.
+
+    A file of one row group is read by one task, however large the step behind it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def save_splits(df: DataFrame, path: str, is_test: str = "is_test") -> None:
     """Raw values of both parts, unscaled, so that every later step sees the same rows."""
     for part, wanted in (("train", False), ("test", True)):

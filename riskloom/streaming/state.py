@@ -20,54 +20,49 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from riskloom.operators.velocity import FEATURES, MICROS, VelocityWindows, nest, without_velocity
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-# The kept events as JSON columns of arrivals, sequences, ids, cents and countries: at most `keep` of them.
+# The kept events as JSON rows of (arrival, sequence, id, cents, country): at most `keep` of them.
 STATE_SCHEMA = "kept string"
 FLAT = [f"velocity_{name}" for name in FEATURES]
-ORDER = ["us", "sequence", "id"]
 
 
-def windows_of(events: pd.DataFrame, new: np.ndarray, windows: VelocityWindows) -> pd.DataFrame:
-    """Features of the events marked `new`, each from the events up to it; `events` (us, sequence, id, cents, place) are in ORDER.
+def windows_of(events: dict[str, list], new: list[int], windows: VelocityWindows) -> list[list]:
+    """Columns of features of the events at the places `new`, each from the events up to it.
 
-    Of deliveries of the same event only the last one up to a row counts for it.
+    `events` has the columns us, sequence, id, cents and place, sorted by the first three. Of deliveries of the same
+    event only the last one up to a row counts for it.
     """
-    us, cents = events["us"].to_numpy(np.int64), events["cents"].to_numpy(np.int64)
-    n, at = len(events), np.flatnonzero(new)
-    again = events.duplicated(["id", "cents", "place"], keep=False).to_numpy()
+    us, cents, places = np.array(events["us"], np.int64), np.array(events["cents"], np.int64), events["place"]
+    at, n = np.array(new, np.int64), len(us)
+    identity = list(zip(events["id"], events["cents"], places))
     ahead = lambda seconds, side: np.searchsorted(us, us[at] - int(seconds * MICROS), side)
     oldest = ahead(windows.long, "right")
-    if not again.any():
+    if len(set(identity)) == n:
         first = np.maximum(oldest, at - windows.keep + 1)
         summed = np.concatenate([[0], np.cumsum(cents)])
-        places = np.zeros(len(at), np.int64)
-        codes, names = pd.factorize(events["place"])
-        for code, name in enumerate(names):
-            if name:  # a card's countries: few
-                last = np.maximum.accumulate(np.where(codes == code, np.arange(n), -1))[at]
-                places += last >= first
+        different = np.zeros(len(at), np.int64)
+        named = np.array(places, object)
+        for name in {p for p in places if p}:  # a card's countries: few
+            different += np.maximum.accumulate(np.where(named == name, np.arange(n), -1))[at] >= first
         gap = np.where(at > first, us[at] - us[np.maximum(at - 1, 0)], -1)
         counts = [at - np.maximum(first, ahead(w, "left")) + 1 for w in (windows.short, windows.middle)]
         counts += [at - first + 1]
         amount = summed[at + 1] - summed[first]
     else:
         # Some event came again: each row looks at its own window, of `keep` events and their repeats.
-        same = events.groupby(["id", "cents", "place"], sort=False).ngroup().to_numpy()
-        place = events["place"].to_numpy()
         rows = []
-        for i, low in zip(at.tolist(), oldest.tolist()):
-            seen, own = set(), []
+        for i, low in zip(new, oldest.tolist()):
+            own: dict[tuple, int] = {}
             for k in range(i, low - 1, -1):
-                if same[k] not in seen:
-                    seen.add(same[k])
-                    own.append(k)
-                    if len(own) == windows.keep:
-                        break
-            since = lambda w: int(np.count_nonzero(us[own] >= us[i] - int(w * MICROS)))  # noqa: E731, B023
-            rows.append((since(windows.short), since(windows.middle), len(own), int(cents[own].sum()), len({place[k] for k in own if place[k]}), us[i] - us[own[1]] if len(own) > 1 else -1))
-        *counts, amount, places, gap = (np.array(c) for c in zip(*rows)) if rows else [at] * 6
+                own.setdefault(identity[k], k)
+                if len(own) == windows.keep:
+                    break
+            kept = list(own.values())
+            since = [int(np.count_nonzero(us[kept] >= us[i] - int(w * MICROS))) for w in (windows.short, windows.middle)]
+            rows.append((*since, len(kept), int(cents[kept].sum()), len({places[k] for k in kept if places[k]}), us[i] - us[kept[1]] if len(kept) > 1 else -1))
+        *counts, amount, different, gap = (np.array(c) for c in zip(*rows))
     # Milliseconds rounded half up on whole microseconds, as the batch operator does.
     seconds = np.where(gap >= 0, (gap + 500) // 1000 / 1000, np.nan)
-    return pd.DataFrame(dict(zip(FLAT, (*counts, amount / 100, places, seconds))))
+    return [*counts, amount / 100, different, seconds]
 
 
 class CardActivity:
@@ -82,29 +77,22 @@ class CardActivity:
         if state.hasTimedOut:
             state.remove()
             return
-        kept = pd.DataFrame(dict(zip([*ORDER, "cents", "place"], json.loads(state.get[0])))) if state.exists else None
-        newest = 0
+        kept = [tuple(event) for event in json.loads(state.get[0])] if state.exists else []
         for batch in rows:  # Arrow batches, so that a card's share of a batch is never held whole
-            own = pd.DataFrame(
-                {
-                    "us": batch["arrival_us"].astype("int64"),
-                    "sequence": batch["sequence"].astype("int64"),
-                    "id": batch["transaction_id"],
-                    "cents": np.floor(batch["Amount"].astype("float64") * 100 + 0.5).astype("int64"),
-                    "place": batch["country"].where(batch["country"].notna(), "").astype(str),
-                    "row": np.arange(len(batch)),
-                }
-            )
-            events = own if kept is None else pd.concat([kept.assign(row=-1), own], ignore_index=True)
-            events = events.sort_values(ORDER, kind="stable", ignore_index=True)
-            new = events["row"].to_numpy() >= 0
-            features = windows_of(events, new, self.windows)
-            features.index = batch.index[events["row"].to_numpy()[new]]
-            yield pd.concat([batch[self.columns], features], axis=1)
-            latest = events.drop_duplicates(["id", "cents", "place"], keep="last")
-            newest = int(events["us"].iloc[-1])
-            kept = latest[[*ORDER, "cents", "place"]].tail(self.windows.keep)
-        state.update((json.dumps([kept[c].tolist() for c in kept]),))
+            cents = np.floor(batch["Amount"].to_numpy("float64") * 100 + 0.5).astype("int64")
+            place = [p if isinstance(p, str) else "" for p in batch["country"]]
+            columns = (batch["arrival_us"].tolist(), batch["sequence"].tolist(), batch["transaction_id"], cents.tolist(), place)
+            own = [(*event, row) for row, event in enumerate(zip(*columns))]
+            events = sorted([*((*event, -1) for event in kept), *own], key=lambda e: e[:3])
+            new = [k for k, e in enumerate(events) if e[5] >= 0]
+            columns = dict(zip(("us", "sequence", "id", "cents", "place"), map(list, zip(*events))))
+            measured = windows_of(columns, new, self.windows)
+            order = [events[k][5] for k in new]
+            yield batch.iloc[order][self.columns].reset_index(drop=True).assign(**dict(zip(FLAT, measured)))
+            latest = {e[2:5]: e[:5] for e in events}  # of deliveries of the same event the last one
+            kept = sorted(latest.values(), key=lambda e: e[:3])[-self.windows.keep :]
+        newest = kept[-1][0]
+        state.update((json.dumps(kept),))
         if self.late_us is not None:
             state.setTimeoutTimestamp(max((newest + self.late_us) // 1000 + int(self.windows.long * 1000), state.getCurrentWatermarkMs() + 1))
 

@@ -241,7 +241,7 @@ def test_a_stop_of_the_job_loses_no_history():
 def test_the_newest_events_are_kept():
     windows = V.VelocityWindows(keep=4)
     _, state = activity_of([(f"e{i}", i, 1.0, "GB") for i in range(10)], windows=windows)
-    assert json.loads(state.get[0])[2] == ["e6", "e7", "e8", "e9"]
+    assert [e[2] for e in json.loads(state.get[0])] == ["e6", "e7", "e8", "e9"]
 
 
 def test_positions_from_progress(spark):
