@@ -1,7 +1,7 @@
 """Byte-pair encoding and decoding with the vocabulary file of a public tokenizer.
 
 A word's symbols are a doubly linked list; a priority queue holds the rank of every adjacent pair, and an entry whose
-pair has changed since is skipped when it comes up. Decoding joins vocabulary strings. A task remembers a bounded
+pair has changed since is skipped when it comes up. Decoding joins vocabulary strings. A worker remembers a bounded
 number of words. Texts of any length are encoded piece by piece, cut behind blanks, which no token spans. About a
 hundred characters that Unicode gained in 2024 and 2025 are classed as the installed `regex` module has them.
 """
@@ -12,6 +12,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.text import small_batches, with_columns
 
-WORDS_KEPT = 200_000  # words a task remembers
+WORDS_KEPT = 400_000  # words a worker remembers
 PIECE_CHARS = 1 << 16
 
 
@@ -106,6 +107,12 @@ class Tokenizer:
         return " ".join([s for i in ids if (s := self.strings.get(i)) is not None])
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(source: str) -> Tokenizer:
+    """One for a worker process, so that the words it remembers serve its later tasks too."""
+    return Tokenizer(source)
+
+
 def load(path: str) -> str:
     """The vocabulary file's text, read once on the driver; such a file has a few MB."""
     with open(path, encoding="utf-8") as file:
@@ -122,7 +129,7 @@ def with_tokens(docs: DataFrame, path: str) -> DataFrame:
     source = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def compute():
-        tokenizer = Tokenizer(source.value)
+        tokenizer = _tokenizer(source.value)
 
         def columns(batch: pa.RecordBatch) -> list[pa.Array]:
             ends, parts, texts = [0], [np.zeros(0, np.int32)], []
