@@ -21,7 +21,7 @@ from riskloom.llm.quality import training_rows
 from riskloom.llm.text import Words, mixed, pieces, small_batches, with_columns
 
 ORDER = 6  # bytes of a gram, the last of them predicted
-LABELLED_PER_CLASS = 6_000  # labelled documents the models and the layer are fitted on, of each class at most
+LABELLED_PER_CLASS = 3_000  # labelled documents the models and the layer are fitted on, of each class at most
 CUT_OFF = 0.3  # fixed by the contract: label 1 from this score on
 WORDS_KEPT = 400_000  # words whose ratio a task remembers
 BEGIN, END = 256, 257  # marks around a word
@@ -55,11 +55,11 @@ class Table:
         return out
 
 
-def grams(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For every byte of each word and its end mark: keys of the grams that end there and of their contexts, by order.
+def grams(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """For every byte of each word and its end mark the word's number and, order by order, the keys of the gram of so
+    many symbols that ends there and of its context.
 
-    Entry n-1 of the lists is for grams of n symbols; where a word has fewer before, the gram is the whole beginning
-    with its mark. The third result numbers the words.
+    Where a word has fewer symbols before, the gram is its whole beginning with the mark.
     """
     length = end - begin
     size = length + 2
@@ -73,20 +73,19 @@ def grams(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[list[np
     word = np.repeat(np.arange(len(size)), size)
     nth = np.arange(len(symbols)) - first[word]
     predicted = np.flatnonzero(nth > 0)
-    key = np.full(len(predicted), 1, np.uint64)
-    gram_keys, context_keys = [], []
-    context = np.full(len(predicted), 1, np.uint64)
-    for n in range(1, ORDER + 1):
-        back = n - 1
-        inside = nth[predicted] >= back
-        at = np.maximum(predicted - back, 0)
-        # Symbols are folded in from the predicted one backwards, so that a longer gram extends a shorter one.
-        key = np.where(inside, mixed(key * np.uint64(0x9E3779B97F4A7C15) ^ values[at], 4), key)
-        if back:
-            context = np.where(inside, mixed(context * np.uint64(0x9E3779B97F4A7C15) ^ values[at], 5), context)
-        gram_keys.append(key)
-        context_keys.append(context)
-    return gram_keys, context_keys, word[predicted]
+
+    def by_order() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        key, context = np.full(len(predicted), 1, np.uint64), np.full(len(predicted), 1, np.uint64)
+        for back in range(ORDER):
+            inside = nth[predicted] >= back
+            symbol = values[np.maximum(predicted - back, 0)]
+            # Symbols are folded in from the predicted one backwards, so that a longer gram extends a shorter one.
+            key = np.where(inside, mixed(key * np.uint64(0x9E3779B97F4A7C15) ^ symbol, 4), key)
+            if back:
+                context = np.where(inside, mixed(context * np.uint64(0x9E3779B97F4A7C15) ^ symbol, 5), context)
+            yield key, context
+
+    return word[predicted], by_order()
 
 
 @dataclass
@@ -120,27 +119,30 @@ class Models:
         lengths = np.array([len(w) for w in words], np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
         end = np.cumsum(lengths)
-        gram, context, word = grams(data, end - lengths, end)
+        word, by_order = grams(data, end - lengths, end)
         self.shared: list[Level] = []
-        for n in range(1, ORDER):
-            # Continuation count: how many different grams of one symbol more end in this one.
-            pairs = np.unique(np.stack([gram[n - 1], context[n - 1], gram[n]], axis=1), axis=0)
-            keys, first, count = np.unique(pairs[:, 0], return_index=True, return_counts=True)
-            self.shared.append(_level(keys, pairs[first, 1], count))
-        keys, first, which = np.unique(gram[-1], return_index=True, return_inverse=True)
+        before = None
+        for gram, context in by_order:
+            distinct, first, which = np.unique(gram, return_index=True, return_inverse=True)
+            if before is not None:
+                # Continuation count: how many different grams of one symbol more end in this one.
+                keys, at, count = np.unique(before[0][first], return_index=True, return_counts=True)
+                self.shared.append(_level(keys, before[1][first][at], count))
+            before = gram, context
         self.own = []
         for weight in (ordinary, toxic):
-            count = np.bincount(which, weights=weight[word], minlength=len(keys))
+            count = np.bincount(which, weights=weight[word], minlength=len(distinct))
             have = count > 0
-            self.own.append(_level(keys[have], context[-1][first][have], count[have]))
+            self.own.append(_level(distinct[have], context[first][have], count[have]))
 
     def ratios(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log-likelihood of each word as toxic less that as ordinary."""
-        gram, context, word = grams(data, begin, end)
+        word, by_order = grams(data, begin, end)
         p = np.full(len(word), 1 / 257, np.float32)
-        for n, level in enumerate(self.shared):
-            p = level.smoothed(gram[n], context[n], p)
-        ordinary, toxic = (level.smoothed(gram[-1], context[-1], p) for level in self.own)
+        for n, (gram, context) in enumerate(by_order):
+            if n < len(self.shared):
+                p = self.shared[n].smoothed(gram, context, p)
+        ordinary, toxic = (level.smoothed(gram, context, p) for level in self.own)
         return np.bincount(word, weights=np.log(toxic / ordinary), minlength=len(begin))
 
 

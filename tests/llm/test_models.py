@@ -73,23 +73,20 @@ def test_vectors_are_pooled_alike_in_any_piece(monkeypatch):
 def test_kneser_ney_probabilities_sum_to_one():
     words = [b"abc", b"abd", b"xbc", b"zzzz", b"abcabc"]
     models = toxicity.Models(words, np.array([3.0, 1, 0, 2, 1]), np.array([0.0, 2, 4, 0, 1]))
-    for level, own in zip((models.own[0], models.own[1]), (0, 1)):
-        # All continuations of "ab" seen anywhere, plus the rest of the alphabet.
-        every = [b"ab" + bytes([c]) for c in range(256)]
-        data = np.frombuffer(b"".join(every), np.uint8)
-        ends = np.arange(1, 257) * 3
-        gram, context, word = toxicity.grams(data, ends - 3, ends)
+
+    def probabilities(level, spelt):
+        """Of every symbol of some words of equal length, one row each."""
+        data, ends = np.frombuffer(b"".join(spelt), np.uint8), np.arange(1, len(spelt) + 1) * len(spelt[0])
+        word, by_order = toxicity.grams(data, ends - len(spelt[0]), ends)
         p = np.full(len(word), 1 / 257, np.float32)
-        for n, shared in enumerate(models.shared):
-            p = shared.smoothed(gram[n], context[n], p)
-        p = level.smoothed(gram[-1], context[-1], p)
-        third = p.reshape(256, 4)[:, 2]  # the symbol after "ab" in each word
-        ended = toxicity.grams(np.frombuffer(b"ab", np.uint8), np.array([0]), np.array([2]))
-        q = np.full(len(ended[2]), 1 / 257, np.float32)
-        for n, shared in enumerate(models.shared):
-            q = shared.smoothed(ended[0][n], ended[1][n], q)
-        q = level.smoothed(ended[0][-1], ended[1][-1], q)
-        assert abs(third.sum() + q[-1] - 1) < 1e-4
+        for n, (gram, context) in enumerate(by_order):
+            p = models.shared[n].smoothed(gram, context, p) if n < len(models.shared) else level.smoothed(gram, context, p)
+        return p.reshape(len(spelt), -1)
+
+    for level in models.own:
+        third = probabilities(level, [b"ab" + bytes([c]) for c in range(256)])[:, 2]
+        ended = probabilities(level, [b"ab"])[0, -1]
+        assert abs(third.sum() + ended - 1) < 1e-4
 
 
 def plain_scores(texts):
