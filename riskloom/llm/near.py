@@ -3,9 +3,9 @@
 A text is its bag of five-word shingles, weighted by how often each occurs times its inverse document frequency. The
 samples (Ioffe's improved scheme) of two bags agree with a probability equal to their weighted Jaccard similarity.
 Texts with the same bag are one node. Nodes that share a band of samples are candidates; they are not paired with each
-other but with one chief of the band and then, where classes still meet in a band, with a few neighbours in a random
-order, another one in each step, until a step links no classes. Each pair is verified on its whole texts, and classes
-are the connected components of verified pairs.
+other but with a few chiefs of the band and then, where classes still meet in a band, with a few neighbours in a random
+order, another one in each step, until a step links no classes. Each pair is verified on its whole texts, and classes are the connected components
+of verified pairs.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from riskloom.llm.text import Words, mixed, pieces, shingle_hashes, small_batche
 from riskloom.session import checkpointed, run_folder
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, BAND_SAMPLES = 16, 4  # a pair of similarity 0.8 shares a band with probability 0.9998
+BANDS, BAND_SAMPLES = 16, 5  # a pair of similarity 0.8 shares a band with probability 0.998, one of 0.2 with 0.005
 SKETCH_BITS = 17  # document frequencies are counted in 2**17 cells, whatever the corpus
 DAMPING = 0.25  # weight of the frequency term: the rarest shingle weighs 1.25, one that is everywhere 1
-NEIGHBOURS = 16  # members of other classes that a member is compared with in each band and step after the first
+CHIEFS = 4  # of a band in the second step
+NEIGHBOURS = 8  # members on either side that a member is compared with in each band and later step, where their class is larger
 SLICE = 4096  # members of a large band that one task sorts
 FILTER_BITS = 26  # bits of the filter that says which texts a verification may need: 8 MB
 PIECE = 1 << 18  # bytes of text sampled at a time
@@ -222,12 +223,12 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps; each is a grouped minimum, combined before the shuffle, and a join.
     """
     edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    seen = None
     while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen or not now[0]:
+        # Done when every node is either a root or has one edge, to its root.
+        ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))))
+        each = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+        if each.where("up > 1 or up = 1 and root = 1").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -238,30 +239,48 @@ def components(links: DataFrame) -> DataFrame:
         )
 
 
-def _with_chief(placed: DataFrame) -> DataFrame:
-    """Every member of a band with the band's chief."""
-    first = F.min(F.struct(F.xxhash64("key").alias("h"), F.col("key").alias("chief")))
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Bands where classes still meet; merging classes never mixes a band again."""
+    hashed = F.xxhash64("class")
+    bands = placed.groupBy("band").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high"))
+    return bands.where("low <> high").select("band")
+
+
+def _sized(keyed: DataFrame) -> DataFrame:
+    return keyed.join(checkpointed(keyed.groupBy("class").agg(F.count(F.lit(1)).alias("size"))), "class")
+
+
+def _with_chiefs(placed: DataFrame, step: int) -> DataFrame:
+    """Members of a band, each with the band's chiefs that are of other classes, no smaller than its own.
+
+    A chief is the member that shares the most band places with others, which in a group of edited copies is one with
+    few edits: of the whole band first, of each of CHIEFS parts of it next.
+    """
+    part = F.pmod(F.xxhash64("key"), F.lit(CHIEFS)) if step else F.lit(0)
+    first = F.max(F.struct(F.col("central").alias("r"), F.col("key").alias("chief"), F.col("class").alias("chief_class"), F.col("size").alias("chief_size")))
     # Stored, so that the join shuffles both sides itself and adaptive execution can split a hot band.
-    chiefs = checkpointed(placed.groupBy("band").agg(first.alias("c")).select("band", "c.chief"))
-    return placed.join(chiefs, "band").where("key <> chief").select("key", "chief", "class", F.col("chief").alias("chief_class"))
+    chiefs = checkpointed(placed.groupBy("band", part.alias("part")).agg(first.alias("c")).select("band", "c.chief", "c.chief_class", "c.chief_size"))
+    pairs = placed.join(chiefs, "band").where("class <> chief_class and size <= chief_size")
+    return pairs.select("key", "chief", "class", "chief_class")
 
 
 def _with_neighbours(placed: DataFrame, step: int) -> DataFrame:
-    """Members of bands where classes still meet, each with the next NEIGHBOURS of other classes in an order of this step.
+    """Members of a band, each with those of the NEIGHBOURS on either side, in an order of this step, that are of larger classes.
 
     A band of up to NEIGHBOURS + 1 members is compared whole in the first such step and needs no other. A larger one is
     dealt into slices, other ones in each step, so that it is sorted by many tasks.
     """
-    hashed = F.xxhash64("class")
-    bands = placed.groupBy("band").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high"), F.max("n").alias("n")).where("low <> high")
-    if step > 1:
-        bands = bands.where(F.col("n") > NEIGHBOURS + 1)
-    bands = checkpointed(bands.select("band", F.ceil(F.col("n") / SLICE).alias("slices")))
-    dealt = placed.join(bands, "band").select("band", "key", "class", F.pmod(F.xxhash64("key", F.lit(step)), "slices").alias("slice"))
-    order = Window.partitionBy("band", "slice").orderBy(F.xxhash64("key", F.lit(-step)), "key").rowsBetween(1, NEIGHBOURS)
-    following = F.collect_list(F.struct(F.col("key").alias("chief"), F.col("class").alias("chief_class"))).over(order)
-    each = dealt.withColumn("following", following).select("key", "class", F.explode("following").alias("c"))
-    return each.select("key", "c.chief", "class", "c.chief_class").where("class <> chief_class")
+    if step > 2:
+        placed = placed.where(F.col("n") > NEIGHBOURS + 1)
+    dealt = placed.withColumn("slice", F.pmod(F.xxhash64("key", F.lit(step)), F.ceil(F.col("n") / SLICE)))
+    order = Window.partitionBy("band", "slice").orderBy(F.xxhash64("key", F.lit(-step)), "key").rowsBetween(-NEIGHBOURS, NEIGHBOURS)
+    around = F.collect_list(F.struct(F.col("key").alias("chief"), F.col("class").alias("chief_class"), F.col("size").alias("chief_size"))).over(order)
+    larger = F.filter(
+        "around",
+        lambda c: (c["chief_size"] > F.col("size")) | ((c["chief_size"] == F.col("size")) & (c["chief_class"] < F.col("class"))),
+    )
+    each = dealt.withColumn("around", around).withColumn("around", larger).select("key", "class", F.explode("around").alias("c"))
+    return each.select("key", "c.chief", "class", "c.chief_class")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -282,15 +301,22 @@ def near_classes(docs: DataFrame) -> DataFrame:
     banded = nodes.select("key", F.explode("bands").alias("band"))
     # Only bands that nodes share, found by a combined count.
     crowded = checkpointed(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    placed = checkpointed(banded.join(crowded, "band").withColumn("class", F.col("key")))
+    bands = checkpointed(banded.join(crowded, "band"))
+    keyed = bands.groupBy("key").agg(F.sum("n").alias("central")).withColumn("class", F.col("key")).withColumn("size", F.lit(1).cast("long"))
+    keyed = checkpointed(keyed)
+    placed = checkpointed(bands.join(keyed, "key"))
 
     texts, step = None, 0
     while True:
-        pairs = checkpointed((_with_chief(placed) if step == 0 else _with_neighbours(placed, step)).dropDuplicates(["key", "chief"]))
+        pairs = _with_chiefs(placed, step) if step < 2 else _with_neighbours(placed, step)
+        pairs = checkpointed(pairs.dropDuplicates(["key", "chief"]))
         if pairs.isEmpty():
-            break
+            if step > 1:
+                break
+            step += 1
+            continue
         if texts is None:
-            wanted = spark.sparkContext.broadcast(_filter(placed.select("key").distinct()))
+            wanted = spark.sparkContext.broadcast(_filter(keyed.select("key")))
             folder = run_folder(spark, "near-texts")
             docs.select("text").mapInArrow(_text_rows(wanted), "key binary, text string").groupBy("key").agg(F.max("text").alias("text")).write.parquet(folder)
             texts = spark.read.parquet(folder)
@@ -299,12 +325,14 @@ def near_classes(docs: DataFrame) -> DataFrame:
         links = checkpointed(links.distinct())
         if not links.isEmpty():
             roots = components(links).withColumnRenamed("node", "class")
-            placed = checkpointed(placed.join(roots, "class", "left").select("key", "band", "n", F.coalesce("root", "class").alias("class")))
-        elif step > 0:
+            keyed = checkpointed(_sized(keyed.join(roots, "class", "left").select("key", "central", F.coalesce("root", "class").alias("class"))))
+            moved = checkpointed(placed.select("key", "band", "n").join(keyed, "key"))
+            placed = checkpointed(moved.join(checkpointed(_mixed(moved)), "band"))
+        elif step > 1:
             break
         step += 1
 
-    named = nodes.join(placed.select("key", "class").distinct(), "key", "left").select("key", "copies", "least_id", F.coalesce("class", "key").alias("class"))
+    named = nodes.join(keyed, "key", "left").select("key", "copies", "least_id", F.coalesce("class", "key").alias("class"))
     sizes = named.groupBy("class").agg(F.sum("copies").alias("class_size"), F.min("least_id").alias("class_id"))
     classes = named.select("key", "class").join(sizes, "class").drop("class")
     shared = checkpointed(classes.where("class_size > 1"))
