@@ -4,8 +4,9 @@ A text is its bag of five-word shingles, weighted by how often each occurs times
 samples (Ioffe's improved scheme) of two bags agree with a probability equal to their weighted Jaccard similarity.
 Texts with the same bag are one node. Nodes that share a band of samples are candidates; they are not paired with each
 other but with a few chiefs of the band and then, where classes still meet in a band, with a few neighbours in a random
-order, another one in each step, until a step links no classes. Each pair is verified on its whole texts, and classes are the connected components
-of verified pairs.
+order, another one in each step, until a step links no classes. That only saves work: what is still mixed then is
+finished by a join on the shingles of each text's prefix, which meets every similar pair that is left. Each pair is
+verified on its whole texts, and classes are the connected components of verified pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ SKETCH_BITS = 17  # document frequencies are counted in 2**17 cells, whatever th
 DAMPING = 0.25  # weight of the frequency term: the rarest shingle weighs 1.25, one that is everywhere 1
 CHIEFS = 4  # of a band in the second step
 NEIGHBOURS = 8  # members on either side that a member is compared with in each band and later step, where their class is larger
+SLACK = 1e-6  # of a similarity, for rounding in sums of weights
 SLICE = 4096  # members of a large band that one task sorts
 FILTER_BITS = 26  # bits of the filter that says which texts a verification may need: 8 MB
 PIECE = 1 << 18  # bytes of text sampled at a time
@@ -202,6 +204,59 @@ def _verified_rows(inverse):
     return verified
 
 
+def _prefix_rows(inverse):
+    """For each text the shingles of its prefix, rarest first, with the weight of the text and of its `rest` from there on.
+
+    Two texts of at least the similarity SIMILAR share weight of at least SIMILAR times the greater. All of it lies from
+    the first shingle on that both have, so that one comes before less than this is left.
+    """
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text", PIECE):
+                bags = Bags(batch.column("text"))
+                weights = bags.weights(inverse.value)
+                rare = -inverse.value[(bags.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                at, rests, totals, owners = [], [], [], []
+                for i in range(batch.num_rows):
+                    a, b = int(bags.first[i]), int(bags.first[i + 1])
+                    order = a + np.lexsort((bags.hash[a:b], rare[a:b]))
+                    rest = np.cumsum(weights[order][::-1])[::-1]
+                    n = int(np.count_nonzero(rest >= (SIMILAR - SLACK) * rest[0])) if b > a else 0
+                    at.append(order[:n])
+                    rests.append(rest[:n])
+                    totals.append(np.full(n, rest[0] if n else 0.0))
+                    owners.append(np.full(n, i))
+                owner = pa.array(np.concatenate(owners).astype(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bags.hash[np.concatenate(at).astype(np.int64)].view(np.int64)), batch.column("key").take(owner), batch.column("class").take(owner), pa.array(np.concatenate(totals)), pa.array(np.concatenate(rests))],
+                    ["shingle", "key", "class", "weight", "rest"],
+                )
+
+    return prefixes
+
+
+def _prefix_pairs(members: DataFrame, inverse) -> DataFrame:
+    """Pairs of `members` (key, class, text) of different classes, among them every one that is similar.
+
+    Members of a shingle's largest class meet its other members only, not each other.
+    """
+    shingles = checkpointed(members.mapInArrow(_prefix_rows(inverse), "shingle long, key binary, class binary, weight double, rest double"))
+    counted = shingles.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("n"))
+    largest = counted.groupBy("shingle").agg(F.max(F.struct("n", "class"))["class"].alias("largest"), F.count(F.lit(1)).alias("classes"))
+    # Stored, so that the joins shuffle both sides themselves and adaptive execution can split a hot shingle.
+    largest = checkpointed(largest.where("classes > 1").drop("classes"))
+    met = checkpointed(shingles.join(largest, "shingle"))
+    minor = met.where("class <> largest").select("shingle", "key", "class", "weight", "rest")
+    other = met.select("shingle", F.col("key").alias("chief"), F.col("class").alias("chief_class"), F.col("weight").alias("chief_weight"), F.col("rest").alias("chief_rest"), (F.col("class") == F.col("largest")).alias("major"))
+    share = (SIMILAR - SLACK) / (1 + SIMILAR)  # what both have, of the sum of their weights
+    could = (F.least("weight", "chief_weight") >= (SIMILAR - SLACK) * F.greatest("weight", "chief_weight")) & (
+        F.least("rest", "chief_rest") >= share * (F.col("weight") + F.col("chief_weight"))
+    )
+    pairs = minor.join(other, "shingle").where((F.col("class") != F.col("chief_class")) & (F.col("major") | (F.col("key") < F.col("chief"))) & could)
+    return pairs.select("key", "chief", "class", "chief_class")
+
+
 def _key_bit(key: Column) -> Column:
     """The place of a key in the filter: its first FILTER_BITS bits."""
     return F.shiftright(F.conv(F.hex(F.substring(key, 1, 4)), 16, 10).cast("long"), 32 - FILTER_BITS)
@@ -306,30 +361,37 @@ def near_classes(docs: DataFrame) -> DataFrame:
     keyed = checkpointed(keyed)
     placed = checkpointed(bands.join(keyed, "key"))
 
-    texts, step = None, 0
+    texts, step, finish = None, 0, False
     while True:
-        pairs = _with_chiefs(placed, step) if step < 2 else _with_neighbours(placed, step)
+        if finish:
+            # Bands of up to NEIGHBOURS + 1 members have been compared whole.
+            members = placed.where(F.col("n") > NEIGHBOURS + 1).select("key", "class").distinct()
+            pairs = _prefix_pairs(members.join(texts, "key"), inverse)
+        else:
+            pairs = _with_chiefs(placed, step) if step < 2 else _with_neighbours(placed, step)
         pairs = checkpointed(pairs.dropDuplicates(["key", "chief"]))
-        if pairs.isEmpty():
-            if step > 1:
-                break
-            step += 1
-            continue
-        if texts is None:
-            wanted = spark.sparkContext.broadcast(_filter(keyed.select("key")))
-            folder = run_folder(spark, "near-texts")
-            docs.select("text").mapInArrow(_text_rows(wanted), "key binary, text string").groupBy("key").agg(F.max("text").alias("text")).write.parquet(folder)
-            texts = spark.read.parquet(folder)
-        full = pairs.join(texts, "key").join(texts.select(F.col("key").alias("chief"), F.col("text").alias("chief_text")), "chief")
-        links = full.select("class", "chief_class", "chief", "text", "chief_text").mapInArrow(_verified_rows(inverse), "a binary, b binary")
-        links = checkpointed(links.distinct())
-        if not links.isEmpty():
+        linked = False
+        if not pairs.isEmpty():
+            if texts is None:
+                wanted = spark.sparkContext.broadcast(_filter(keyed.select("key")))
+                folder = run_folder(spark, "near-texts")
+                docs.select("text").mapInArrow(_text_rows(wanted), "key binary, text string").groupBy("key").agg(F.max("text").alias("text")).write.parquet(folder)
+                texts = spark.read.parquet(folder)
+            full = pairs.join(texts, "key").join(texts.select(F.col("key").alias("chief"), F.col("text").alias("chief_text")), "chief")
+            links = full.select("class", "chief_class", "chief", "text", "chief_text").mapInArrow(_verified_rows(inverse), "a binary, b binary")
+            links = checkpointed(links.distinct())
+            linked = not links.isEmpty()
+        if linked:
             roots = components(links).withColumnRenamed("node", "class")
             keyed = checkpointed(_sized(keyed.join(roots, "class", "left").select("key", "central", F.coalesce("root", "class").alias("class"))))
             moved = checkpointed(placed.select("key", "band", "n").join(keyed, "key"))
             placed = checkpointed(moved.join(checkpointed(_mixed(moved)), "band"))
-        elif step > 1:
+        if finish or placed.isEmpty():
             break
+        if step > 1 and not linked:
+            if placed.where(F.col("n") > NEIGHBOURS + 1).isEmpty():
+                break
+            finish = True
         step += 1
 
     named = nodes.join(keyed, "key", "left").select("key", "copies", "least_id", F.coalesce("class", "key").alias("class"))

@@ -121,6 +121,24 @@ def test_near_classes_are_the_components_of_similar_pairs(edited, documents):
         assert {r.doc_id: (r.class_id, r.class_size, r.kept) for r in got} == {d: (c, sizes[c], d == c) for d, c in want.items()}
 
 
+def test_pairs_are_found_among_many_texts_that_share_a_passage(spark):
+    """The pairs share few bands, most of them with the texts that have the passage and are not similar."""
+    rnd = np.random.default_rng(5)
+    words = lambda n: ["".join(chr(97 + c) for c in w) for w in rnd.integers(0, 26, (n, 6))]
+    passage, rows = words(352), []
+    for i in range(30):
+        both = words(18)
+        rows += [(2 * i + j, " ".join(passage + both + words(30))) for j in (0, 1)]
+    rows += [(i, " ".join(passage + words(48))) for i in range(60, 2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    inverse = near.inverse_frequencies(docs)
+    bags = near.Bags(pa.array([t for _, t in rows[:62]]))
+    own = [(bags.hash[a:b], bags.weights(inverse)[a:b]) for a, b in zip(bags.first[:-1], bags.first[1:])]
+    assert all(near.similarity(own[2 * i], own[2 * i + 1]) >= near.SIMILAR for i in range(30)) and near.similarity(own[60], own[61]) < 0.79
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near.near_classes(docs).collect()}
+    assert got == {i: (i - i % 2, 2) if i < 60 else (i, 1) for i, _ in rows}
+
+
 def test_near_classes_of_odd_rows(odd):
     rows = near.near_classes(odd).collect()
     assert len(rows) == odd.count()
