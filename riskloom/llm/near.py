@@ -22,7 +22,7 @@ from riskloom.llm.text import Words, mixed, pieces, shingle_hashes, small_batche
 from riskloom.session import checkpointed, run_folder
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, BAND_SAMPLES = 16, 5  # a pair of similarity 0.8 shares a band with probability 0.998, one of 0.2 with 0.005
+BANDS, BAND_SAMPLES = 16, 4  # a pair of similarity 0.8 shares a band with probability 0.9998, one of 0.2 with 0.025
 SKETCH_BITS = 17  # document frequencies are counted in 2**17 cells, whatever the corpus
 DAMPING = 0.25  # weight of the frequency term: the rarest shingle weighs 1.25, one that is everywhere 1
 CHIEFS = 4  # of a band in the second step

@@ -163,6 +163,10 @@ def test_samples_agree_as_often_as_bags_are_similar():
     assert abs((marks[:, 0] == marks[:, 1]).mean() - near.similarity(*own)) < 0.2
 
 
+def test_hardly_a_pair_near_the_threshold_shares_no_band():
+    assert (1 - near.SIMILAR**near.BAND_SAMPLES) ** near.BANDS < 0.00025
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(50, 40), (41, 50), (60, 60), (7, 3)]
     found = near.components(spark.createDataFrame(links, "a long, b long")).collect()
