@@ -49,30 +49,30 @@ def inputs():
 @query()
 def gbt_scores(spark, sf_dir):
     rows = prep.holdout(labelled_documents(spark, sf_dir), "label", "doc_id")
-    model = M.fit_boosted(rows.where(~F.col("is_test")), "label", "doc_id", inputs(), 10)
+    model = M.fit_boosted(rows.where(~F.col("is_test")), "label", "doc_id", inputs())
     return rounded(M.fraud_probability(model, rows.where("is_test")).select("doc_id", "label", "risk"), "risk")
 
 
 @query()
 def gain_importance(spark, sf_dir):
     rows = labelled_documents(spark, sf_dir)
-    model = M.fit_boosted(rows, "label", "doc_id", inputs(), 10)
+    model = M.fit_boosted(rows, "label", "doc_id", inputs())
     return rounded(M.importance(rows, model, TEXT_FEATURES), "share")
 
 
 @query()
 def out_of_fold(spark, sf_dir):
-    scored = M.out_of_fold(labelled_documents(spark, sf_dir), "label", "doc_id", inputs(), 3, 5)
+    scored = M.out_of_fold(labelled_documents(spark, sf_dir), "label", "doc_id", inputs())
     return rounded(scored.select("doc_id", "label", "fold", "risk"), "risk")
 
 
 @query()
 def metrics_by_source(spark, sf_dir):
     rows = labelled_documents(spark, sf_dir)
-    model = M.fit_boosted(rows, "label", "doc_id", inputs(), 5)
+    model = M.fit_boosted(rows, "label", "doc_id", inputs())
     both = {
         "in sample": M.fraud_probability(model, rows),
-        "out of fold": M.out_of_fold(rows, "label", "doc_id", inputs(), 3, 5),
+        "out of fold": M.out_of_fold(rows, "label", "doc_id", inputs()),
     }
     return rounded(M.metrics_by_source(both, "risk", "label"), "pr_auc", "pr_auc_baseline", "roc_auc")
 
@@ -80,7 +80,7 @@ def metrics_by_source(spark, sf_dir):
 @query()
 def train_metadata(spark, sf_dir):
     _, metadata = M.train(
-        labelled_documents(spark, sf_dir), "label", "doc_id", "chars", inputs(), capacity=0.9, k=3, max_trees=5, resamples=20
+        labelled_documents(spark, sf_dir), "label", "doc_id", "chars", inputs(), capacity=0.9
     )
     row = spark.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "metadata string")
     return row

@@ -1,5 +1,7 @@
 """Splits that lose no row, inputs learnt inside folds, copies counted once, full forests."""
 
+import inspect
+
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import forest, models, prep
 from riskloom.operators.ranking import hot_keys
+from riskloom.plans import learning
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +51,27 @@ def test_each_tree_has_a_full_sample_whatever_the_size(spark, size):
     assert len(drawn) == 40 and all(r.n == r.d <= 64 for r in drawn)
     assert sum(r.n for r in drawn) > 0.97 * 40 * 64
     assert hot_keys(df, "id", 1).count() == 0
+
+
+@pytest.mark.parametrize("name", ["gbt_scores", "gain_importance", "out_of_fold", "metrics_by_source", "train_metadata"])
+def test_queries_train_with_the_operators_defaults(spark, monkeypatch, name):
+    used = []
+
+    def recorded(f):
+        def call(*args, **kwargs):
+            bound = inspect.signature(f).bind(*args, **kwargs)
+            bound.apply_defaults()
+            used.append({k: v for k, v in bound.arguments.items() if k in ("max_trees", "k", "resamples")})
+            if f.__name__ != "fit_boosted":
+                raise StopIteration
+
+        return call
+
+    for f in (models.fit_boosted, models.out_of_fold, models.train):
+        monkeypatch.setattr(models, f.__name__, recorded(f))
+    for other in ("fraud_probability", "importance"):
+        monkeypatch.setattr(models, other, lambda *_: None)
+    with pytest.raises((StopIteration, AttributeError)):
+        getattr(learning, name)(spark, "/root/testdata/sf0.001")
+    wanted = {"max_trees": models.MAX_TREES, "k": 5, "resamples": 1000}
+    assert used and all(wanted[k] == v for u in used for k, v in u.items())
