@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, exact, html, lm, near, quality, secrets, toxicity, warc
+from riskloom.llm import bpe, decontaminate, exact, html, lm, near, quality, secrets, shards, spelling, toxicity, trie, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,18 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_classes(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_report(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -78,12 +90,25 @@ QUERIES: dict[str, Query] = {
         op8_toxicity,
         op9_warc,
         op10_minhash_near_dedup,
+        op11_conversation_trie,
+        op12_sharding,
+        op13_spelling_variants,
     )
 }
 
 # Fixed by the contract, as in secrets.RULES; quotes are doubled for SQL.
 _ASSIGN = """(?i:(password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a string's UTF-8 bytes, bit by bit."""
+    byte = f"CAST(('0x' || substr(hex({text}), 1 + 2 * (j // 8), 2)) AS BIGINT)"
+    fed = f"xor(a, CASE WHEN j % 8 = 0 THEN {byte} ELSE 0 END)"
+    step = f"xor({fed} >> 1, 3988292384 * ({fed} & 1))"
+    return f"xor(list_reduce(list_concat([4294967295], range(0, 4 * length(hex({text})))), lambda a, j: {step}), 4294967295)"
+
+
 ORACLES: dict[str, str] = {
     "op1_secret_scan": rf"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
@@ -176,4 +201,66 @@ ORACLES: dict[str, str] = {
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM t
     """,
+    "op11_conversation_trie": rf"""
+        WITH t AS (
+            SELECT conv_id AS c, turn, coalesce(text, '') AS x, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+            FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (
+            SELECT c, list(id ORDER BY turn NULLS FIRST, id) AS ids,
+                   list(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) ORDER BY turn NULLS FIRST, id) AS ws, {_crc32("CAST(c AS VARCHAR)")} % 4 AS h
+            FROM t GROUP BY c),
+        m AS (
+            SELECT a.c, list_concat(coalesce(b.ids, [])[1:a.h], a.ids[a.h + 1:]) AS ids, list_concat(coalesce(b.ws, [])[1:a.h], a.ws[a.h + 1:]) AS ws
+            FROM own a LEFT JOIN own b ON b.c = a.c - a.c % 20),
+        each AS (SELECT c, ids, ws, unnest(range(0, len(ids) + 1)) AS d FROM m),
+        node AS (
+            SELECT array_to_string(ids[1:d], ',') AS k, d, min(c) AS conv_id, count(*) AS n_convs, any_value(ids[1:d]) AS path,
+                   (count(*) - 1) * any_value(CASE WHEN d > 0 THEN ws[d] ELSE 0 END) AS own,
+                   sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = len(ids)), '')) AS ends_sha256
+            FROM each GROUP BY ALL),
+        up AS (SELECT k, d, array_to_string(path[1:d - 1], ',') AS pk FROM node WHERE d > 0),
+        kids AS (SELECT pk, d - 1 AS d, count(*) AS n FROM up GROUP BY ALL),
+        sums AS (
+            SELECT array_to_string(path[1:e], ',') AS k, e AS d, sum(own) AS saved, sum(leaf) AS leaves
+            FROM (SELECT node.path, node.own, CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END AS leaf, unnest(range(0, node.d + 1)) AS e
+                  FROM node LEFT JOIN kids ON kids.pk = node.k AND kids.d = node.d)
+            GROUP BY ALL)
+        SELECT node.conv_id, node.d AS depth, parent.conv_id AS parent_conv_id, node.n_convs, coalesce(kids.n, 0) AS n_children,
+               CAST(sums.leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, node.ends_sha256
+        FROM node JOIN sums ON sums.k = node.k AND sums.d = node.d
+        LEFT JOIN kids ON kids.pk = node.k AND kids.d = node.d
+        LEFT JOIN up ON up.k = node.k AND up.d = node.d
+        LEFT JOIN node parent ON parent.k = up.pk AND parent.d = up.d - 1
+    """,
+    "op13_spelling_variants": rf"""
+        WITH run AS (
+            SELECT CAST(doc_id AS VARCHAR) AS i, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]{{7,}}')),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
+            FROM documents),
+        hashed AS (SELECT r, {_crc32("(coalesce(i, '') || ':' || r)")} AS h FROM run),
+        w AS (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, count(*) AS n
+            FROM hashed GROUP BY 1 HAVING n >= 2 AND length(word) >= 7),
+        hole AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+        same AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS z FROM hole),
+        cut AS (SELECT DISTINCT word, n, a || z AS short FROM same),
+        near AS (
+            SELECT x.word, y.word AS other, y.n AS other_n FROM same x JOIN same y USING (i, a, z) WHERE x.word <> y.word
+            UNION ALL
+            SELECT w.word, cut.word, cut.n FROM w JOIN cut ON cut.short = w.word
+            UNION ALL
+            SELECT cut.word, w.word, w.n FROM w JOIN cut ON cut.short = w.word),
+        best AS (
+            SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+        each AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+            FROM w LEFT JOIN best USING (word)),
+        way AS (
+            WITH RECURSIVE step AS (
+                SELECT word, word AS here, 0 AS k FROM each
+                UNION ALL
+                SELECT step.word, each.form, k + 1 FROM step JOIN each ON each.word = step.here WHERE each.form IS NOT NULL)
+            SELECT word, arg_max(here, k) AS root FROM step GROUP BY word)
+        SELECT word, form, root, n, n_near, form_n FROM each JOIN way USING (word)
+    """,
 }
