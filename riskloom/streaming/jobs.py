@@ -2,13 +2,17 @@
 
 The first checks messages, sets bad ones aside and keeps the last message per id
 of each batch; the second measures, scores and records. Each has its own
-checkpoint. Every output is written under its batch id, so a batch that is run
-again replaces itself: delivery is at least once, results are as if once.
+checkpoint. Dead letters, statistics and decisions are written under their batch
+id, so a batch that is run again replaces itself. The clean rows between the two
+queries are published once: the second may have read them already.
 """
 
 from __future__ import annotations
 
+import errno
+import json
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -55,6 +59,36 @@ def folder_writer(path: str) -> BatchWriter:
     return write
 
 
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gave a query when its checkpoint was made; a restart has the same, a new checkpoint another one."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def publish_once(path: str, checkpoint: str) -> BatchWriter:
+    """Writes each batch of a query to a hidden folder and then moves it to its place, unless that exists.
+
+    Readers of `path` never see part of a batch, and a batch that is run again after it was published (the process ended
+    before Spark noted the batch as done) is not published a second time: it holds the same messages, and a reader that
+    tells files by their names would take new ones for new rows. Moving a folder has to be one step in the file system.
+    """
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        run = run_id(spark, checkpoint)
+        to_path = spark._jvm.org.apache.hadoop.fs.Path
+        place = to_path(f"{path}/run={run}/batch_id={batch_id}")
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if files.exists(place):
+            return
+        hidden = f"{path}/_unpublished/{run}-{batch_id}-{uuid.uuid4().hex}"
+        df.write.parquet(hidden)
+        files.mkdirs(place.getParent())
+        if not files.rename(to_path(hidden), place):
+            raise RuntimeError(f"can't publish batch {batch_id} in {path}")
+
+    return write
+
+
 def kafka_writer(servers: str, topic: str) -> BatchWriter:
     def write(df: DataFrame, batch_id: int) -> None:
         df.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option(
@@ -68,15 +102,33 @@ def decision_log(path: str) -> BatchWriter:
     return lambda df, batch_id: decisions.append_batch(df, path, batch_id)
 
 
-# What exceptions of a JVM client are called while a store can't be reached.
-AWAY = ("java.net.", "java.io.IOException", "java.sql.SQLTransient", "java.sql.SQLRecoverable", "java.util.concurrent.TimeoutException", "org.apache.kafka.common.errors.Retriable", "org.apache.kafka.common.errors.TimeoutException")
+# What exceptions of a JVM client are called while a store can't be reached, and system errors that pass.
+AWAY = (
+    "java.net.ConnectException", "java.net.NoRouteToHostException", "java.net.SocketException", "java.net.SocketTimeoutException",
+    "java.net.UnknownHostException", "java.sql.SQLTransient", "java.sql.SQLRecoverable", "java.util.concurrent.TimeoutException",
+    "org.apache.hadoop.ipc.RetriableException", "org.apache.hadoop.ipc.StandbyException", "org.apache.hadoop.net.ConnectTimeoutException",
+    "org.apache.kafka.common.errors.Retriable", "org.apache.kafka.common.errors.TimeoutException",
+)
+PASSING = {
+    errno.EAGAIN, errno.EBUSY, errno.EHOSTDOWN, errno.EHOSTUNREACH, errno.EINTR, errno.EIO, errno.ENETDOWN, errno.ENETRESET,
+    errno.ENETUNREACH, errno.ENOBUFS, errno.ESTALE, errno.ETIMEDOUT,
+}
+
+
+class StoreAway(Exception):
+    """What a writer of one's own raises while its store can't be reached."""
 
 
 def is_away(error: Exception) -> bool:
-    """Whether an error says that a store is unavailable, as opposed to refusing the rows or being called wrongly."""
+    """Whether an error says that a store is unavailable, as opposed to refusing the rows or being called wrongly.
+
+    A missing permission or a wrong path is no outage: waiting does not mend it.
+    """
+    if isinstance(error, (ConnectionError, TimeoutError, StoreAway)) or getattr(error, "errno", None) in PASSING:
+        return True
     java = getattr(error, "java_exception", None)
     named = java.toString() if java is not None else str(error)
-    return isinstance(error, (ConnectionError, TimeoutError, OSError)) or any(name in named for name in AWAY)
+    return any(name in named for name in AWAY)
 
 
 @dataclass
@@ -145,7 +197,7 @@ def start_ingest(
     """The first query. A new checkpoint reads everything again; the same one resumes."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, folder_writer(clean_path), dead, stats_path)
+        ingest_batch(batch, batch_id, publish_once(clean_path, checkpoint), dead, stats_path)
 
     return (
         messages.writeStream.foreachBatch(run)
@@ -157,13 +209,17 @@ def start_ingest(
 
 @dataclass
 class ScoringJob:
-    """What the second query needs to know. `windows=None` scores without velocity."""
+    """What the second query needs to know. `windows=None` scores without velocity.
+
+    With `late_seconds` the state of cards that stay idle is given up: see `live_velocity`.
+    """
 
     model: RiskProvider
     thresholds: Thresholds = field(default_factory=Thresholds)
     version: str = "unversioned"
     windows: VelocityWindows | None = field(default_factory=VelocityWindows)
     rules: Sequence[Rule] | None = None
+    late_seconds: float | None = None
     attempts: int | None = None
     sleep: Callable[[float], None] = time.sleep
 
@@ -214,7 +270,7 @@ def start_scoring(
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     rows = reader.parquet(clean_path).select(*CLEAN_SCHEMA.fieldNames())
-    measured = without_velocity(rows) if job.windows is None else live_velocity(rows, job.windows)
+    measured = without_velocity(rows) if job.windows is None else live_velocity(rows, job.windows, job.late_seconds)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         record_batch(batch, batch_id, job, record, stats_path)
@@ -230,8 +286,6 @@ def start_scoring(
 
 def positions_from_progress(spark: SparkSession, progress: dict) -> DataFrame:
     """(topic, partition, high_water, position) from a Kafka query's progress report."""
-    import json
-
     rows = []
     parsed = lambda text: json.loads(text) if isinstance(text, str) else (text or {})
     for source in progress.get("sources", []):

@@ -7,7 +7,6 @@ card is its newest events, at most `keep`.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +19,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from riskloom.operators.velocity import FEATURES, MICROS, VelocityWindows, nest, without_velocity
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-# The kept events as JSON rows of (arrival, sequence, id, cents, country): at most `keep` of them.
-STATE_SCHEMA = "kept string"
+# The kept events in order of arrival, one array per column: at most `keep` of them.
+STATE_SCHEMA = "us array<bigint>, sequence array<bigint>, id array<string>, cents array<bigint>, place array<string>"
+ROWS_OUT = 10_000  # rows handed back at a time
 FLAT = [f"velocity_{name}" for name in FEATURES]
 
 
@@ -66,7 +66,12 @@ def windows_of(events: dict[str, list], new: list[int], windows: VelocityWindows
 
 
 class CardActivity:
-    """Measures each event of a card against what is kept and what came with it, then keeps the newest."""
+    """Measures each event of a card against what is kept and what came with it, then keeps the newest.
+
+    Spark hands over a card's share of a micro-batch in pieces, in no order. They are put together first: an event may
+    have come before one of an earlier piece. So a task holds one card's share of one micro-batch, which the trigger
+    bounds.
+    """
 
     def __init__(self, windows: VelocityWindows, columns: list[str], late_us: int | None = None):
         self.windows = windows
@@ -77,24 +82,25 @@ class CardActivity:
         if state.hasTimedOut:
             state.remove()
             return
-        kept = [tuple(event) for event in json.loads(state.get[0])] if state.exists else []
-        for batch in rows:  # Arrow batches, so that a card's share of a batch is never held whole
-            cents = np.floor(batch["Amount"].to_numpy("float64") * 100 + 0.5).astype("int64")
-            place = [p if isinstance(p, str) else "" for p in batch["country"]]
-            columns = (batch["arrival_us"].tolist(), batch["sequence"].tolist(), batch["transaction_id"], cents.tolist(), place)
-            own = [(*event, row) for row, event in enumerate(zip(*columns))]
-            events = sorted([*((*event, -1) for event in kept), *own], key=lambda e: e[:3])
-            new = [k for k, e in enumerate(events) if e[5] >= 0]
-            columns = dict(zip(("us", "sequence", "id", "cents", "place"), map(list, zip(*events))))
-            measured = windows_of(columns, new, self.windows)
-            order = [events[k][5] for k in new]
-            yield batch.iloc[order][self.columns].reset_index(drop=True).assign(**dict(zip(FLAT, measured)))
-            latest = {e[2:5]: e[:5] for e in events}  # of deliveries of the same event the last one
-            kept = sorted(latest.values(), key=lambda e: e[:3])[-self.windows.keep :]
-        newest = kept[-1][0]
-        state.update((json.dumps(kept),))
+        batch = pd.concat(list(rows), ignore_index=True)
+        cents = np.floor(batch["Amount"].to_numpy("float64") * 100 + 0.5).astype("int64")
+        place = [p if isinstance(p, str) else "" for p in batch["country"]]
+        own = zip(batch["arrival_us"].tolist(), batch["sequence"].tolist(), batch["transaction_id"], cents.tolist(), place, range(len(batch)))
+        kept = [(*event, -1) for event in zip(*(list(column) for column in state.get))] if state.exists else []
+        events = sorted([*kept, *own], key=lambda e: e[:3])
+        new = [k for k, e in enumerate(events) if e[5] >= 0]
+        measured = windows_of(dict(zip(("us", "sequence", "id", "cents", "place"), map(list, zip(*events)))), new, self.windows)
+        order = [events[k][5] for k in new]
+        for first in range(0, len(order), ROWS_OUT):
+            part = slice(first, first + ROWS_OUT)
+            features = dict(zip(FLAT, (column[part] for column in measured)))
+            yield batch.iloc[order[part]][self.columns].reset_index(drop=True).assign(**features)
+        latest = {e[2:5]: e[:5] for e in events}  # of deliveries of the same event the last one
+        newest = sorted(latest.values(), key=lambda e: e[:3])[-self.windows.keep :]
+        state.update(tuple(map(list, zip(*newest))))
         if self.late_us is not None:
-            state.setTimeoutTimestamp(max((newest + self.late_us) // 1000 + int(self.windows.long * 1000), state.getCurrentWatermarkMs() + 1))
+            idle = (newest[-1][0] + self.late_us) // 1000 + int(self.windows.long * 1000)
+            state.setTimeoutTimestamp(max(idle, state.getCurrentWatermarkMs() + 1))
 
 
 def live_velocity(
@@ -106,7 +112,9 @@ def live_velocity(
     all share one key. By default a card's few newest events are kept for good (on
     disk, in RocksDB), and no row is ever too late. With `late_seconds` a card
     expires, by event time, once it has been idle for the longest window and that
-    long besides; Spark then drops rows that come later still.
+    long besides: nothing it held could still count. Spark then drops rows that come
+    later still (its progress reports how many), so `late_seconds` has to exceed any
+    delay between a message's time and its reading, an outage included.
     """
     columns = events.columns
     output = T.StructType(

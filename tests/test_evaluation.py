@@ -72,7 +72,7 @@ def test_metrics_against_brute_force_with_a_third_tied(spark):
 
 
 def test_inputs_are_refused(spark):
-    with pytest.raises(ValueError, match="0 .normal. or 1"):
+    with pytest.raises(ValueError, match="neither 0 .normal. nor 1"):
         E.check_inputs(frame(spark, [0, 2], [0.1, 0.2]), "y")
     with pytest.raises(ValueError, match="both normal and fraud"):
         E.check_inputs(frame(spark, [1, 1], [0.1, 0.2]), "y")
