@@ -109,8 +109,8 @@ def _recipe_rows(salt: int, size: int):
                     digests.append(hashlib.sha256(raw).hexdigest())
                     lists.append(b"".join(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(lengths, pa.int64()), pa.array(digests), pa.array(lists, pa.binary())],
-                    ["doc_id", "n_chars", "text_sha256", "recipe"],
+                    [batch.column("doc_id"), batch.column("row_md5"), pa.array(lengths, pa.int64()), pa.array(digests), pa.array(lists, pa.binary())],
+                    ["doc_id", "row_md5", "n_chars", "text_sha256", "recipe"],
                 )
 
     return recipes
@@ -133,44 +133,48 @@ def verified_size(docs: DataFrame, first_size: int = 16) -> tuple[int, int]:
 
 
 def exact_groups(docs: DataFrame, first_size: int = 16) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): keep_id, group_size, kept, text_sha256, n_chars.
+    """One row per row of `docs` (doc_id, text): keep_id, group_size, kept, text_sha256, n_chars, row_md5 (of the original text).
 
     Null text is empty; all empty texts are one group. Of equal texts the longest original stays, then the smallest
-    doc_id; a null doc_id comes last. Of rows that repeat a doc_id and its text one is kept. An empty table gives none.
+    doc_id; a null doc_id comes last. Of rows that repeat a doc_id and are as long the one of the greatest digest stays,
+    of equal rows one. An empty table gives none.
     """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text.cast("binary")).alias("row_md5"))
     salt, size = verified_size(docs, first_size)
-    recipes = docs.mapInArrow(_recipe_rows(salt, size), "doc_id long, n_chars long, text_sha256 string, recipe binary")
+    recipes = docs.mapInArrow(_recipe_rows(salt, size), "doc_id long, row_md5 string, n_chars long, text_sha256 string, recipe binary")
     # Keyed by document as well, so that a group holding a third of all rows is spread.
     rows = checkpointed(
-        recipes.groupBy("recipe", "text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("copies"), F.max("n_chars").alias("n_chars"))
-    )
-    groups = rows.groupBy("recipe").agg(
-        F.sum("copies").alias("group_size"),
-        F.bitwise_not(F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("k")))["k"]).alias("keep_id"),
+        recipes.groupBy("recipe", "text_sha256", "doc_id", "row_md5").agg(F.count(F.lit(1)).alias("copies"), F.max("n_chars").alias("n_chars"))
     )
+    stays = F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("k"), "row_md5"))
+    groups = rows.groupBy("recipe").agg(F.sum("copies").alias("group_size"), stays.alias("stays"))
     # Stored, so that the join below shuffles both sides itself and adaptive execution can split a hot recipe.
-    shared = checkpointed(groups.where("group_size > 1"))
-    joined = rows.join(shared, "recipe", "left")
+    shared = checkpointed(groups.where("group_size > 1").select("recipe", "group_size", F.bitwise_not("stays.k").alias("keep_id"), F.col("stays.row_md5").alias("keep_md5")))
+    joined = rows.join(shared, "recipe", "left").withColumn("_copy", F.explode(F.expr("sequence(1, copies)")))
     own = F.col("group_size").isNull()
+    chosen = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_md5") == F.col("keep_md5"))
     return joined.select(
         "doc_id",
         F.when(own, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (own | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("_chosen"),
+        ((own | chosen) & (F.col("_copy") == 1)).alias("kept"),
         "text_sha256",
         "n_chars",
-        F.explode(F.expr("sequence(1, copies)")).alias("_copy"),
-    ).select("doc_id", "keep_id", "group_size", (F.col("_chosen") & (F.col("_copy") == 1)).alias("kept"), "text_sha256", "n_chars")
+        "row_md5",
+    )
 
 
 def only_kept(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id `decisions` (doc_id, kept) keeps, one row per doc_id, with all their columns.
+    """The rows of `docs` that `decisions` (doc_id, row_md5, kept) keeps, with all their columns.
 
-    Rows without a doc_id can't be named by a decision and stay.
+    A row is told by its doc_id, which may be null, and its text, so rows that share a doc_id are decided one by one. Of
+    rows equal in both one stays.
     """
-    stay = decisions.where("kept").select(F.col("doc_id").alias("_stay"))
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(stay, named["doc_id"].cast("long") == stay["_stay"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    stay = decisions.where("kept").select(F.col("doc_id").alias("_stay"), F.col("row_md5").alias("_text")).distinct()
+    whole = docs.select(
+        F.struct("*").alias("row"), docs["doc_id"].cast("long").alias("_id"), F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")).alias("_md5")
+    )
+    kept = whole.join(stay, F.col("_id").eqNullSafe(F.col("_stay")) & (F.col("_md5") == F.col("_text")), "left_semi")
+    return kept.dropDuplicates(["_id", "_md5"]).select("row.*")

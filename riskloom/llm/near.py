@@ -2,11 +2,11 @@
 
 A text is its bag of five-word shingles, weighted by how often each occurs times its inverse document frequency. The
 samples (Ioffe's improved scheme) of two bags agree with a probability equal to their weighted Jaccard similarity.
-Texts with the same bag are one node. Nodes that share a band of samples are candidates; they are not paired with each
-other but with a few chiefs of the band and then, where classes still meet in a band, with a few neighbours in a random
-order, another one in each step, until a step links no classes. That only saves work: what is still mixed then is
-finished by a join on the shingles of each text's prefix, which meets every similar pair that is left. Each pair is
-verified on its whole texts, and classes are the connected components of verified pairs.
+Texts with the same bag are one node. Nodes that share a band of samples are candidates. They are compared with a few
+chiefs of the band first, which links groups of edited copies at the cost of one pair a member. What is still mixed then
+is finished exactly: small bands pair by pair, members of larger ones by a join on the rarest shingles of each text,
+which meets every similar pair that is left. Each pair is verified on its whole texts, and classes are the connected
+components of verified pairs.
 """
 
 from __future__ import annotations
@@ -19,16 +19,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.text import Words, mixed, pieces, shingle_hashes, small_batches
-from riskloom.session import checkpointed, run_folder
+from riskloom.session import run_folder
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, BAND_SAMPLES = 16, 4  # a pair of similarity 0.8 shares a band with probability 0.9998, one of 0.2 with 0.025
 SKETCH_BITS = 17  # document frequencies are counted in 2**17 cells, whatever the corpus
 DAMPING = 0.25  # weight of the frequency term: the rarest shingle weighs 1.25, one that is everywhere 1
 CHIEFS = 4  # of a band in the second step
-NEIGHBOURS = 8  # members on either side that a member is compared with in each band and later step, where their class is larger
+SMALL = 8  # members of a band up to which they are compared pair by pair
 SLACK = 1e-6  # of a similarity, for rounding in sums of weights
-SLICE = 4096  # members of a large band that one task sorts
+WEIGHT_STEP = 1.03  # texts are joined by ranges of their weight, each wider by this factor than the one below
 FILTER_BITS = 26  # bits of the filter that says which texts a verification may need: 8 MB
 PIECE = 1 << 18  # bytes of text sampled at a time
 
@@ -147,7 +147,8 @@ def _signature_rows(inverse):
                 else:
                     flat = np.zeros(0, np.int64)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bags.keys(), pa.binary()), bands], ["doc_id", "key", "bands"])
+                columns = [batch.column("doc_id"), batch.column("row_md5"), pa.array(bags.keys(), pa.binary()), bands]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_md5", "key", "bands"])
 
     return signatures
 
@@ -204,57 +205,66 @@ def _verified_rows(inverse):
     return verified
 
 
-def _prefix_rows(inverse):
-    """For each text the shingles of its prefix, rarest first, with the weight of the text and of its `rest` from there on.
+def _shingle_rows(inverse):
+    """(shingle, key, class, own) for each distinct shingle of a text: its weight there."""
 
-    Two texts of at least the similarity SIMILAR share weight of at least SIMILAR times the greater. All of it lies from
-    the first shingle on that both have, so that one comes before less than this is left.
-    """
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text", PIECE):
                 bags = Bags(batch.column("text"))
-                weights = bags.weights(inverse.value)
-                rare = -inverse.value[(bags.hash >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                at, rests, totals, owners = [], [], [], []
-                for i in range(batch.num_rows):
-                    a, b = int(bags.first[i]), int(bags.first[i + 1])
-                    order = a + np.lexsort((bags.hash[a:b], rare[a:b]))
-                    rest = np.cumsum(weights[order][::-1])[::-1]
-                    n = int(np.count_nonzero(rest >= (SIMILAR - SLACK) * rest[0])) if b > a else 0
-                    at.append(order[:n])
-                    rests.append(rest[:n])
-                    totals.append(np.full(n, rest[0] if n else 0.0))
-                    owners.append(np.full(n, i))
-                owner = pa.array(np.concatenate(owners).astype(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bags.hash[np.concatenate(at).astype(np.int64)].view(np.int64)), batch.column("key").take(owner), batch.column("class").take(owner), pa.array(np.concatenate(totals)), pa.array(np.concatenate(rests))],
-                    ["shingle", "key", "class", "weight", "rest"],
-                )
-
-    return prefixes
+                owner = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(bags.first)))
+                columns = [pa.array(bags.hash.view(np.int64)), batch.column("key").take(owner), batch.column("class").take(owner), pa.array(bags.weights(inverse.value))]
+                yield pa.RecordBatch.from_arrays(columns, ["shingle", "key", "class", "own"])
+
+    return shingles
+
+
+SHARE = (SIMILAR - SLACK) / (1 + SIMILAR)  # what two similar texts have in common, of the sum of their weights
+
+
+def _prefixes(members: DataFrame, inverse) -> DataFrame:
+    """The shingles of the prefix of each of `members` (key, class, text) that other classes have too: shingle, key, class, weight, rest.
+
+    A text's shingles are put in order, those that fewest members have first; `rest` is the weight from a shingle on. All
+    that two texts have in common lies from the first shingle on that both have. So that one comes, in either text, before
+    less is left than the common weight has to be: at least SIMILAR of the heavier text.
+    """
+    shingles = _stored(members.mapInArrow(_shingle_rows(inverse), "shingle long, key binary, class binary, own double"))
+    held = F.xxhash64("class")
+    counted = _stored(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), (F.min(held) != F.max(held)).alias("met")))
+    back = Window.partitionBy("key").orderBy(F.desc("n"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = shingles.join(counted, "shingle").select(
+        "shingle", "key", "class", "met",
+        F.sum("own").over(Window.partitionBy("key")).alias("weight"),
+        F.sum("own").over(back).alias("rest"),
+    )
+    return placed.where(F.col("met") & (F.col("rest") >= (SIMILAR - SLACK) * F.col("weight"))).drop("met")
 
 
 def _prefix_pairs(members: DataFrame, inverse) -> DataFrame:
-    """Pairs of `members` (key, class, text) of different classes, among them every one that is similar.
+    """Pairs of `members` of different classes, among them every one that is similar, with how many prefix shingles they share.
 
-    Members of a shingle's largest class meet its other members only, not each other.
+    The lighter of two similar texts has a common shingle with at least 2 * SHARE of it left, the heavier one with at
+    least SIMILAR left; both allow the other one a weight that follows from what is left. So texts that share a passage,
+    but too little to be similar, do not meet, as long as each has enough else. Texts of one class are not paired either:
+    classes that meet are found before their members.
     """
-    shingles = checkpointed(members.mapInArrow(_prefix_rows(inverse), "shingle long, key binary, class binary, weight double, rest double"))
-    counted = shingles.groupBy("shingle", "class").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("shingle").agg(F.max(F.struct("n", "class"))["class"].alias("largest"), F.count(F.lit(1)).alias("classes"))
-    # Stored, so that the joins shuffle both sides themselves and adaptive execution can split a hot shingle.
-    largest = checkpointed(largest.where("classes > 1").drop("classes"))
-    met = checkpointed(shingles.join(largest, "shingle"))
-    minor = met.where("class <> largest").select("shingle", "key", "class", "weight", "rest")
-    other = met.select("shingle", F.col("key").alias("chief"), F.col("class").alias("chief_class"), F.col("weight").alias("chief_weight"), F.col("rest").alias("chief_rest"), (F.col("class") == F.col("largest")).alias("major"))
-    share = (SIMILAR - SLACK) / (1 + SIMILAR)  # what both have, of the sum of their weights
-    could = (F.least("weight", "chief_weight") >= (SIMILAR - SLACK) * F.greatest("weight", "chief_weight")) & (
-        F.least("rest", "chief_rest") >= share * (F.col("weight") + F.col("chief_weight"))
-    )
-    pairs = minor.join(other, "shingle").where((F.col("class") != F.col("chief_class")) & (F.col("major") | (F.col("key") < F.col("chief"))) & could)
-    return pairs.select("key", "chief", "class", "chief_class")
+    entries = _stored(_prefixes(members, inverse))
+    size = lambda w: F.floor(F.log(w) / np.log(WEIGHT_STEP)).cast("int")
+    most = F.col("rest") / SHARE - F.col("weight")  # the weight that the other text may have
+    light = entries.where(most >= F.col("weight") * (1 - SLACK)).withColumn("size", size(F.col("weight"))).withColumn("most", most)
+    heavy = entries.withColumn("most", F.least(most, F.col("weight")) * (1 + SLACK)).withColumn("least", F.col("weight") * (SIMILAR - SLACK))
+    heavy = heavy.where("most >= least").withColumn("size", F.explode(F.sequence(size(F.col("least")), size(F.col("most")))))
+    light, heavy = _stored(light), _stored(heavy)
+    at = ["shingle", "size"]
+    classes = heavy.groupBy(*at, "class").agg(F.max("weight").alias("heaviest"))
+    others = light.groupBy(*at, F.col("class").alias("chief_class")).agg(F.max("most").alias("allowed"), F.min("weight").alias("lightest"))
+    met = _stored(classes.join(others, at).where((F.col("class") != F.col("chief_class")) & (F.col("heaviest") >= F.col("lightest") * (1 - SLACK))).select(*at, "class", "chief_class"))
+    one = heavy.select(*at, "class", "key", "weight", "least", F.col("most").alias("allowed"))
+    two = light.select(*at, F.col("class").alias("chief_class"), F.col("key").alias("chief"), F.col("weight").alias("chief_weight"), F.col("most").alias("chief_allowed"))
+    pairs = one.join(met, [*at, "class"]).join(two, [*at, "chief_class"])
+    could = F.col("chief_weight").between(F.col("least"), F.col("allowed")) & (F.col("weight") <= F.col("chief_allowed") * (1 + SLACK))
+    return pairs.where(could).groupBy("key", "chief", "class", "chief_class").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def _key_bit(key: Column) -> Column:
@@ -277,7 +287,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps; each is a grouped minimum, combined before the shuffle, and a join.
     """
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    edges = _stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         # Done when every node is either a root or has one edge, to its root.
         ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))))
@@ -289,11 +299,18 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        edges = checkpointed(
+        edges = _stored(
             small.select("u", F.col("m").alias("v")).unionAll(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         )
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back: lineage is cut, and joins shuffle both sides, so that hot keys can be split."""
+    folder = run_folder(df.sparkSession, "near")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _mixed(placed: DataFrame) -> DataFrame:
     """Bands where classes still meet; merging classes never mixes a band again."""
     hashed = F.xxhash64("class")
@@ -302,7 +319,7 @@ def _mixed(placed: DataFrame) -> DataFrame:
 
 
 def _sized(keyed: DataFrame) -> DataFrame:
-    return keyed.join(checkpointed(keyed.groupBy("class").agg(F.count(F.lit(1)).alias("size"))), "class")
+    return keyed.join(_stored(keyed.groupBy("class").agg(F.count(F.lit(1)).alias("size"))), "class")
 
 
 def _with_chiefs(placed: DataFrame, step: int) -> DataFrame:
@@ -314,94 +331,102 @@ def _with_chiefs(placed: DataFrame, step: int) -> DataFrame:
     part = F.pmod(F.xxhash64("key"), F.lit(CHIEFS)) if step else F.lit(0)
     first = F.max(F.struct(F.col("central").alias("r"), F.col("key").alias("chief"), F.col("class").alias("chief_class"), F.col("size").alias("chief_size")))
     # Stored, so that the join shuffles both sides itself and adaptive execution can split a hot band.
-    chiefs = checkpointed(placed.groupBy("band", part.alias("part")).agg(first.alias("c")).select("band", "c.chief", "c.chief_class", "c.chief_size"))
+    chiefs = _stored(placed.groupBy("band", part.alias("part")).agg(first.alias("c")).select("band", "c.chief", "c.chief_class", "c.chief_size"))
     pairs = placed.join(chiefs, "band").where("class <> chief_class and size <= chief_size")
     return pairs.select("key", "chief", "class", "chief_class")
 
 
-def _with_neighbours(placed: DataFrame, step: int) -> DataFrame:
-    """Members of a band, each with those of the NEIGHBOURS on either side, in an order of this step, that are of larger classes.
-
-    A band of up to NEIGHBOURS + 1 members is compared whole in the first such step and needs no other. A larger one is
-    dealt into slices, other ones in each step, so that it is sorted by many tasks.
-    """
-    if step > 2:
-        placed = placed.where(F.col("n") > NEIGHBOURS + 1)
-    dealt = placed.withColumn("slice", F.pmod(F.xxhash64("key", F.lit(step)), F.ceil(F.col("n") / SLICE)))
-    order = Window.partitionBy("band", "slice").orderBy(F.xxhash64("key", F.lit(-step)), "key").rowsBetween(-NEIGHBOURS, NEIGHBOURS)
-    around = F.collect_list(F.struct(F.col("key").alias("chief"), F.col("class").alias("chief_class"), F.col("size").alias("chief_size"))).over(order)
-    larger = F.filter(
-        "around",
-        lambda c: (c["chief_size"] > F.col("size")) | ((c["chief_size"] == F.col("size")) & (c["chief_class"] < F.col("class"))),
-    )
-    each = dealt.withColumn("around", around).withColumn("around", larger).select("key", "class", F.explode("around").alias("c"))
-    return each.select("key", "c.chief", "class", "c.chief_class")
+def _small_pairs(placed: DataFrame) -> DataFrame:
+    """All pairs of different classes in bands of at most SMALL members."""
+    small = placed.where(F.col("n") <= SMALL).select("band", "key", "class")
+    other = small.select("band", F.col("key").alias("chief"), F.col("class").alias("chief_class"))
+    return small.join(other, "band").where("class <> chief_class and key < chief").groupBy("key", "chief", "class", "chief_class").agg(F.count(F.lit(1)).alias("shared"))
+
+
+class _Classes:
+    """Classes of the nodes while links are found: `keyed` (key, central, class, size) and `placed`, their places in bands that are still mixed."""
+
+    def __init__(self, bands: DataFrame, texts: DataFrame, inverse):
+        self.texts, self.inverse, self.bands = texts, inverse, bands
+        central = bands.groupBy("key").agg(F.sum("n").alias("central"))
+        self.keyed = _stored(central.withColumn("class", F.col("key")).withColumn("size", F.lit(1).cast("long")))
+        self.placed = _stored(bands.join(self.keyed, "key"))
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Merges the classes of those of `pairs` (key, chief, class, chief_class) that are similar."""
+        full = pairs.join(self.texts, "key").join(self.texts.select(F.col("key").alias("chief"), F.col("text").alias("chief_text")), "chief")
+        links = full.select("class", "chief_class", "chief", "text", "chief_text").mapInArrow(_verified_rows(self.inverse), "a binary, b binary")
+        links = _stored(links.distinct())
+        if links.isEmpty():
+            return
+        roots = components(links).withColumnRenamed("node", "class")
+        self.keyed = _stored(_sized(self.keyed.join(roots, "class", "left").select("key", "central", F.coalesce("root", "class").alias("class"))))
+        moved = _stored(self.placed.select("key", "band", "n").join(self.keyed, "key"))
+        self.placed = _stored(moved.join(_stored(_mixed(moved)), "band"))
+
+    def current(self, pairs: DataFrame) -> DataFrame:
+        """`pairs` with the classes of now, without those that are in one by now."""
+        now = self.keyed.select("key", "class")
+        there = now.select(F.col("key").alias("chief"), F.col("class").alias("chief_class"))
+        return pairs.select("key", "chief", "shared").join(now, "key").join(there, "chief").where("class <> chief_class")
+
+    def finish(self) -> None:
+        """Verifies all that may still be similar: first the likeliest pair of each two classes, then what that leaves apart."""
+        members = self.placed.where(F.col("n") > SMALL).select("key", "class").distinct()
+        pairs = _stored(_prefix_pairs(members.join(self.texts, "key"), self.inverse).unionByName(_small_pairs(self.placed)))
+        best = F.max(F.struct("shared", "key", "chief"))
+        two = [F.least("class", "chief_class").alias("x"), F.greatest("class", "chief_class").alias("y")]
+        first = _stored(pairs.groupBy(*two).agg(best.alias("b")).select("b.key", "b.chief"))
+        before = self.keyed
+        self.verify(first.join(pairs, ["key", "chief"]).dropDuplicates(["key", "chief"]))
+        if self.keyed is before:
+            rest = pairs
+        else:
+            rest = self.current(pairs)
+        self.verify(rest.join(first, ["key", "chief"], "left_anti").dropDuplicates(["key", "chief"]))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """One row per row of `docs` (doc_id, text): class_id, class_size, kept.
+    """One row per row of `docs` (doc_id, text): class_id, class_size, kept, row_md5 (of the text).
 
     class_id is the least doc_id of the class; that document stays. A text of fewer than five words is one shingle;
-    a text without words (null, empty) is a class of its own. Rows that repeat a doc_id are one document; a class of
-    rows that all lack a doc_id has none either. An empty table gives no rows.
+    a text without words (null, empty) is a class of its own. One row of a class stays: of rows that repeat its doc_id
+    the one of the least digest, of equal rows one; a class whose rows all lack a doc_id has none either and keeps the
+    row of the least digest. An empty table gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     inverse = spark.sparkContext.broadcast(inverse_frequencies(docs))
-    rows = checkpointed(docs.mapInArrow(_signature_rows(inverse), "doc_id long, key binary, bands array<long>"))
-    nodes = checkpointed(
-        rows.where("key is not null").groupBy("key", "bands").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"))
-    )
+    signed = docs.withColumn("row_md5", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).mapInArrow(_signature_rows(inverse), "doc_id long, row_md5 string, key binary, bands array<long>")
+    rows = _stored(signed.groupBy("doc_id", "row_md5", "key", "bands").agg(F.count(F.lit(1)).alias("copies")))
+    # In order of the rows that stay: rows with a doc_id first.
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_md5")
+    nodes = _stored(rows.where("key is not null").groupBy("key", "bands").agg(F.sum("copies").alias("copies"), F.min(own).alias("first")))
     banded = nodes.select("key", F.explode("bands").alias("band"))
     # Only bands that nodes share, found by a combined count.
-    crowded = checkpointed(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    bands = checkpointed(banded.join(crowded, "band"))
-    keyed = bands.groupBy("key").agg(F.sum("n").alias("central")).withColumn("class", F.col("key")).withColumn("size", F.lit(1).cast("long"))
-    keyed = checkpointed(keyed)
-    placed = checkpointed(bands.join(keyed, "key"))
-
-    texts, step, finish = None, 0, False
-    while True:
-        if finish:
-            # Bands of up to NEIGHBOURS + 1 members have been compared whole.
-            members = placed.where(F.col("n") > NEIGHBOURS + 1).select("key", "class").distinct()
-            pairs = _prefix_pairs(members.join(texts, "key"), inverse)
-        else:
-            pairs = _with_chiefs(placed, step) if step < 2 else _with_neighbours(placed, step)
-        pairs = checkpointed(pairs.dropDuplicates(["key", "chief"]))
-        linked = False
-        if not pairs.isEmpty():
-            if texts is None:
-                wanted = spark.sparkContext.broadcast(_filter(keyed.select("key")))
-                folder = run_folder(spark, "near-texts")
-                docs.select("text").mapInArrow(_text_rows(wanted), "key binary, text string").groupBy("key").agg(F.max("text").alias("text")).write.parquet(folder)
-                texts = spark.read.parquet(folder)
-            full = pairs.join(texts, "key").join(texts.select(F.col("key").alias("chief"), F.col("text").alias("chief_text")), "chief")
-            links = full.select("class", "chief_class", "chief", "text", "chief_text").mapInArrow(_verified_rows(inverse), "a binary, b binary")
-            links = checkpointed(links.distinct())
-            linked = not links.isEmpty()
-        if linked:
-            roots = components(links).withColumnRenamed("node", "class")
-            keyed = checkpointed(_sized(keyed.join(roots, "class", "left").select("key", "central", F.coalesce("root", "class").alias("class"))))
-            moved = checkpointed(placed.select("key", "band", "n").join(keyed, "key"))
-            placed = checkpointed(moved.join(checkpointed(_mixed(moved)), "band"))
-        if finish or placed.isEmpty():
-            break
-        if step > 1 and not linked:
-            if placed.where(F.col("n") > NEIGHBOURS + 1).isEmpty():
-                break
-            finish = True
-        step += 1
-
-    named = nodes.join(keyed, "key", "left").select("key", "copies", "least_id", F.coalesce("class", "key").alias("class"))
-    sizes = named.groupBy("class").agg(F.sum("copies").alias("class_size"), F.min("least_id").alias("class_id"))
-    classes = named.select("key", "class").join(sizes, "class").drop("class")
-    shared = checkpointed(classes.where("class_size > 1"))
+    crowded = _stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    bands = _stored(banded.join(crowded, "band"))
+    wanted = spark.sparkContext.broadcast(_filter(bands.select("key").distinct()))
+    texts = _stored(docs.select("text").mapInArrow(_text_rows(wanted), "key binary, text string").groupBy("key").agg(F.max("text").alias("text")))
+
+    classes = _Classes(bands, texts, inverse)
+    for step in range(2):
+        classes.verify(_with_chiefs(classes.placed, step).dropDuplicates(["key", "chief"]))
+    classes.finish()
+    wanted.unpersist()
+    inverse.unpersist()
+
+    named = nodes.join(classes.keyed, "key", "left").select("key", "copies", "first", F.coalesce("class", "key").alias("class"))
+    sizes = named.groupBy("class").agg(F.sum("copies").alias("class_size"), F.min("first").alias("stays"))
+    shared = _stored(named.select("key", "class").join(sizes, "class").drop("class").where("class_size > 1"))
     alone = F.col("class_size").isNull()
-    return rows.join(shared, "key", "left").select(
+    joined = rows.join(shared, "key", "left").withColumn("_copy", F.explode(F.expr("sequence(1, copies)")))
+    chosen = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("row_md5") == F.col("stays.row_md5")) & (F.col("_copy") == 1)
+    return joined.select(
         "doc_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("stays.doc_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        (alone | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
+        (alone | chosen).alias("kept"),
+        "row_md5",
     )

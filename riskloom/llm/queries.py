@@ -42,7 +42,7 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_groups(_table(spark, sf_dir, "documents")).drop("n_chars")
+    return exact.exact_groups(_table(spark, sf_dir, "documents")).drop("n_chars", "row_md5")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.near_classes(_table(spark, sf_dir, "documents"))
+    return near.near_classes(_table(spark, sf_dir, "documents")).drop("row_md5")
 
 
 def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Exact and near de-duplication against plain Python."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -67,17 +68,19 @@ def plain_bag(s):
     return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
-def plain_classes(docs, inverse):
-    """Components of the graph of all pairs whose weighted Jaccard similarity is at least 0.8, by brute force."""
-    bags, weights = {}, {}
-    for doc_id, s in docs:
-        b = near.Bags(pa.array([s], pa.string()))
-        bags[doc_id] = (b.hash, b.weights(inverse))
-        assert b.count.sum() == plain_bag(s).total() and len(b.hash) == len(plain_bag(s))
+def plain_classes(docs):
+    """Components of the graph of all pairs whose weighted Jaccard similarity is at least 0.8, by brute force.
+
+    A shingle weighs its count times 1 + ln((N + 1) / df) / (4 ln(N + 2)), for N texts with words and df texts that have it.
+    """
+    bags = {doc_id: plain_bag(s) for doc_id, s in docs}
     holders = defaultdict(set)
-    for doc_id, (h, _) in bags.items():
-        for x in h.tolist():
+    for doc_id, bag in bags.items():
+        for x in bag:
             holders[x].add(doc_id)
+    total = sum(1 for b in bags.values() if b)
+    weight = {x: 1 + 0.25 * math.log((total + 1) / len(d)) / math.log(total + 2) for x, d in holders.items()}
+    mass = {d: sum(k * weight[x] for x, k in b.items()) for d, b in bags.items()}
     root = {d: d for d in bags}
 
     def find(x):
@@ -86,10 +89,14 @@ def plain_classes(docs, inverse):
         return x
 
     for a in bags:
-        for b in set().union(*(holders[x] for x in bags[a][0].tolist())) if len(bags[a][0]) else ():
-            if a < b and near.similarity(bags[a], bags[b]) >= near.SIMILAR:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
+        for b in set().union(*(holders[x] for x in bags[a])):
+            if a < b and min(mass[a], mass[b]) >= 0.79 * max(mass[a], mass[b]):
+                both = sum(min(k, bags[b][x]) * weight[x] for x, k in bags[a].items() if x in bags[b])
+                similar = both / (mass[a] + mass[b] - both)
+                assert abs(similar - 0.8) > 0.0005  # the frequencies of the operator may be off by as much
+                if similar > 0.8:
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
     return {d: find(d) for d in bags}
 
 
@@ -114,8 +121,7 @@ def edited(spark):
 
 def test_near_classes_are_the_components_of_similar_pairs(edited, documents):
     for docs in (edited, documents):
-        inverse = near.inverse_frequencies(docs)
-        want = plain_classes([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], inverse)
+        want = plain_classes([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
         sizes = Counter(want.values())
         got = near.near_classes(docs).collect()
         assert {r.doc_id: (r.class_id, r.class_size, r.kept) for r in got} == {d: (c, sizes[c], d == c) for d, c in want.items()}
@@ -146,9 +152,41 @@ def test_near_classes_of_odd_rows(odd):
     assert size[1] == size[2] == 4 and size[3] == size[4] == size[6] == 1
     assert [r.class_id for r in rows if r.doc_id == 2] == [1, 1]
     assert sorted(r.class_id or -1 for r in rows if r.doc_id is None) == [-1, 1]
+    # The null row without words is a class of its own and stays; of the class of equal texts row 1 does.
     assert {r.doc_id for r in exact.only_kept(odd, near.near_classes(odd)).collect()} == {None, 1, 3, 4, 5, 6, 7, 8, 9}
 
 
+def test_rows_that_share_a_doc_id_are_decided_one_by_one(spark):
+    same = "one two three four five six seven eight"
+    rows = [(1, same), (1, "quite another text of more than five words"), (None, same), (None, same + " "), (1, same), (2, same.upper()), (None, "a text that nobody else has at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near_rows = near.near_classes(docs)
+    assert sum(r.kept for r in near_rows.collect()) == 3
+    assert sorted((r.doc_id or 0, r.text) for r in exact.only_kept(docs, near_rows).collect()) == sorted([(0, rows[6][1]), (1, same), (1, rows[1][1])])
+    groups = exact.exact_groups(docs)
+    assert sum(r.kept for r in groups.collect()) == 4
+    assert sorted((r.doc_id or 0, r.text) for r in exact.only_kept(docs, groups).collect()) == sorted([(0, rows[6][1]), (0, same + " "), (1, rows[1][1]), (2, same.upper())])
+    unnamed = spark.createDataFrame([(None, same), (None, same + " x")] * 2, "doc_id long, text string")
+    assert exact.only_kept(unnamed, near.near_classes(unnamed)).count() in (1, 2) and sum(r.kept for r in near.near_classes(unnamed).collect()) == exact.only_kept(unnamed, near.near_classes(unnamed)).count()
+
+
+def test_texts_that_share_a_template_do_not_meet(spark):
+    """Candidates grow with the texts, not with their square: the shared shingles fall behind the prefix."""
+    rnd = np.random.default_rng(6)
+    words = lambda n: ["".join(chr(97 + c) for c in w) for w in rnd.integers(0, 26, (n, 6))]
+    passage = words(352)
+    found = []
+    for n in (100, 400):
+        rows = [(bytes([1]) * 8 + i.to_bytes(8, "big"), " ".join(passage + words(48))) for i in range(n)]
+        rows += [(bytes([2]) * 8 + i.to_bytes(8, "big"), rows[i][1].rsplit(" ", 3)[0] + " x y z") for i in range(5)]
+        members = spark.createDataFrame([(k, k, t) for k, t in rows], "key binary, class binary, text string")
+        inverse = spark.sparkContext.broadcast(near.inverse_frequencies(members.select("text")))
+        pairs = {frozenset((bytes(r.key)[8:], bytes(r.chief)[8:])) for r in near._prefix_pairs(members, inverse).collect()}
+        assert all(frozenset([i.to_bytes(8, "big")]) in pairs for i in range(5))
+        found.append(len(pairs))
+    assert found[0] < 100 and found[1] < 400
+
+
 def test_near_classes_of_nothing(documents):
     assert near.near_classes(documents.limit(0)).count() == 0
 
