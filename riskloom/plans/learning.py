@@ -24,6 +24,8 @@ from riskloom.session import run_folder, ship
 from riskloom.sources import messages as msg
 from riskloom.streaming import jobs as J
 
+# At most so many trees a fit in the queries: 2,000 with the operator's patience took over five minutes a fit (README).
+TREES = 64
 TEXT_FEATURES = ("chars", "words", "digits", "capitals", "lines")
 
 
@@ -49,30 +51,30 @@ def inputs():
 @query()
 def gbt_scores(spark, sf_dir):
     rows = prep.holdout(labelled_documents(spark, sf_dir), "label", "doc_id")
-    model = M.fit_boosted(rows.where(~F.col("is_test")), "label", "doc_id", inputs())
+    model = M.fit_boosted(rows.where(~F.col("is_test")), "label", "doc_id", inputs(), max_trees=TREES)
     return rounded(M.fraud_probability(model, rows.where("is_test")).select("doc_id", "label", "risk"), "risk")
 
 
 @query()
 def gain_importance(spark, sf_dir):
     rows = labelled_documents(spark, sf_dir)
-    model = M.fit_boosted(rows, "label", "doc_id", inputs())
+    model = M.fit_boosted(rows, "label", "doc_id", inputs(), max_trees=TREES)
     return rounded(M.importance(rows, model, TEXT_FEATURES), "share")
 
 
 @query()
 def out_of_fold(spark, sf_dir):
-    scored = M.out_of_fold(labelled_documents(spark, sf_dir), "label", "doc_id", inputs())
+    scored = M.out_of_fold(labelled_documents(spark, sf_dir), "label", "doc_id", inputs(), max_trees=TREES)
     return rounded(scored.select("doc_id", "label", "fold", "risk"), "risk")
 
 
 @query()
 def metrics_by_source(spark, sf_dir):
     rows = labelled_documents(spark, sf_dir)
-    model = M.fit_boosted(rows, "label", "doc_id", inputs())
+    model = M.fit_boosted(rows, "label", "doc_id", inputs(), max_trees=TREES)
     both = {
         "in sample": M.fraud_probability(model, rows),
-        "out of fold": M.out_of_fold(rows, "label", "doc_id", inputs()),
+        "out of fold": M.out_of_fold(rows, "label", "doc_id", inputs(), max_trees=TREES),
     }
     return rounded(M.metrics_by_source(both, "risk", "label"), "pr_auc", "pr_auc_baseline", "roc_auc")
 
@@ -80,7 +82,7 @@ def metrics_by_source(spark, sf_dir):
 @query()
 def train_metadata(spark, sf_dir):
     _, metadata = M.train(
-        labelled_documents(spark, sf_dir), "label", "doc_id", "chars", inputs(), capacity=0.9
+        labelled_documents(spark, sf_dir), "label", "doc_id", "chars", inputs(), capacity=0.9, max_trees=TREES
     )
     row = spark.createDataFrame([(json.dumps(metadata, sort_keys=True),)], "metadata string")
     return row

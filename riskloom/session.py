@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,9 @@ REQUIRED_CONF = {
 }
 
 
+_shipping = Lock()
+
+
 def build_session(app: str = "riskloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the library's settings; extra settings use `__` for the dots."""
     builder = SparkSession.builder.appName(app)
@@ -41,15 +45,16 @@ def ship(spark: SparkSession) -> None:
     Not needed where it is installed on the cluster; harmless there.
     """
     context = spark.sparkContext
-    if getattr(context, "_riskloom_shipped", False):
-        return
-    root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="riskloom-package-")) / "riskloom.zip"
-    with zipfile.ZipFile(archive, "w") as bundle:
-        for file in sorted(root.rglob("*.py")):
-            bundle.write(file, file.relative_to(root.parent))
-    context.addPyFile(str(archive))  # read on the driver, handed out by Spark
-    context._riskloom_shipped = True
+    with _shipping:  # jobs may be started side by side
+        if getattr(context, "_riskloom_shipped", False):
+            return
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="riskloom-package-")) / "riskloom.zip"
+        with zipfile.ZipFile(archive, "w") as bundle:
+            for file in sorted(root.rglob("*.py")):
+                bundle.write(file, file.relative_to(root.parent))
+        context.addPyFile(str(archive))  # read on the driver, handed out by Spark
+        context._riskloom_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -1,9 +1,10 @@
 """Splits that lose no row, inputs learnt inside folds, copies counted once, full forests."""
 
 import inspect
+import math
 
 import pytest
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -44,6 +45,61 @@ def test_inputs_are_learnt_from_the_rows_they_are_fitted_on(spark):
     assert learnt == known and learnt[0] != learnt[1]
 
 
+def plain_precision(scored):
+    """Average precision over distinct scores, from (score, label)."""
+    hits = flagged = 0
+    total, out = sum(y for _, y in scored), 0.0
+    for score in sorted({s for s, _ in scored}, reverse=True):
+        own = [y for s, y in scored if s == score]
+        hits, flagged = hits + sum(own), flagged + len(own)
+        out += sum(own) * hits / flagged
+    return out / total
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    """Two shifted columns under noise, so that many small trees are worth something."""
+    shift = lambda by: F.when(F.col("y") == 1, by).otherwise(0.0)
+    base = spark.range(1500).select(F.col("id").alias("row_id"), (F.col("id") % 6 == 0).cast("int").alias("y"))
+    return base.select("*", *((F.randn(i) + shift(0.9)).alias(c) for i, c in enumerate("abcdef"))).repartition(3, "row_id").cache()
+
+
+@pytest.fixture
+def letters(spark):
+    return Pipeline(stages=[VectorAssembler(inputCols=list("abcdef"), outputCol="features")])
+
+
+def test_the_stopping_curve_is_the_average_precision_of_each_prefix(noisy, letters):
+    model = models.fit_boosted(noisy, "y", "row_id", letters, max_trees=12, patience=12)
+    rows = model.stages[0].transform(noisy)
+    trees = model.stages[-1]
+    curve = {r.trees: r.pr_auc for r in models.boosting_curve(trees, rows, "y").collect()}
+    assert sorted(curve) == list(range(1, trees.getNumTrees + 1))
+    margins = [0.0] * 1500
+    each = trees.setLeafCol("leaf").transform(rows).select("y", "features", "leaf").collect()
+    for k, (tree, weight) in enumerate(zip(trees.trees, trees.treeWeights), 1):
+        margins = [m + weight * tree.predict(r.features) for m, r in zip(margins, each)]
+        steps = [min(int(4096 / (1 + math.exp(-2 * m))), 4095) for m in margins]
+        assert curve[k] == pytest.approx(plain_precision([(s, r.y) for s, r in zip(steps, each)]))
+
+
+def test_the_best_number_of_trees_is_kept(noisy, letters):
+    """The best prefix of the long run is what is kept; it is more than a handful, and it is the same trees."""
+    kept = models.fit_boosted(noisy, "y", "row_id", letters, max_trees=60, patience=20).stages[-1]
+    rows = noisy.select("row_id", "y", *"abcdef")
+    long = models.fit_boosted(noisy, "y", "row_id", letters, max_trees=60, patience=60).stages[-1]
+    assert kept.getNumTrees > 5
+    same = min(kept.getNumTrees, long.getNumTrees)
+    assert [t.toDebugString.split("\n", 1)[1] for t in kept.trees[:same]] == [t.toDebugString.split("\n", 1)[1] for t in long.trees[:same]]
+    cut = models.first_trees(long, 2)
+    probability = lambda m: [r.risk for r in models.fraud_probability(PipelineModel(stages=[letters.getStages()[0], m]), rows).orderBy("row_id").collect()]
+    assembled = letters.getStages()[0].transform(rows).orderBy("row_id").select("features").collect()
+    margin = [sum(w * t.predict(r.features) for t, w in zip(long.trees[:2], long.treeWeights[:2])) for r in assembled]
+    assert probability(cut) == pytest.approx([1 / (1 + math.exp(-2 * m)) for m in margin])
+    curve = noisy.sparkSession.createDataFrame([(1, 0.5), (2, 0.7), (3, 0.7), (4, None), (5, 0.6)], "trees int, pr_auc double")
+    assert models.best_prefix(curve) == 2
+
+
 @pytest.mark.parametrize("size", [100, 3000, 60_000])
 def test_each_tree_has_a_full_sample_whatever_the_size(spark, size):
     df = spark.range(size).select("id", F.array(F.col("id").cast("double")).alias("x"))
@@ -54,7 +110,7 @@ def test_each_tree_has_a_full_sample_whatever_the_size(spark, size):
 
 
 @pytest.mark.parametrize("name", ["gbt_scores", "gain_importance", "out_of_fold", "metrics_by_source", "train_metadata"])
-def test_queries_train_with_the_operators_defaults(spark, monkeypatch, name):
+def test_queries_train_with_all_folds_and_resamples(spark, monkeypatch, name):
     used = []
 
     def recorded(f):
@@ -73,5 +129,5 @@ def test_queries_train_with_the_operators_defaults(spark, monkeypatch, name):
         monkeypatch.setattr(models, other, lambda *_: None)
     with pytest.raises((StopIteration, AttributeError)):
         getattr(learning, name)(spark, "/root/testdata/sf0.001")
-    wanted = {"max_trees": models.MAX_TREES, "k": 5, "resamples": 1000}
+    wanted = {"max_trees": learning.TREES, "k": 5, "resamples": 1000}
     assert used and all(wanted[k] == v for u in used for k, v in u.items())
