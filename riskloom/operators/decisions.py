@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,7 +86,8 @@ def append_batch(rows: DataFrame, path: str, batch_id: int) -> None:
 
     Checked while writing: a row outside the contract fails the write, and so
     leaves the earlier content of the batch in place. Ids must be distinct in
-    the batch (see `latest_per_key`).
+    the batch (see `latest_per_key`). Inside the batch rows lie by the day they
+    were scored on, so that a reader of a time range opens no other files.
     """
     ok = (
         F.col("risk_score").between(0, 1)
@@ -100,7 +101,26 @@ def append_batch(rows: DataFrame, path: str, batch_id: int) -> None:
         ),
     )
     # Ids sorted inside files: a point lookup then skips row groups by their statistics.
-    guarded.sortWithinPartitions("transaction_id").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    dated = guarded.withColumn("day", F.to_date("scored_at")).sortWithinPartitions("day", "transaction_id")
+    dated.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch_id={batch_id}")
+
+
+def read_log(spark: SparkSession, path: str, since: datetime | None = None) -> DataFrame:
+    """The rows of a log that were scored at `since` or later; files of earlier days are not opened."""
+    log = spark.read.parquet(path)
+    if since is None:
+        return log
+    if since.tzinfo is None:
+        raise ValueError("since needs a time zone")
+    return log.where((F.col("day") >= F.lit(since.astimezone(timezone.utc).date())) & (F.col("scored_at") >= F.lit(since)))
+
+
+def current_since(spark: SparkSession, path: str, since: datetime | None = None) -> DataFrame:
+    """The current decisions scored at `since` or later, from the log of those days alone.
+
+    Exact: a transaction's newest row is in that range if any of its rows is, and then it is the newest of those.
+    """
+    return latest_decisions(read_log(spark, path, since))
 
 
 def latest_per_key(df: DataFrame, key: str, order: Sequence[Column | str]) -> DataFrame:

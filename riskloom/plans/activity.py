@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from riskloom.functions import rules as R
+from riskloom.operators import batch
 from riskloom.operators import decisions as D
 from riskloom.operators import scoring as S
 from riskloom.operators import velocity as V
 from riskloom.plans import sql
 from riskloom.plans.registry import query
+from riskloom.session import run_folder
 from riskloom.plans.tables import LIMITS, THRESHOLDS, VERSION, WINDOWS, stub_risk, transactions
 
 
@@ -424,8 +428,6 @@ SELECT transaction_id, us AS scored_us, decision, model_decision, risk AS risk_s
   CAST(c1h AS INT) AS velocity_count_1h, CAST(places AS INT) AS velocity_countries_1h, amount_1h AS velocity_amount_1h FROM v"""))
 def load_decisions(spark, sf_dir):
     """Second half of the month, at most a thousand rows and one more."""
-    from datetime import datetime, timezone
-
     rows = D.view(decisions(spark, sf_dir), datetime(2024, 1, 15, tzinfo=timezone.utc), 1000)
     return rows.withColumn("scored_us", F.unix_micros("scored_at")).withColumn("reasons", joined("reasons")).drop("scored_at")
 
@@ -433,6 +435,50 @@ def load_decisions(spark, sf_dir):
 @query(sql.with_(sql.SCORED, "SELECT least(count(*), 1001) AS rows, count(*) > 1000 AS truncated FROM scored WHERE us >= 1705276800000000"))
 def decisions_truncated(spark, sf_dir):
     """Whether the view of the second half of the month, at most a thousand rows, leaves any out."""
-    from datetime import datetime, timezone
-
     return D.truncation(D.view(decisions(spark, sf_dir), datetime(2024, 1, 15, tzinfo=timezone.utc), 1000), 1000)
+
+
+# ---------------------------------------------------------------- batch job
+_REDELIVERED = "FROM (SELECT * REPLACE (CASE WHEN event_type = 'purchase' THEN ts + INTERVAL 30 MINUTE ELSE ts END AS ts) FROM events))"
+_SCORED_AGAIN = sql.SCORED.replace("FROM events)", _REDELIVERED, 1)
+
+
+def _run_twice(spark, sf_dir):
+    """A batch in which purchases come again half an hour later, run a second time as after a failure."""
+    tx = transactions(spark, sf_dir)
+    again = tx.where("country = 'purchase'").withColumn("arrival_us", F.col("arrival_us") + 1_800_000_000)
+    path = run_folder(spark, "batch-job")
+    for _ in range(2):
+        report = batch.run_batch(
+            tx.unionByName(again), path, 1, stub_risk(), THRESHOLDS, VERSION, WINDOWS, R.velocity_rules(LIMITS), F.timestamp_micros("arrival_us")
+        )
+    return path, report
+
+
+@query(
+    sql.with_(
+        _SCORED_AGAIN,
+        """SELECT transaction_id, risk AS risk_score, decision, model_decision, CAST(c1h AS INT) AS velocity_count_1h, amount_1h AS velocity_amount_1h,
+  reasons, us AS scored_us FROM scored WHERE us >= 1705363200000000""",
+    )
+)
+def batch_job_since(spark, sf_dir):
+    """What the batch job recorded for 16 January and later, read from the log's files of those days."""
+    path, _ = _run_twice(spark, sf_dir)
+    rows = D.current_since(spark, path, datetime(2024, 1, 16, tzinfo=timezone.utc))
+    return rows.select(
+        "transaction_id", "risk_score", "decision", "model_decision", "velocity_count_1h", "velocity_amount_1h",
+        joined("reasons").alias("reasons"), F.unix_micros("scored_at").alias("scored_us"),
+    )
+
+
+@query(
+    sql.with_(
+        _SCORED_AGAIN,
+        """SELECT CAST(1 AS INT) AS batch_id, (SELECT count(*) + count(*) FILTER (event_type = 'purchase') FROM events) AS received,
+  (SELECT count(*) FILTER (event_type = 'purchase') FROM events) AS repeated, count(*) AS scored, count(*) FILTER (decision = 'approve') AS approve,
+  count(*) FILTER (decision = 'review') AS review, count(*) FILTER (decision = 'block') AS block FROM scored""",
+    )
+)
+def batch_job_report(spark, sf_dir):
+    return _run_twice(spark, sf_dir)[1]
