@@ -215,8 +215,10 @@ def fitted(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> Network |
                 rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), rows], ["doc_id", "y", "x"])
 
-    # At most 2 x LABELLED_PER_CLASS rows of two numbers: a proven bound.
+    # At most 2 x LABELLED_PER_CLASS rows of two numbers: a proven bound. So is that of the chosen documents, since of rows
+    # that repeat a doc_id one is taken, the one of the least text.
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    chosen = chosen.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     table = chosen.mapInArrow(features, "doc_id long, y int, x array<float>").toArrow().sort_by("doc_id")
     y = np.asarray(table.column("y"), np.float64)
     if len(np.unique(y)) < 2:

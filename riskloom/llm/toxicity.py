@@ -233,8 +233,10 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Models, Layer] | float:
     """
     sample, sizes = training_rows(labels, "toxic", "crc32(cast(doc_id as string)) % 4 <> 2", LABELLED_PER_CLASS)
     share = (sizes[1] + 1) / (sum(sizes) + 2)
-    # At most 2 x LABELLED_PER_CLASS rows of two numbers: a proven bound.
+    # At most 2 x LABELLED_PER_CLASS rows of two numbers: a proven bound. So is that of the chosen documents, since of rows
+    # that repeat a doc_id one is taken, the one of the least text.
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    chosen = chosen.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     third = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3))
     counted = chosen.where(third != 0).select("text", "y").mapInArrow(_word_rows, "word binary, y int")
     table = counted.groupBy("word").agg(F.count(F.when(F.col("y") == 0, 1)).alias("ordinary"), F.count(F.when(F.col("y") == 1, 1)).alias("toxic")).toArrow().sort_by("word")

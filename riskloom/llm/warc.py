@@ -28,7 +28,7 @@ DATE = "1970-01-01T00:00:00Z"  # pages carry no time of their own
 COMPRESSION = 1
 # Columns whose predicates are decided on the headers alone.
 HEADER_COLUMNS = ("page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to")
-LISTING = "_archives.json"
+LISTING = "_archives-"  # how the names of listings begin
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -75,10 +75,13 @@ class Archive(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceWriter):
-    """A file for each task attempt; only those of committed attempts are listed, so a repeated task leaves no doubles."""
+    """A file for each task attempt; only those of committed attempts are listed, so a repeated task leaves no doubles.
 
-    def __init__(self, path: str):
-        self.path = path
+    Each write has a listing of its own, so that appending adds to what earlier writes listed.
+    """
+
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, rows: Iterator) -> Archive:
         store, folder = filesystem(self.path)
@@ -92,8 +95,11 @@ class WarcWriter(DataSourceWriter):
     def commit(self, messages: list) -> None:
         store, folder = filesystem(self.path)
         store.create_dir(folder, recursive=True)
-        with store.open_output_stream(f"{folder}/{LISTING}") as out:
+        before = _files(store, folder, LISTING) if self.overwrite else []
+        with store.open_output_stream(f"{folder}/{LISTING}{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(sorted(m.name for m in messages if m)).encode())
+        for listing in before:
+            store.delete_file(listing)
 
     def abort(self, messages: list) -> None:
         """Without a listing nothing of it is read."""
@@ -103,8 +109,14 @@ class OneFile(InputPartition):
     pass
 
 
+def _files(store, folder: str, prefix: str = "", suffix: str = "") -> list[str]:
+    """Paths of the files of a folder whose names begin and end so."""
+    found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    return sorted(f.path for f in found if f.is_file and f.base_name.startswith(prefix) and f.base_name.endswith(suffix))
+
+
 class WarcReader(DataSourceReader):
-    """A partition for each listed file. Equality and IN on header columns are tested before a block is touched.
+    """A partition for each listed file, or for each `.warc` file of a folder without listings. Equality and IN on header columns are tested before a block is touched.
 
     Option `verify`: responses' lengths and digests are computed from the decoded payload instead of being taken from
     the headers. Option `payload` (default true): whether payloads are returned.
@@ -124,8 +136,11 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         store, folder = filesystem(self.path)
-        with store.open_input_stream(f"{folder}/{LISTING}") as listing:
-            return [OneFile(f"{folder}/{name}") for name in json.loads(listing.read())]
+        listings, names = _files(store, folder, LISTING), []
+        for path in listings:
+            with store.open_input_stream(path) as listing:
+                names += [f"{folder}/{name}" for name in json.loads(listing.read())]
+        return [OneFile(path) for path in (names if listings else _files(store, folder, suffix=".warc"))]
 
     def read(self, partition):
         store, _ = filesystem(self.path)
@@ -149,12 +164,18 @@ class WarcReader(DataSourceReader):
                 body = None
                 if (self.verify or self.payload) and row["record_type"] == "response":
                     raw.seek(start)
-                    body = zlib.decompress(raw.read(length).partition(b"\r\n\r\n")[2], 31)
+                    body = _payload(raw.read(length))
                     if self.verify:
                         row["payload_digest"], row["payload_bytes"] = base64.b32encode(hashlib.sha1(body).digest()).decode(), len(body)
                 yield (*row.values(), body if self.payload else None)
 
 
+def _payload(block: bytes) -> bytes:
+    """The payload of an HTTP response: what follows its header, unpacked if that says it is packed."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    return zlib.decompress(body, 31) if re.search(rb"(?im)^content-encoding:[ \t]*(x-)?gzip[ \t]*\r?$", head) else body
+
+
 def _header(raw, at: int) -> tuple[dict[str, str], int]:
     """The header fields of the record at `at`, by lower-case name, and where its block begins."""
     step, held = 1024, b""
@@ -185,7 +206,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], flag("verify", "false"), flag("payload", "true"))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -124,3 +124,18 @@ def test_scores_in_many_partitions(documents, monkeypatch):
     assert [(a.doc_id, a.n_words) for a in one] == [(a.doc_id, a.n_words) for a in many]
     assert all(abs(a.score - b.score) < 1e-9 for a, b in zip(one, many))
     assert lm.backoff_scores(documents.limit(0)).count() == 0
+
+
+def test_rows_that_repeat_a_labelled_doc_id_are_one_example(spark, documents, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    some = documents.join(labels.where("quality is not null"), "doc_id", "left_semi").select("doc_id", "text").limit(1)
+    repeated = documents.select("doc_id", "text").unionByName(some.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("k"))
+    sizes, vectors = [], quality.word_vectors(documents)
+    real = quality.fit
+    try:
+        quality.fit = lambda x, y, *rest: sizes.append(len(y)) or real(x, y, *rest)
+        for docs in (documents.select("doc_id", "text"), repeated):
+            quality.fitted(docs, labels, vectors)
+    finally:
+        quality.fit = real
+    assert sizes[0] == sizes[1]

@@ -1,5 +1,6 @@
 """Main text of pages and WARC archives."""
 
+import gzip
 import base64
 import hashlib
 
@@ -135,3 +136,35 @@ def test_files_of_a_failed_attempt_are_not_read(spark, pages):
     writer.commit([kept])
     reader = warc.WarcReader(store, False, False)
     assert [p.value.rpartition("/")[2] for p in reader.partitions()] == [kept.name] != [lost.name]
+
+
+def test_appended_archives_add_up_and_overwriting_replaces(spark, tmp_path):
+    warc.register(spark)
+    page = lambda *ids: spark.createDataFrame([(i, f"http://a/{i}", f"<p>{i}</p>") for i in ids], "page_id long, url string, html string")
+    ids = lambda: sorted(r.page_id for r in spark.read.format("warc").load(str(tmp_path / "w")).collect())
+    for part in ((1, 2), (3, 4, 5)):
+        warc.records(page(*part)).write.format("warc").mode("append").save(str(tmp_path / "w"))
+    assert ids() == [1, 2, 3, 4, 5]
+    warc.records(page(9)).write.format("warc").mode("overwrite").save(str(tmp_path / "w"))
+    assert ids() == [9]
+
+
+def test_archives_of_others_are_read(spark, tmp_path):
+    """A folder without listings, plain payloads, record ids of other kinds, records that are no pages."""
+    warc.register(spark)
+
+    def record(kind, block, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:5d0ce0f0-0000-4000-8000-000000000001>", **more, "Content-Length": str(len(block))}
+        return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    packed = b"HTTP/1.1 200 OK\r\ncontent-encoding:  gzip\r\n\r\n" + gzip.compress(b"packed")
+    url = {"WARC-Target-URI": "http://a/1"}
+    data = record("warcinfo", b"software: x\r\n") + record("request", b"GET / HTTP/1.1\r\n\r\n", **url) + record("response", http + b"<p>plain</p>", **url) + record("response", packed, **url)
+    (tmp_path / "other.warc").write_bytes(data)
+    (tmp_path / "notes.txt").write_text("no archive")
+    rows = spark.read.format("warc").load(str(tmp_path)).collect()
+    assert [r.record_type for r in rows] == ["warcinfo", "request", "response", "response"]
+    assert [bytes(r.payload) for r in rows if r.payload is not None] == [b"<p>plain</p>", b"packed"] and rows[2].url == "http://a/1"
+    checked = spark.read.format("warc").option("verify", "true").load(str(tmp_path)).where("record_type = 'response'").collect()
+    assert [r.payload_bytes for r in checked] == [12, 6]
