@@ -8,11 +8,15 @@ with one row per block carries the totals from one block to the next.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.session import checkpointed
 
@@ -74,37 +78,79 @@ def row_index_within(
     )
 
 
+def _sums_within(totals: Mapping[str, str], by: Sequence[str]):
+    """An Arrow function that adds running sums over one sorted partition, restarted where `by` changes."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, carried = None, dict.fromkeys(totals, 0)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            begins = np.zeros(n, bool)
+            for c in by:
+                column = batch.column(c)
+                missing = pc.is_null(column).to_numpy(zero_copy_only=False)
+                changed = pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, n - 1)), False)
+                begins[1:] |= changed.to_numpy(zero_copy_only=False) | (missing[1:] != missing[:-1])
+            goes_on = group == [batch.column(c)[0].as_py() for c in by]
+            group = [batch.column(c)[n - 1].as_py() for c in by]
+            begins[0] = True
+            heads = np.flatnonzero(begins)
+            sizes = np.diff(np.append(heads, n))
+            sums = []
+            for new, source in totals.items():
+                values = pc.fill_null(batch.column(source), 0).to_numpy(zero_copy_only=False)
+                if values.dtype.kind == "f":  # no differences of sums: they would round
+                    upto = np.concatenate([np.cumsum(run, dtype=np.float64) for run in np.split(values, heads[1:])])
+                else:
+                    upto = np.cumsum(values, dtype=np.int64)
+                    upto -= np.repeat(upto[heads] - values[heads], sizes)
+                if goes_on:
+                    upto[: sizes[0]] += carried[new]
+                carried[new] = upto[-1]
+                sums.append(pa.array(upto))
+            names = [*batch.schema.names, *(f"_in_{new}" for new in totals)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *sums], names)
+
+    return rows
+
+
 def running_totals(
-    df: DataFrame,
-    order: Sequence[Column | str],
-    totals: Mapping[str, str],
-    by: Sequence[str] = (),
+    df: DataFrame, order: Sequence[Column | str], totals: Mapping[str, str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Adds inclusive running sums in `order`, restarted per value of `by`.
+    """Adds inclusive running sums in `order`, restarted per value of `by` (null is a value).
+
+    `totals` maps new column names to the columns they sum, integers or doubles;
+    nulls add nothing. `order` must be distinct inside each `by` group: collapse
+    ties with a groupBy first, which also shrinks the table before it is sorted.
 
-    `totals` maps new column names to the columns they sum. `order` must be
-    distinct inside each `by` group: collapse ties with a groupBy first, which
-    also shrinks the table before it is sorted.
+    Rows move once, in the sort. Sums inside a sorted partition are made while
+    it is written down; the next partition needs what the one group that
+    straddles the border had before it, one row per border.
     """
-    laid = laid_out(df, [*by, *order])
+    odd = [c for c in totals.values() if not isinstance(df.schema[c].dataType, (T.IntegralType, T.FractionalType)) or isinstance(df.schema[c].dataType, T.DecimalType)]
+    if odd:
+        raise ValueError(f"running totals need integers or doubles: {odd}")
+    kinds = {new: "double" if isinstance(df.schema[c].dataType, T.FractionalType) else "bigint" for new, c in totals.items()}
+    placed = df.orderBy(*by, *order).withColumn("_block", F.spark_partition_id())
+    fields = [*placed.schema.fields, *(T.StructField(f"_in_{new}", T._parse_datatype_string(kind)) for new, kind in kinds.items())]
+    stored = checkpointed(placed.mapInArrow(_sums_within(totals, by), T.StructType(fields)))
     keys = [*by, "_block"]
-    heads = laid.groupBy(*keys).agg(*(F.sum(src).alias(f"_head_{new}") for new, src in totals.items()))
-    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = stored.groupBy(*keys).agg(*(F.sum(source).alias(f"_sum_{new}") for new, source in totals.items()))
+    blocks = Window.partitionBy(*by).orderBy("_block")
+    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.select(
-        *keys,
-        *(
-            F.coalesce(F.sum(f"_head_{new}").over(earlier), F.lit(0)).alias(f"_head_{new}")
-            for new in totals
-        ),
-    )
-    inside = Window.partitionBy(*keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-    summed = laid.select(
-        "*", *(F.sum(src).over(inside).alias(f"_in_{new}") for new, src in totals.items())
+        *(F.col(k).alias(f"_at_{k}") for k in keys),
+        F.row_number().over(blocks).alias("_nth"),
+        *(F.sum(f"_sum_{new}").over(before).alias(f"_head_{new}") for new in totals),
+    ).where("_nth > 1")
+    # Sorted by group, a block can continue only one group of earlier blocks: fewer rows than sort partitions.
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys))
+    joined = stored.join(F.broadcast(heads), same, "left")
+    return joined.select(
+        *df.columns, *((F.col(f"_in_{new}") + F.coalesce(f"_head_{new}", F.lit(0))).alias(new) for new in totals)
     )
-    joined = summed.join(heads, keys)
-    for new in totals:
-        joined = joined.withColumn(new, F.col(f"_head_{new}") + F.col(f"_in_{new}"))
-    return joined.drop("_block", "_row", *(f"_head_{n}" for n in totals), *(f"_in_{n}" for n in totals))
 
 
 APPROX_ACCURACY = 10_000  # percentile_approx is off by at most one in this many ranks

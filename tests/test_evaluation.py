@@ -163,3 +163,46 @@ def test_choice(spark):
 def test_grids():
     assert len(P.PROBABILITY_GRID) == 108 and P.PROBABILITY_GRID[0] == 0.001 and P.PROBABILITY_GRID[-1] == 0.99
     assert len(P.PERCENTILE_GRID) == 100 and P.PERCENTILE_GRID[-1] == 0.999
+
+
+def test_running_totals_in_many_blocks(spark):
+    """Ties in the block column, nulls, groups without a key and both directions against plain sums."""
+    rows = [(g, None if i % 97 == 0 else float((i * 7919) % 1500), i, i % 5) for i in range(3000) for g in ("a", None)][:-7]
+    df = spark.createDataFrame(rows, "g string, v double, id long, w long")
+    for down in (False, True):
+        want, total = {}, {}
+        for g, v, i, w in sorted(rows, key=lambda r: ((r[1] is not None, r[1] or 0.0), r[2]), reverse=down):
+            total[g] = total.get(g, 0) + w
+            want[g, i] = total[g]
+        got = K.running_totals(df, [c.desc() if down else c for c in (F.col("v"), F.col("id"))], {"t": "w"}, ["g"])
+        assert {(r["g"], r["id"]): r["t"] for r in got.collect()} == want
+    assert K.running_totals(df.limit(0), ["v"], {"t": "w"}).count() == 0
+
+
+def test_totals_are_carried_over_batches_and_groups(spark):
+    """Partitions that hold several groups, groups that hold several partitions and batches; sums of doubles."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(key)
+    df = spark.range(5_000).select("id", F.when(F.col("id") < 3_000, -1).otherwise(F.col("id") % 40).alias("g"), (F.col("id") / 8).alias("w"))
+    spark.conf.set(key, "37")
+    try:
+        got = {r["id"]: r["t"] for r in K.running_totals(df, ["id"], {"t": "w"}, ["g"]).collect()}
+    finally:
+        spark.conf.set(key, kept)
+    want, total = {}, {}
+    for i in range(5_000):
+        g = -1 if i < 3_000 else i % 40
+        want[i] = total[g] = total.get(g, 0) + i / 8
+    assert got == want
+    with pytest.raises(ValueError, match="integers or doubles"):
+        K.running_totals(df.select("id", F.col("g").cast("decimal(9,2)").alias("g")), ["id"], {"t": "g"})
+
+
+def test_average_precision_moves_scores_once(spark):
+    df = spark.range(10_000).select((F.col("id") % 977 / 977).alias("s"), (F.col("id") % 7 == 0).cast("int").alias("y"))
+    ranked = E.ranked_scores(E.per_score(df, "s", "y"))
+    plan = ranked._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    # After the sort only the heads of blocks are grouped and put in order.
+    executed = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(score" not in executed and "rangepartitioning" not in executed
