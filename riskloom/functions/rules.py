@@ -49,6 +49,7 @@ class Rule:
 def velocity_rules(limits: RuleLimits = RuleLimits(), velocity: str = "velocity") -> list[Rule]:
     """The built-in rules in reporting order. Append to the list to extend it."""
     seen = F.col(velocity)
+    # The names and descriptions of the rules, as results carry them.
     return [
         Rule(
             "many_in_a_minute",
