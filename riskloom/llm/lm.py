@@ -4,11 +4,12 @@ A word pair that some other document has too scores its count over the count of
 off to BACKOFF times the share of its second word, and a text's first word scores its share. A document's score is the
 mean of the logarithms. All counts cover all documents.
 
-Word counts become a vocabulary: words rarer than one in 2**VOCABULARY_BITS words share one entry, so the vocabulary
-has at most that many entries whatever the corpus, and a pair of entry numbers is an exact key. Pairs more frequent
-than one in 2**FREQUENT_BITS are at most that many as well: their counts go to every task, which scores them where
-they stand. All other pairs travel once, packed, to the partition their hash names, where they are counted and scored;
-no pair of those can fill a partition.
+Every word and every pair keeps its own count. Words at least as frequent as one in 2**VOCABULARY_BITS are at most that
+many whatever the corpus: their counts go to every task, which names them by entry numbers. So do pairs more frequent
+than one in 2**FREQUENT_BITS, which are scored where they stand. All else travels once, packed, to where it is counted:
+a pair of two frequent words to the partition that its key's hash names, a rare word and the pairs it is part of to the
+partition that the word's hash names. A pair of two rare words goes to both; each adds its own word's part of the score.
+Nothing that travels can fill a partition, since none of it is frequent.
 """
 
 from __future__ import annotations
@@ -30,10 +31,13 @@ BACKOFF = 0.4
 VOCABULARY_BITS = 21
 FREQUENT_BITS = 20
 SKETCH_BITS = 20  # cells that find candidates for frequent pairs
-PAIRS_PER_GROUP = 2_000_000  # pairs that one task counts, about
+PAIRS_PER_GROUP = 1_500_000  # words of text for each partition of the count table
+FIRST, SECOND, ALONE = 0, 1, 2  # how a rare word stands in what is counted: in a pair, or itself
 PIECE = 4 << 20
-# A row is a chunk's documents (doc_ids, sizes and their scores so far in `base`) or its pairs in one partition.
-PACKED_ROW = "part long, chunk long, doc_ids array<long>, sizes array<long>, base binary, texts binary, pairs binary, times binary"
+# A row is a chunk's documents (doc_ids, sizes and their scores so far in `base`) or its pairs in one partition: keys of
+# frequent words in `pairs`, or hashes of rare words in `rare`, what they occur in as `uses` (place in `rare` x 4 + how
+# they stand) and the hash of each pair's other word in `others`.
+PACKED_ROW = "part long, chunk long, doc_ids array<long>, sizes array<long>, base binary, texts binary, pairs binary, times binary, rare binary, uses binary, others binary"
 REPLY_ROW = "chunk long, doc_ids array<long>, sizes array<long>, base binary, texts binary"
 _KINDS = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
 PACKED, REPLY = (pa.schema([(name, _KINDS[kind]) for name, kind in (f.split() for f in row.split(", "))]) for row in (PACKED_ROW, REPLY_ROW))
@@ -67,12 +71,11 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """Entry numbers and counts of words; the last entry is that of all rarer words."""
+    """Entry numbers and counts of frequent words; the entry number after the last is that of every rare word."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int):
         order = np.argsort(hashes)
-        self.hashes, self.total = hashes[order], total
-        self.counts = np.append(counts[order], max(1, total - int(counts.sum())))
+        self.hashes, self.counts, self.total = hashes[order], counts[order], total
         bits = max(1, math.ceil(math.log2(len(hashes) + 2)))
         self.shift = np.uint64(64 - bits)
         heads = np.arange((1 << bits) + 1, dtype=np.uint64) << self.shift
@@ -81,7 +84,7 @@ class Vocabulary:
     def entries(self, hashes: np.ndarray) -> np.ndarray:
         head = (hashes >> self.shift).astype(np.int64)
         at, end = self.start[head], self.start[head + 1]
-        out = np.full(len(hashes), len(self.hashes), np.int64)
+        out = np.full(len(hashes), self.rare, np.int64)
         going = np.flatnonzero(at < end)
         while len(going):
             place = at[going]
@@ -91,15 +94,20 @@ class Vocabulary:
             going = going[~same & (at[going] < end[going])]
         return out
 
+    @property
+    def rare(self) -> int:
+        return len(self.hashes)
+
     @property
     def size(self) -> int:
-        return len(self.counts)
+        return len(self.hashes) + 1
 
 
 def _document_pairs(words: Words, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Entry of each word; document, key and times of each pair a document has, by document and key."""
+    """Entry of each word; document, key and times of each pair of frequent words a document has, by document and key."""
     entry = vocabulary.entries(words.hash)
     at = _inside(words)
+    at = at[(entry[at - 1] != vocabulary.rare) & (entry[at] != vocabulary.rare)]
     text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))[at]
     key = entry[at - 1] * np.int64(vocabulary.size) + entry[at]
     bounds = np.searchsorted(text, np.arange(len(words.first))).tolist()
@@ -109,6 +117,26 @@ def _document_pairs(words: Words, vocabulary: Vocabulary) -> tuple[np.ndarray, n
     return entry, text[heads], key[heads], np.diff(np.append(heads, len(key)))
 
 
+def _rare_uses(words: Words, entry: np.ndarray, rare: int, parts: int) -> tuple[np.ndarray, ...]:
+    """Partition, hash of the rare word, how it stands, hash of the other word, document and times, in that order."""
+    at = _inside(words)
+    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    alone, first, second = np.flatnonzero(entry == rare), at[entry[at - 1] == rare], at[entry[at] == rare]
+    word = np.concatenate([words.hash[alone], words.hash[first - 1], words.hash[second]])
+    other = np.concatenate([np.zeros(len(alone), np.uint64), words.hash[first], words.hash[second - 1]])
+    stands = np.repeat(np.array([ALONE, FIRST, SECOND]), [len(alone), len(first), len(second)])
+    text = np.concatenate([text[alone], text[first], text[second]])
+    part = (mixed(word, 101) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((text, other, stands, word, part))
+    columns = [c[order] for c in (part, word, stands, other, text)]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    heads = np.flatnonzero(new)
+    return *(c[heads] for c in columns), np.diff(np.append(heads, len(order)))
+
+
 def gains(vocabulary: Vocabulary, key: np.ndarray, count: np.ndarray) -> np.ndarray:
     """What a pair seen elsewhere adds to the score that backing off would give: log of count over first word's count, less that."""
     first, second = key // vocabulary.size, key % vocabulary.size
@@ -126,7 +154,7 @@ def _scored_rows(vocabulary, frequent, parts: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         keys, counts = frequent.value
-        share = np.log(v.counts / v.total)
+        share = np.append(np.log(v.counts / v.total), 0.0)  # rare words get theirs where they are counted
         chunk = TaskContext.get().partitionId() << 32
         for whole in batches:
             for batch in pieces(whole, "text", PIECE):
@@ -147,10 +175,17 @@ def _scored_rows(vocabulary, frequent, parts: int):
                 text, key, times, part = text[order], key[order], times[order], part[order]
                 heads = np.flatnonzero(np.diff(part, prepend=-1))
                 ids = batch.column("doc_id")
-                out = [(chunk % parts, ids.to_pylist(), size.tolist(), total.tobytes(), None, None, None)]
+                out = [(chunk % parts, ids.to_pylist(), size.tolist(), total.tobytes())]
                 for a, b in zip(heads.tolist(), np.append(heads[1:], len(part)).tolist()):
                     own = (text[a:b].astype(np.uint16), _six_bytes(key[a:b]), times[a:b].astype(np.uint32))
                     out.append((int(part[a]), None, None, None, *(x.tobytes() for x in own)))
+                part, word, stands, other, text, times = _rare_uses(words, entry, v.rare, parts)
+                heads = np.flatnonzero(np.diff(part, prepend=-1))
+                for a, b in zip(heads.tolist(), np.append(heads[1:], len(part)).tolist()):
+                    distinct, place = np.unique(word[a:b], return_inverse=True)
+                    uses = (place * 4 + stands[a:b]).astype(np.uint32)
+                    own = (text[a:b].astype(np.uint16), b"", times[a:b].astype(np.uint32), distinct, uses, other[a:b])
+                    out.append((int(part[a]), None, None, None, *(x if isinstance(x, bytes) else x.tobytes() for x in own)))
                 yield pa.RecordBatch.from_pylist([dict(zip(PACKED.names, (r[0], chunk, *r[1:]))) for r in out], schema=PACKED)
                 chunk += 1
 
@@ -168,6 +203,39 @@ def _keys(raw: bytes) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
+def _sums_by_text(chunks, ends: np.ndarray, text: np.ndarray, value: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """For each row (whose items end at `ends`) its chunk and, of texts with a sum other than 0, numbers and sums."""
+    for chunk, a, b in zip(chunks, [0, *ends[:-1].tolist()], ends.tolist()):
+        total = np.bincount(text[a:b], weights=value[a:b])
+        some = np.flatnonzero(total)
+        if len(some):
+            yield chunk, some.astype(np.uint16).tobytes(), total[some].tobytes()
+
+
+def _rare_gains(v: Vocabulary, word: np.ndarray, stands: np.ndarray, other: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """What each use of a rare word adds to its document's score. All uses of a word are here, and so its counts."""
+    distinct, at = np.unique(word, return_inverse=True)
+    alone = stands == ALONE
+    log_count = np.log(np.bincount(at[alone], weights=times[alone], minlength=len(distinct)))[at] if len(at) else np.zeros(0)
+    value = np.where(alone, times * (log_count - math.log(v.total)), 0.0)
+    pair = np.flatnonzero(~alone)
+    pair = pair[np.lexsort((other[pair], at[pair] * 2 + stands[pair]))]
+    if len(pair):
+        new = np.ones(len(pair), bool)
+        new[1:] = (other[pair][1:] != other[pair][:-1]) | (at[pair][1:] != at[pair][:-1]) | (stands[pair][1:] != stands[pair][:-1])
+        heads = np.flatnonzero(new)
+        each = np.repeat(np.add.reduceat(times[pair], heads), np.diff(np.append(heads, len(pair))))
+        pair, each = pair[each > times[pair]], each[each > times[pair]]
+        entry = v.entries(other[pair])
+        known = entry != v.rare
+        # The partition of a pair's first word adds what both words share, or the only one that has a rare word of it.
+        whole = known | (stands[pair] == FIRST)
+        gain = np.where(whole, np.log(each) - math.log(BACKOFF) + math.log(v.total), 0.0) - log_count[pair]
+        gain[known] -= np.log(v.counts[entry[known]])
+        value[pair] = times[pair] * gain
+    return value
+
+
 def _counted_rows(vocabulary):
     """For one partition of the count table: what pairs that other documents have too add to each document of a chunk.
 
@@ -179,6 +247,8 @@ def _counted_rows(vocabulary):
         based = pc.is_valid(group.column("base"))
         chunks = group.filter(based)
         group = group.filter(pc.invert(based))
+        with_rare = pc.is_valid(group.column("rare"))
+        rares, group = group.filter(with_rare), group.filter(pc.invert(with_rare))
         raw = group.column("pairs").to_pylist()
         key = np.concatenate([_keys(x) for x in raw] or [np.zeros(0, np.int64)])
         times = np.frombuffer(b"".join(group.column("times").to_pylist()), np.uint32).astype(np.int64)
@@ -191,16 +261,19 @@ def _counted_rows(vocabulary):
         elsewhere = each > times
         gain = np.zeros(len(key))
         gain[elsewhere] = times[elsewhere] * gains(v, key[elsewhere], each[elsewhere])
-        names, texts, added = [], [], []
-        ends = np.cumsum([len(x) // 6 for x in raw])
-        for chunk, a, b in zip(group.column("chunk").to_pylist(), [0, *ends[:-1].tolist()], ends.tolist()):
-            starts = np.flatnonzero(np.diff(text[a:b].astype(np.int64), prepend=-1))
-            total = np.add.reduceat(gain[a:b], starts)
-            some = total != 0
-            if some.any():
-                names.append(chunk)
-                texts.append(text[a:b][starts[some]].tobytes())
-                added.append(total[some].tobytes())
+        found = list(_sums_by_text(group.column("chunk").to_pylist(), np.cumsum([len(x) // 6 for x in raw]), text, gain))
+        del raw, key, times, text, order, each, gain
+        used, named = rares.column("uses").to_pylist(), rares.column("rare").to_pylist()
+        if used:
+            uses = np.frombuffer(b"".join(used), np.uint32).astype(np.int64)
+            starts = np.cumsum([0, *(len(x) // 8 for x in named[:-1])])
+            places = uses // 4 + np.repeat(starts, [len(x) // 4 for x in used])
+            word, other = np.frombuffer(b"".join(named), np.uint64)[places], np.frombuffer(b"".join(rares.column("others").to_pylist()), np.uint64)
+            times = np.frombuffer(b"".join(rares.column("times").to_pylist()), np.uint32).astype(np.int64)
+            text = np.frombuffer(b"".join(rares.column("texts").to_pylist()), np.uint16)
+            value = _rare_gains(v, word, uses % 4, other, times)
+            found += _sums_by_text(rares.column("chunk").to_pylist(), np.cumsum([len(x) // 4 for x in used]), text, value)
+        names, texts, added = zip(*found) if found else ([], [], [])
         replies = pa.table({"chunk": pa.array(names, pa.int64()), "texts": pa.array(texts, pa.binary()), "base": pa.array(added, pa.binary())})
         return pa.concat_tables([chunks.select(["chunk", "doc_ids", "sizes", "base", "texts"]), replies], promote_options="default").select(REPLY.names).cast(REPLY)
 
@@ -233,8 +306,9 @@ def _frequent_rows(vocabulary, cells):
                 at = _inside(words)
                 cell = (_pair_hash(words.hash[at - 1], words.hash[at]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 at = at[hot[cell]]
-                key = v.entries(words.hash[at - 1]) * np.int64(v.size) + v.entries(words.hash[at])
-                distinct, n = np.unique(key, return_counts=True)
+                first, second = v.entries(words.hash[at - 1]), v.entries(words.hash[at])
+                both = (first != v.rare) & (second != v.rare)  # a pair is at most as frequent as its words
+                distinct, n = np.unique(first[both] * np.int64(v.size) + second[both], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n)], ["pair", "n"])
 
     return rows

@@ -107,13 +107,15 @@ def plain_scores(texts):
     return out
 
 
-@pytest.mark.parametrize("bits", [20, 0])
-def test_scores_are_those_of_plain_counts(spark, documents, odd, bits):
-    """With no frequent pairs (0 bits) every pair goes through its partition."""
+@pytest.mark.parametrize("bits, words", [(20, 21), (0, 21), (9, 10), (0, 4), (0, 0)])
+def test_scores_are_those_of_plain_counts(spark, documents, odd, bits, words, monkeypatch):
+    """With no frequent pairs (0 bits) every pair goes through its partition; with 10, 4 or 0 bits most or all words
+    are rare, counted where their hash says, and pairs are of frequent, mixed and rare words."""
+    monkeypatch.setattr(lm, "PAIRS_PER_GROUP", 20_000)
     docs = documents.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     rows = docs.collect()
     want = sorted(((r.doc_id or -1, n, None if s is None else round(s, 8)) for r, (n, s) in zip(rows, plain_scores([r.text for r in rows]))), key=repr)
-    got = sorted(((r.doc_id or -1, r.n_words, None if r.score is None else round(r.score, 8)) for r in lm.backoff_scores(docs, frequent_bits=bits).collect()), key=repr)
+    got = sorted(((r.doc_id or -1, r.n_words, None if r.score is None else round(r.score, 8)) for r in lm.backoff_scores(docs, words, bits).collect()), key=repr)
     assert got == want
 
 
