@@ -121,7 +121,18 @@ def bootstrap_interval(spark, sf_dir):
     return rounded(E.interval(reps), "low", "high")
 
 
-@query()
+@query(
+    sql.with_(
+        RATED,
+        """, steps AS (SELECT list(upto) AS l FROM (SELECT sum(exp(-1) / factorial(CAST(k AS INT))) OVER (ORDER BY k) AS upto FROM range(16) t(k))),
+ draws AS (SELECT b, label, other, CAST(('0x' || substr(sha256('7|' || b || '|' || event_id), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496.0 AS u FROM rated, range(1, 11) r(b)),
+ drawn AS (SELECT b, label, other, len(list_filter(l, lambda x: x <= u)) AS times FROM draws, steps),
+ g AS (SELECT b, other AS score, sum(times) AS n, sum(times * label) AS pos FROM drawn WHERE times > 0 GROUP BY ALL),
+ c AS (SELECT b, pos, sum(n) OVER w AS flagged, sum(pos) OVER w AS tp FROM g WINDOW w AS (PARTITION BY b ORDER BY score DESC)),
+ ap AS (SELECT b, sum(pos * tp / flagged) / sum(pos) AS pr_auc FROM c GROUP BY b)
+SELECT round(quantile_cont(pr_auc, 0.025), 6) AS low, round(quantile_cont(pr_auc, 0.975), 6) AS high, count(pr_auc) AS resamples FROM ap""",
+    )
+)
 def bootstrap_poisson(spark, sf_dir):
     reps = E.poisson_replicates(rated(spark, sf_dir), "other", "label", "event_id", 10, 7)
     return rounded(E.interval(reps), "low", "high")
