@@ -92,7 +92,7 @@ def with_card(df: DataFrame, fraction: Column) -> DataFrame:
 
 
 def pick(names: tuple[str, ...], number: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(n) for n in names)), (number + 1).cast("int"))
+    return F.get(F.array(*(F.lit(n) for n in names)), number.cast("int"))  # null for null, unlike element_at
 
 
 def with_identities(df: DataFrame, id_column: str = "transaction_id", keyed: bool = False) -> DataFrame:

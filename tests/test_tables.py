@@ -166,6 +166,8 @@ def test_identities(spark):
         assert 0.02 < abroad < 0.04
         homes = made.where(F.col("country").isin(*I.HOME_COUNTRIES)).groupBy("card_id").agg(F.count_distinct("country").alias("n"))
         assert homes.agg(F.max("n")).first()[0] == 1
+        nobody = I.with_identities(ids.limit(3).withColumn("transaction_id", F.lit(None).cast("string")), keyed=keyed)
+        assert nobody.agg(F.count("card_id"), F.count("merchant"), F.count("country")).first() == (0, 0, 0)
 
 
 def test_replay(spark):
