@@ -1,9 +1,10 @@
 """Main text of web pages: markup decides where it is clear, a suffix array over each host's pages where it is not.
 
-Text in an article or main element is kept, and text in menus, headers, footers, sidebars, notices, adverts, forms and
-comments goes. A page without such an element keeps the text outside those, less its host's boilerplate: the token
-streams of the host's pages are concatenated, their suffixes are sorted, and what lies in a long substring that
-distinct pages repeat is removed. A large host is sorted in slices whose repeats are counted together, so that neither
+Text in menus, headers, footers, sidebars, notices, adverts, forms and comments goes, and prose (paragraphs, headings,
+quotations) of an article or main element is kept. What markup leaves open is judged by the host's repeats: the token
+streams of the host's pages are concatenated, their suffixes are sorted, and long substrings that distinct pages repeat
+are boilerplate. They are removed from pages without such an element; in an article a loose block (one that stands in
+a plain container) goes if they cover all of it. A large host is sorted in slices whose repeats are counted together, so that neither
 a host nor a repeat is bound to one task.
 """
 
@@ -42,6 +43,7 @@ APART = frozenset(
     "subscribe subscription signup login share sharing social related recommended recommendations pagination pager toolbar skip search form "
     "comment comments commentlist disqus reply replies respond discussion contentinfo complementary dialog".split()
 )
+PROSE = frozenset("article main p h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption dd dt".split())
 TALK = frozenset("comment comments commentlist disqus reply replies respond discussion related recommended recommendations".split())
 CONTENT = frozenset("article post entry content main story".split())
 
@@ -89,9 +91,12 @@ def _kind(tag: str, attributes: str, around: str) -> str | None:
     return None
 
 
-def blocks_of(page: str) -> tuple[list[str], list[tuple[str, bool]], bool]:
-    """Main blocks, the other blocks with whether they may count (outside menus and the like), and whether there is a main element."""
+def blocks_of(page: str) -> tuple[list[str], list[tuple[str, bool]], bool, list[bool]]:
+    """Main blocks, the other blocks with whether they may count (outside menus and the like), whether there is a main
+    element, and which main blocks are loose."""
     main: list[str] = []
+    loose: list[bool] = []
+    container = ""  # the plain container that was opened last, until prose begins or it ends
     other: list[tuple[str, bool]] = []
     zones: list[Zone] = []
     held: list[str] = []
@@ -104,6 +109,7 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[str, bool]], bool]:
             if text:
                 if kind == "main" or kind == "head" and heading:
                     main.append(text)
+                    loose.append(bool(container))
                 elif kind != "head":
                     other.append((text, kind == "open"))
 
@@ -134,6 +140,8 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[str, bool]], bool]:
                     del zones[inner:]
             if tag in HEADINGS:
                 heading = False
+            if tag == container:
+                container = ""
         else:
             while zones and zones[-1].tag in ("p", "li", "dt", "dd") and (tag == zones[-1].tag or zones[-1].tag == "p" and tag in BLOCKS):
                 zones.pop()
@@ -151,10 +159,14 @@ def blocks_of(page: str) -> tuple[list[str], list[tuple[str, bool]], bool]:
                         break
             if tag in HEADINGS:
                 heading = True
+            if tag in PROSE:
+                container = ""
+            elif tag in BLOCKS:
+                container = tag
         kind = zones[-1].kind if zones else "open"
     held.append(page[at:])
     flush()
-    return main, other, any_main
+    return main, other, any_main, loose
 
 
 def token_hashes(texts: list[str]) -> list[np.ndarray]:
@@ -197,27 +209,42 @@ def sorted_suffixes(tokens: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, n
     return suffixes, heads
 
 
-def _stream_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The token stream of each page outside its main element, and its blocks where it has none."""
+def content_key(streams: list[np.ndarray]) -> int:
+    """A signed 64-bit hash of token streams read one after the other; copies of a page have the same."""
+    tokens = np.concatenate(streams) if streams else np.zeros(0, np.uint64)
+    places = np.arange(1, len(tokens) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    total = np.uint64(len(tokens)) + np.sum(mixed(tokens ^ mixed(places, 82), 83), dtype=np.uint64)
+    return int(mixed(np.array([total]), 84).view(np.int64)[0])
+
+
+def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page parsed once: the tokens outside its main element, a key of what may be its article, and its blocks.
+
+    Where markup settles everything the page has its text at once; else `texts` are the blocks in question, by `role`,
+    and the stream begins with the tokens of those that are not prose.
+    """
     for whole in batches:
         for batch in pieces(whole, "html", 1 << 20):
-            streams, counts, texts, counted, lack = [], [], [], [], []
+            streams, counts, keys, done, texts, roles = [], [], [], [], [], []
             for page in batch.column("html").to_pylist():
-                _, other, any_main = blocks_of(page or "")
-                hashes = token_hashes([t for t, _ in other])
-                stream = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+                main, other, any_main, loose = blocks_of(page or "")
+                outside, inside = token_hashes([t for t, _ in other]), token_hashes(main) if any_main else []
+                parts = [h for h, own in zip(inside, loose) if own] + outside
+                stream = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
                 streams.append(stream.tobytes())
                 counts.append(len(stream))
-                lack.append(not any_main)
-                texts.append([] if any_main else [t for t, _ in other])
-                counted.append([] if any_main else [c for _, c in other])
+                keys.append(content_key(inside if any_main else [h for h, (_, c) in zip(outside, other) if c]))
+                done.append("\n".join(main) if any_main and not any(loose) else None)
+                texts.append([] if done[-1] is not None else main if any_main else [t for t, _ in other])
+                roles.append([] if done[-1] is not None else [LOOSE if own else KEPT for own in loose] if any_main else [OPEN if c else APART_TEXT for _, c in other])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("page_id", "url", "host", "page")), pa.array(streams, pa.binary()), pa.array(counts, pa.int64()), pa.array(lack), pa.array(texts, pa.list_(pa.string())), pa.array(counted, pa.list_(pa.bool_()))],
-                ["page_id", "url", "host", "page", "stream", "n_tokens", "lacks_main", "texts", "counted"],
+                [*(batch.column(c) for c in ("page_id", "url", "host")), pa.array(keys, pa.int64()), pa.array(streams, pa.binary()), pa.array(counts, pa.int64()), pa.array(done, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(roles, pa.list_(pa.int8()))],
+                ["page_id", "url", "host", "page", "stream", "n_tokens", "text", "texts", "roles"],
             )
 
 
-STREAMS = "page_id long, url string, host string, page long, stream binary, n_tokens long, lacks_main boolean, texts array<string>, counted array<boolean>"
+STREAMS = "page_id long, url string, host string, page long, stream binary, n_tokens long, text string, texts array<string>, roles array<byte>"
+KEPT, LOOSE, OPEN, APART_TEXT = range(4)  # prose of an article, its loose blocks; where there is no article, text that may count and text that may not
 
 
 def _repeat_rows(group: pa.Table) -> pa.Table:
@@ -238,10 +265,10 @@ def _repeat_rows(group: pa.Table) -> pa.Table:
 
 
 def _kept_rows(pages: pa.Table, repeats: pa.Table) -> pa.Table:
-    """The text of pages without a main element, less the tokens in repeated windows."""
+    """The text of pages that markup does not settle, less what lies in repeated windows."""
     known = np.unique(np.asarray(repeats.column("gram"), np.int64)).view(np.uint64)
     out = []
-    for stream, texts, counted in zip(*(pages.column(c).to_pylist() for c in ("stream", "texts", "counted"))):
+    for stream, texts, roles in zip(*(pages.column(c).to_pylist() for c in ("stream", "texts", "roles"))):
         tokens = np.frombuffer(stream, np.uint64)
         found = np.flatnonzero(np.isin(windows(tokens), known))
         covered = np.zeros(len(tokens) + 1, np.int64)
@@ -249,52 +276,41 @@ def _kept_rows(pages: pa.Table, repeats: pa.Table) -> pa.Table:
         np.add.at(covered, found + REPEAT, -1)
         free = np.cumsum(covered[:-1]) == 0
         kept, at = [], 0
-        for text, counts in zip(texts, counted):
+        for text, role in zip(texts, roles):
+            if role == KEPT:
+                kept.append(text)
+                continue
             words = text.split(" ")
             own = free[at : at + len(words)]
             at += len(words)
-            if counts and own.any():
-                kept.append(" ".join(w for w, f in zip(words, own.tolist()) if f))
+            if own.any() and role != APART_TEXT:
+                kept.append(text if role == LOOSE else " ".join(w for w, f in zip(words, own.tolist()) if f))
         out.append("\n".join(kept))
     return pa.table({"page_id": pages.column("page_id"), "url": pages.column("url"), "text": pa.array(out, pa.string())})
 
 
-def _main_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in pieces(whole, "html", 1 << 20):
-            rows, texts = [], []
-            for i, page in enumerate(batch.column("html").to_pylist()):
-                main, _, any_main = blocks_of(page or "")
-                if any_main:
-                    rows.append(i)
-                    texts.append("\n".join(main))
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("page_id").take(at), batch.column("url").take(at), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-
 def main_text(pages: DataFrame, slice_tokens: int = SLICE_TOKENS) -> DataFrame:
     """One row per row of `pages` (page_id, url, html): page_id, url, text, n_chars.
 
-    Null html is empty, with empty text. A page without a host (null or odd url) belongs to the host "". Rows that
-    repeat a page_id and url are one page, whose text is not boilerplate for repeating itself. A line break is white
-    space inside its block. Text of an article or main element is never taken for boilerplate.
+    Null html is empty, with empty text; an empty table has no rows. A page without a host (null or odd url) belongs to
+    the host "". Pages of a host whose article (main text, or what may be it where markup is silent) is the same are one
+    page when repeats are counted, so that a copied page keeps its text. A line break is white space inside its block.
+    Prose of an article or main element is never taken for boilerplate, since articles of a host share paragraphs.
     """
     spark = pages.sparkSession
     small_batches(spark)
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    keyed = pages.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
     folder = run_folder(spark, "page-streams")
-    keyed.mapInArrow(_stream_rows, STREAMS).write.parquet(folder)
+    pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(_page_rows, STREAMS).write.parquet(folder)
     streams = spark.read.schema(STREAMS).parquet(folder)
 
     large = streams.groupBy("host").agg(F.sum("n_tokens").alias("n")).where(F.col("n") > slice_tokens).select("host", F.ceil(F.col("n") / slice_tokens).alias("slices"))
-    sliced = streams.join(broadcast_if_small(large), "host", "left").withColumn("slice", F.when(F.col("slices").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("page"), F.col("slices"))).cast("long"))
-    lacking = sliced.where("lacks_main")
-    alone = keyed.mapInArrow(_main_rows, "page_id long, url string, text string")
+    sliced = streams.join(broadcast_if_small(large), "host", "left").withColumn("slice", F.when(F.col("slices").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("page", "page_id", "url"), F.col("slices"))).cast("long"))
 
     grams = sliced.where("n_tokens > 0").select("host", "slice", "page", "stream").groupBy("host", "slice").applyInArrow(_repeat_rows, "host string, slice long, gram long, low long, high long")
     repeated = grams.groupBy("host", "gram").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("host", "gram")
     local = grams.select("host", "slice", "gram").join(repeated, ["host", "gram"], "left_semi")
-    cleaned = lacking.groupBy("host", "slice").cogroup(local.groupBy("host", "slice")).applyInArrow(_kept_rows, "page_id long, url string, text string")
-    return alone.unionAll(cleaned).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    cleaned = sliced.where("text is null").groupBy("host", "slice").cogroup(local.groupBy("host", "slice")).applyInArrow(_kept_rows, "page_id long, url string, text string")
+    settled = streams.where("text is not null").select("page_id", "url", "text")
+    return settled.unionAll(cleaned).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -81,6 +81,54 @@ def test_boilerplate_of_a_host_goes_where_markup_is_silent(spark, slice_tokens):
     assert got[101] == got[102] == [(BOILERPLATE, len(BOILERPLATE))] and got[103] == got[101] * 2
 
 
+def plain_text(rows):
+    """The rules again, page by page with sets of word tuples: what a host's distinct articles repeat."""
+    parsed = {k: (host, *html.blocks_of(page or "")) for k, (host, page) in rows.items()}
+    seen = {}
+    for host, main, other, any_main, loose in parsed.values():
+        article = tuple(main) if any_main else tuple(t for t, c in other if c)
+        words = " ".join([*(t for t, own in zip(main, loose) if own and any_main), *(t for t, _ in other)]).split()
+        for i in range(len(words) - 7):
+            seen.setdefault((host, *words[i : i + 8]), set()).add(" ".join(article))
+    out = {}
+    for k, (host, main, other, any_main, loose) in parsed.items():
+        asked = [t for t, own in zip(main, loose) if own] if any_main else [t for t, _ in other]
+        words = " ".join([*asked, *([t for t, _ in other] if any_main else [])]).split()
+        gone = {j for i in range(len(words) - 7) if len(seen[(host, *words[i : i + 8])]) > 1 for j in range(i, i + 8)}
+        kept, at = [], 0
+        for text, role in [(t, "loose" if own else "prose") for t, own in zip(main, loose)] if any_main else [(t, "open" if c else "apart") for t, c in other]:
+            if role == "prose":
+                kept.append(text)
+                continue
+            own = [w for j, w in enumerate(text.split(), at) if j not in gone]
+            at += len(text.split())
+            if own and role != "apart":
+                kept.append(text if role == "loose" else " ".join(own))
+        out[k] = "\n".join(kept)
+    return out
+
+
+def test_repeats_of_a_host_decide_as_a_plain_version_does(spark):
+    advert = "buy now the best of all goods at half the price only today"
+    copied = " ".join(f"copied{i}" for i in range(40))
+    rows = {}
+    for i in range(24):
+        body = " ".join(f"w{i}x{j}" for j in range(12 + i))
+        shared = "a quotation that several articles of the host share word for word"
+        page = f"<article><h1>T{i}</h1><p>{body}</p><p>{shared}</p><div>{advert}</div><section>own container text of number {i} stays here</section></article><footer>{BOILERPLATE}</footer>"
+        rows[i] = ("a.b", page) if i % 2 else ("c.d", f"<div>{advert}</div><p>{body}</p><div>{BOILERPLATE} {i}</div>")
+    rows[100], rows[101] = ("e.f", f"<p>{copied}</p>"), ("e.f", f"<nav>x</nav><p>{copied}</p>")  # copies, no article element
+    rows[102], rows[103] = ("g.h", f"<article><div>{copied}</div></article>"), ("g.h", f"<article><div>{copied}</div></article>")
+    rows[104] = ("a.b", "<article><p>" + "long " * 200_000 + "</p></article>")
+    pages = spark.createDataFrame([(k, f"http://{host}/{k}", page) for k, (host, page) in rows.items()], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_text(pages.repartition(5)).collect()}
+    assert got == plain_text(rows)
+    assert got[100] == got[101] == got[102] == got[103] == copied
+    assert all(advert not in got[i] for i in range(24)) and all(f"w{i}x0" in got[i] for i in range(24))
+    assert got[1].endswith("own container text of number 1 stays here") and "a quotation that several" in got[1]
+    assert len(got[104]) == 999_999
+
+
 def test_pages_have_a_row_each(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows = html.main_text(pages).collect()
