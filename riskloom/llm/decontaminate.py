@@ -3,25 +3,32 @@
 Patterns are windows of consecutive words of benchmark items. For each pattern length a shift table, indexed by a hash
 of two neighbouring words, says how far the search may jump; where it may not, the last words' hash selects a bucket
 of patterns, and the words themselves are compared. All segments of a batch are searched in step, so that the jumps
-stay array operations. Patterns come in blocks of a bounded size; a task holds one block at a time.
+stay array operations.
+
+Tasks deal the items into blocks of a checked size and build each block's tables. One block is broadcast. A benchmark
+of several is searched in as many passes over the texts, each with one block; passes write what they hit, which is
+little, and the texts never move.
 """
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.text import Words, mixed, small_batches, with_columns
+from riskloom.llm.text import Words, mixed, pieces, small_batches, with_columns
+from riskloom.operators.ranking import broadcast_if_small
+from riskloom.session import run_folder
 
 WINDOW = 10  # words of a window; an item of fewer is one window
 TABLE_BITS = 18  # entries of a shift table
-BLOCK_WORDS = 1 << 21  # words of the items of one block at most (one longer item is a block of its own)
+BLOCK_WORDS = 1 << 20  # words of the items of one block at most; longer items are cut, windows stay whole
 SEGMENT = 64  # positions that one cursor covers
 
 
@@ -91,20 +98,53 @@ def build(items: list[tuple[str, str]]) -> Block:
     return Block(lengths, np.array(first), np.concatenate(owners) if owners else np.zeros(0, np.int64), names, spelling)
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Block]:
-    """The benchmark's items in blocks; at no time more than one is held here. Item ids are compared as strings."""
-    held: list[tuple[str, str]] = []
-    weight = 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("name"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates()
-    for row in rows.toLocalIterator():
-        size = len(row["text"]) // 2 + 1  # words at most
-        if held and weight + size > BLOCK_WORDS:
-            yield build(held)
-            held, weight = [], 0
-        held.append((row["name"] if row["name"] is not None else "null", row["text"]))
-        weight += size
-    if held:
-        yield build(held)
+def _item_pieces(most: int):
+    """Items, those of more than `most` words in pieces that overlap so far that every window lies in one of them."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text"):
+                names, texts, sizes = [], [], []
+                words = Words(batch.column("text"))
+                raw = words.data.tobytes()
+                for name, a, b in zip(batch.column("name").to_pylist(), words.first[:-1].tolist(), words.first[1:].tolist()):
+                    for lo in range(a, max(a + 1, b - WINDOW + 1), most - WINDOW + 1):
+                        hi = min(lo + most, b)
+                        if lo < hi:
+                            names.append(name)
+                            texts.append(raw[words.begin[lo] : words.end[hi - 1]].decode())
+                            sizes.append(hi - lo)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["name", "text", "words"])
+
+    return rows
+
+
+def _table_rows(group: pa.Table) -> pa.Table:
+    items = list(zip(group.column("name").to_pylist(), group.column("text").to_pylist()))
+    return pa.table({"block": group.column("block")[:1], "tables": pa.array([pickle.dumps(build(items), 5)], pa.binary())})
+
+
+def blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """(block, tables), stored, and the number of blocks: items dealt by hash, more thinly until no block is too large.
+
+    Item ids are compared as strings; the tables are built by tasks, a block each.
+    """
+    spark = benchmark.sparkSession
+    small_batches(spark)
+    name = F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name")
+    folder, n = run_folder(spark, "benchmark"), 1
+    items = benchmark.select(name, F.coalesce("text", F.lit("")).alias("text")).dropDuplicates()
+    items.mapInArrow(_item_pieces(max(2 * WINDOW, BLOCK_WORDS // 8)), "name string, text string, words long").write.parquet(f"{folder}/items")
+    items = spark.read.parquet(f"{folder}/items")
+    known = items.count()
+    while True:
+        dealt = items.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(n)))
+        most = dealt.groupBy("block").agg(F.sum("words").alias("words")).agg(F.max("words")).first()[0] or 0
+        if most <= BLOCK_WORDS or n > 4 * known:
+            break
+        n *= 2
+    dealt.select("block", "name", "text").groupBy("block").applyInArrow(_table_rows, "block long, tables binary").write.parquet(f"{folder}/tables")
+    return spark.read.parquet(f"{folder}/tables"), n
 
 
 def occurrences(words: Words, patterns: Length) -> tuple[np.ndarray, np.ndarray]:
@@ -155,56 +195,117 @@ def _confirmed(words: Words, block: Block, position: np.ndarray) -> np.ndarray:
     return good
 
 
-def search(column: pa.Array, tables: list) -> list[tuple[int, int, list[str]]]:
-    """For each text the number of its words, of words hit, and the names of the items found in it."""
-    words = Words(column)
+def hits(words: Words, block: Block) -> tuple[np.ndarray, list[set[str]]]:
+    """Which words lie in an occurrence of a pattern, and for each text the names of the items found in it."""
     n = len(words.first) - 1
     text_of = np.repeat(np.arange(n), np.diff(words.first))
     hit = np.zeros(len(words.hash), bool)
     found: list[set[str]] = [set() for _ in range(n)]
-    for table in tables:
-        block = table() if callable(table) else table
-        for patterns in block.lengths:
-            at, row = occurrences(words, patterns)
-            if not len(at):
-                continue
-            mark = np.zeros(len(hit) + 1, np.int32)
+    for patterns in block.lengths:
+        at, row = occurrences(words, patterns)
+        if not len(at):
+            continue
+        mark = np.zeros(len(hit) + 1, np.int32)
+        np.add.at(mark, at - patterns.size + 1, 1)
+        np.add.at(mark, at + 1, -1)
+        position = np.flatnonzero(np.cumsum(mark[:-1]))
+        spelt = np.zeros(len(hit), bool)
+        spelt[position] = _confirmed(words, block, position)
+        if not spelt[position].all():
+            good = np.array([spelt[e - patterns.size + 1 : e + 1].all() for e in at.tolist()], bool)
+            at, row = at[good], row[good]
+            mark[:] = 0
             np.add.at(mark, at - patterns.size + 1, 1)
             np.add.at(mark, at + 1, -1)
             position = np.flatnonzero(np.cumsum(mark[:-1]))
-            spelt = np.zeros(len(hit), bool)
-            spelt[position] = _confirmed(words, block, position)
-            if not spelt[position].all():
-                good = np.array([spelt[e - patterns.size + 1 : e + 1].all() for e in at.tolist()], bool)
-                at, row = at[good], row[good]
-                mark[:] = 0
-                np.add.at(mark, at - patterns.size + 1, 1)
-                np.add.at(mark, at + 1, -1)
-                position = np.flatnonzero(np.cumsum(mark[:-1]))
-            hit[position] = True
-            window = patterns.window[row]
-            pairs = np.unique(np.stack([text_of[at], window], axis=1), axis=0)
-            for t, w in pairs.tolist():
-                found[t].update(block.names[o] for o in block.owners[block.owner_first[w] : block.owner_first[w + 1]].tolist())
-    hits = np.bincount(text_of[hit], minlength=n)
-    return [(int(b - a), int(h), sorted(names)) for a, b, h, names in zip(words.first[:-1], words.first[1:], hits, found)]
+        hit[position] = True
+        window = patterns.window[row]
+        pairs = np.unique(np.stack([text_of[at], window], axis=1), axis=0)
+        for t, w in pairs.tolist():
+            found[t].update(block.names[o] for o in block.owners[block.owner_first[w] : block.owner_first[w + 1]].tolist())
+    return hit, found
+
+
+def search(column: pa.Array, block: Block) -> list[tuple[int, int, list[str]]]:
+    """For each text the number of its words, of words hit, and the names of the items found in it."""
+    words = Words(column)
+    hit, found = hits(words, block)
+    upto = np.append(0, np.cumsum(hit))
+    return [(b - a, int(upto[b] - upto[a]), sorted(names)) for a, b, names in zip(words.first[:-1].tolist(), words.first[1:].tolist(), found)]
+
+
+HITS = "digest string, spans array<struct<lo: int, hi: int>>, items array<string>"
+
+
+def _pass_rows(table):
+    """Texts to those that a block hits: a digest of the text, its runs of words hit, and the items."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = pickle.loads(table.value)
+        for whole in batches:
+            for batch in pieces(whole, "text", 1 << 20):
+                words = Words(batch.column("text"))
+                hit, found = hits(words, block)
+                digests, spans, items = [], [], []
+                for k in [k for k, names in enumerate(found) if names]:
+                    own = np.concatenate([[0], hit[words.first[k] : words.first[k + 1]].view(np.int8), [0]])
+                    edges = np.flatnonzero(np.diff(own)).tolist()
+                    digests.append(hashlib.sha256(batch.column("text")[k].as_py().encode()).hexdigest())
+                    spans.append([{"lo": lo, "hi": hi} for lo, hi in zip(edges[::2], edges[1::2])])
+                    items.append(sorted(found[k]))
+                kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], ["digest", "spans", "items"])
+
+    return rows
+
+
+def _in_passes(docs: DataFrame, tables: DataFrame) -> DataFrame:
+    """`with_hits` for a benchmark of several blocks. What a pass finds depends on the text alone, so it is kept by text."""
+    spark = docs.sparkSession
+    folder = run_folder(spark, "benchmark-hits")
+    numbers = [row["block"] for row in tables.select("block").orderBy("block").collect()]
+    for number in numbers:
+        table = spark.sparkContext.broadcast(bytes(tables.where(F.col("block") == number).first()["tables"]))
+        docs.where("text is not null").select("text").mapInArrow(_pass_rows(table), HITS).write.parquet(f"{folder}/block={number}")
+        table.destroy()
+    found = spark.read.schema(HITS + ", block long").option("basePath", folder).parquet(*(f"{folder}/block={number}" for number in numbers))
+    once = found.groupBy("digest", "block").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+    merged = once.groupBy("digest").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    counted = F.aggregate(
+        "spans",
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")),
+        lambda seen, span: F.struct(
+            (seen["n"] + F.greatest(F.lit(0), span["hi"] - F.greatest(span["lo"], seen["upto"]))).alias("n"), F.greatest(span["hi"], seen["upto"]).alias("upto")
+        ),
+    )["n"]
+    merged = merged.select("digest", counted.cast("long").alias("n_hit"), "items")
+    held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), F.sha2("text", 256).alias("digest"))
+    joined = held.join(broadcast_if_small(merged), "digest", "left")
+    own = [F.col("doc")[c].alias(c) for c in docs.columns if c not in ("_n_words", "_n_hit", "_items")]
+    # Fixed: what is not in [\x00-\x2F\x3A-\x60\x7B-\x7F] once A-Z are lower case.
+    words = F.regexp_count(F.coalesce(F.col("doc")["text"], F.lit("")), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]++")).cast("long")
+    none = F.array().cast("array<string>")
+    return joined.select(*own, words.alias("_n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("_n_hit"), F.coalesce("items", none).alias("_items"))
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` with `_n_words`, `_n_hit` and `_items` (ids of items found in the text, sorted as strings).
 
     Null text has no words. An item without words has no window; an item without an id counts under the name null;
-    repeated items count once. Without items nothing is hit. Other columns pass through.
+    repeated items count once. Without items nothing is hit. Other columns pass through; of the names of the new ones
+    the old ones go.
     """
-    small_batches(docs.sparkSession)
-    held = [docs.sparkSession.sparkContext.broadcast(block) for block in blocks(benchmark)]
+    tables, n = blocks(benchmark)
+    if n > 1:
+        return _in_passes(docs, tables)
+    stored = tables.first()
+    held = docs.sparkSession.sparkContext.broadcast(bytes(stored["tables"]) if stored else pickle.dumps(build([])))
 
     def compute():
-        # Several blocks are read from the executor's copies again and again, so that one is in memory at a time.
-        tables = [b.value for b in held] if len(held) < 2 else [partial(b.load_from_path, b._path) for b in held]
+        block = pickle.loads(held.value)
 
         def columns(batch: pa.RecordBatch) -> list[pa.Array]:
-            out = search(batch.column("text"), tables)
+            out = search(batch.column("text"), block)
             return [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string())))]
 
         return columns

@@ -150,16 +150,19 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
 def with_columns(docs: DataFrame, fields: list[tuple[str, str]], compute: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], most: int = 1 << 20) -> DataFrame:
     """`docs` with further columns that `compute` derives from its text; all other columns pass through unmoved.
 
-    `fields` are (name, type); `compute` is called once in each task and returns what turns a batch into the columns.
+    `fields` are (name, type); `compute` is called once in each task and returns what turns a batch into the columns. As
+    with `withColumn`, a new column replaces an old one of its name.
     """
-    wanted = T.StructType([*docs.schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in fields)])
+    new = {name for name, _ in fields}
+    passed = [c for c in docs.columns if c not in new]
+    wanted = T.StructType([*(docs.schema[c] for c in passed), *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in fields)])
     arrow = to_arrow_schema(wanted)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = compute()
         for whole in batches:
             for batch in pieces(whole, "text", most):
-                columns = [*batch.columns, *own(batch)]
+                columns = [*(batch.column(c) for c in passed), *own(batch)]
                 yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
 
     return docs.mapInArrow(rows, wanted)

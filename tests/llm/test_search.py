@@ -35,17 +35,14 @@ def plain_search(texts, items):
 def test_search_finds_what_comparing_all_windows_finds():
     rnd = random.Random(5)
     letters = ["a", "b", "Cé", "d1", "E", "漢"]
-    for trial in range(120):
+    for _ in range(120):
         items = [(str(i), " ".join(rnd.choice(letters) for _ in range(rnd.choice([0, 1, 2, 3, 5, 9, 10, 11, 14, 40])))) for i in range(rnd.randint(1, 6))]
         texts = [None, ""]
         for _ in range(rnd.randint(1, 8)):
             own = [rnd.choice(letters) for _ in range(rnd.choice([0, 1, 5, 12, 200]))]
             own[len(own) // 2 : len(own) // 2] = rnd.choice(items)[1].split()
             texts.append(rnd.choice([" ", "-", "\n. "]).join(own))
-        tables = [decontaminate.build(items)]
-        if trial % 2:  # the same in several blocks
-            tables = [decontaminate.build(items[:2]), *([decontaminate.build(items[2:])] if items[2:] else [])]
-        assert decontaminate.search(pa.array(texts, pa.string()), tables) == plain_search(texts, items)
+        assert decontaminate.search(pa.array(texts, pa.string()), decontaminate.build(items)) == plain_search(texts, items)
 
 
 def test_words_of_equal_hash_are_told_apart_by_their_spelling(monkeypatch):
@@ -53,14 +50,14 @@ def test_words_of_equal_hash_are_told_apart_by_their_spelling(monkeypatch):
     monkeypatch.setattr("riskloom.llm.text.run_hashes", first)
     table = decontaminate.build([("x", "aa bb cc dd ee ff gg hh ii jj")])
     texts = ["aa bb cc dd ee ff gg hh ii jj kk", "aa bb cc dd ee ff gg hh ii zz"]
-    assert [x[1:] for x in decontaminate.search(pa.array(texts), [table])] == [(10, ["x"]), (0, [])]
+    assert [x[1:] for x in decontaminate.search(pa.array(texts), table)] == [(10, ["x"]), (0, [])]
 
 
 def test_contamination_with_several_blocks_and_odd_rows(spark, odd, monkeypatch):
     rows = [(1, "two three four five six seven eight nine ten ELEVEN twelve"), (1, "two three four five six seven eight nine ten ELEVEN twelve"), (2, "word"), (3, None), (None, "lorem ipsum"), (4, "?!")]
     items = spark.createDataFrame(rows, "item_id long, text string")
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 3)
-    assert len(list(decontaminate.blocks(items))) > 1
+    assert decontaminate.blocks(items)[1] > 1
     found = {r.doc_id: r for r in decontaminate.with_hits(odd, items).where("doc_id is not null").collect()}
     assert (found[1]["_n_words"], found[1]["_n_hit"], found[1]["_items"]) == (12, 11, ["1"])
     assert found[5]["_items"] == ["2"] and found[3]["_n_words"] == found[4]["_n_words"] == 0
@@ -69,6 +66,32 @@ def test_contamination_with_several_blocks_and_odd_rows(spark, odd, monkeypatch)
     assert decontaminate.report(odd.limit(0), items).count() == 0
 
 
+@pytest.mark.parametrize("block_words", [1 << 20, 240])
+def test_passes_find_what_one_block_finds(spark, odd, monkeypatch, block_words):
+    """Items cut into pieces and dealt into blocks; a text that rows repeat, nulls, and old columns of the new names."""
+    rnd = random.Random(7)
+    draw = lambda n: " ".join(f"{rnd.choice('abcdé漢')}{rnd.randint(0, 300)}" for _ in range(n))
+    items = [(str(i), draw(rnd.choice([3, 9, 10, 60, 700]))) for i in range(40)] + [("0", draw(50))]
+    texts = [None, "", draw(500)]
+    for _ in range(60):
+        words = draw(rnd.randint(0, 80)).split()
+        for _ in range(rnd.randint(0, 3)):
+            own, at = rnd.choice(items)[1].split(), rnd.randint(0, len(words))
+            lo = rnd.randint(0, max(0, len(own) - 10))
+            words[at:at] = own[lo : lo + rnd.randint(8, 60)]
+        texts += [rnd.choice([" ", " - ", "\n"]).join(words)] * rnd.choice([1, 1, 4])
+    docs = spark.createDataFrame([(i, t, -1, "x") for i, t in enumerate(texts)], "doc_id long, text string, _n_hit long, digest string")
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
+    tables, n = decontaminate.blocks(benchmark)
+    assert (n > 1) == (block_words < 1000)
+    got = {r.doc_id: r for r in decontaminate.with_hits(docs.repartition(4), benchmark).collect()}
+    assert len(got) == len(texts) and {r["digest"] for r in got.values()} == {"x"}
+    want = plain_search(texts, items)
+    assert [(got[i]["_n_words"], got[i]["_n_hit"], got[i]["_items"]) for i in range(len(texts))] == want
+    assert sum(hit > 0 for _, hit, _ in want) > 30
+
+
 @pytest.fixture(scope="module")
 def both():
     from tokenizers import Tokenizer
