@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -31,4 +32,6 @@ def odd(spark):
         (8, "lorem ipsum dolor " * 60_000, "en", None, None, None),
         (9, "x" * 300_000, "en", None, None, None),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, keep_id string, kept boolean")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, keep_id string, kept boolean")
+    clashing = "n_tokens ids ids_sha256 others digest _score _n_words _n_hit _items _ids _decoded _bag _n block words spans row key group class gram".split()
+    return docs.select("*", *(F.lit(f"own {name}").alias(name) for name in clashing))
