@@ -53,30 +53,22 @@ def keyed_digest(value: str, salt: str) -> int:
     return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8, person=salt.encode()).digest(), "big")
 
 
-def keyed_fraction(value: Column, salt: str) -> Column:
-    @F.pandas_udf("double")
-    def fraction(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else keyed_digest(v, salt) / 2**64)
+def card_ends() -> np.ndarray:
+    """Where in [0, 1) the ranges of all cards but the last end.
 
-    return fraction(value)
-
-
-def keyed_choice(value: Column, salt: str, n: int) -> Column:
-    @F.pandas_udf("int")
-    def choice(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else keyed_digest(v, salt) % n).astype("Int32")
-
-    return choice(value)
+    Cards have ranges one behind the other, as wide as their weight rank ** -CARD_WEIGHT_EXPONENT has a share in all
+    weights; the last one takes whatever is left.
+    """
+    upto = np.cumsum(np.arange(1.0, CARD_COUNT + 1) ** -CARD_WEIGHT_EXPONENT)
+    return (upto / upto[-1])[:-1]
 
 
 def card_table(spark: SparkSession) -> DataFrame:
     """For each of BINS equal parts of [0, 1): the cards whose range ends before it, and the ends inside it.
 
-    Cards have ranges of [0, 1) one behind the other, as wide as their weight rank ** -CARD_WEIGHT_EXPONENT
-    has a share in all weights. As many rows as bins, whatever the data.
+    As many rows as bins, whatever the data.
     """
-    upto = np.cumsum(np.arange(1.0, CARD_COUNT + 1) ** -CARD_WEIGHT_EXPONENT)
-    ends = (upto / upto[-1])[:-1]  # the last card takes whatever is left
+    ends = card_ends()
     edges = np.searchsorted((ends * BINS).astype(int), np.arange(BINS + 1))
     rows = [(b, int(edges[b]), ends[edges[b] : edges[b + 1]].tolist()) for b in range(BINS)]
     return spark.createDataFrame(rows, "_bin int, _before int, _ends array<double>")
@@ -95,18 +87,43 @@ def pick(names: tuple[str, ...], number: Column) -> Column:
     return F.get(F.array(*(F.lit(n) for n in names)), number.cast("int"))  # null for null, unlike element_at
 
 
+def keyed_identity(own: Column) -> Column:
+    """Card, merchant and country of an id by the keyed hash, as one struct: one call for a batch, one hash for an id of it."""
+
+    @F.pandas_udf("card_id string, merchant string, country string")
+    def identity(ids: pd.Series) -> pd.DataFrame:
+        which, names = pd.factorize(ids)  # null is -1
+        drawn = lambda salt: np.array([keyed_digest(name, salt) for name in names], np.uint64)
+        cards = [f"card-{rank:05d}" for rank in np.searchsorted(card_ends(), drawn("card") / 2.0**64, side="right")]
+        home = {card: HOME_COUNTRIES[keyed_digest(card, "home") % len(HOME_COUNTRIES)] for card in set(cards)}
+        abroad = drawn("abroad") / 2.0**64 < FOREIGN_SHARE
+        away = drawn("country") % np.uint64(len(FOREIGN_COUNTRIES))
+        known = pd.DataFrame(
+            {
+                "card_id": cards,
+                "merchant": [MERCHANTS[k] for k in (drawn("merchant") % np.uint64(len(MERCHANTS))).tolist()],
+                "country": [FOREIGN_COUNTRIES[k] if out else home[card] for k, out, card in zip(away.tolist(), abroad, cards)],
+            },
+            dtype=object,
+        )
+        return known.reindex(which).where(lambda cells: cells.notna(), None).reset_index(drop=True)
+
+    return identity(own)
+
+
 def with_identities(df: DataFrame, id_column: str = "transaction_id", keyed: bool = False) -> DataFrame:
     """Adds `card_id`, `merchant` and `country`. They depend on the id alone: merchant
-    is uniform, the home country follows the card, a few transactions are abroad."""
-    fraction = keyed_fraction if keyed else sql_fraction
-    choice = keyed_choice if keyed else (lambda value, salt, n: F.pmod(sql_digest(value, salt), F.lit(n)))
+    is uniform, the home country follows the card, a few transactions are abroad. Without an id all three are null."""
     own = F.col(id_column)
-    carded = with_card(df, fraction(own, "card"))
-    home = pick(HOME_COUNTRIES, choice(F.col("card_id"), "home", len(HOME_COUNTRIES)))
-    abroad = pick(FOREIGN_COUNTRIES, choice(own, "country", len(FOREIGN_COUNTRIES)))
+    if keyed:
+        known = df.withColumn("_known", keyed_identity(own))
+        return known.withColumns({name: F.col("_known")[name] for name in ("card_id", "merchant", "country")}).drop("_known")
+    choice = lambda value, salt, names: pick(names, F.pmod(sql_digest(value, salt), F.lit(len(names))))
+    carded = with_card(df, sql_fraction(own, "card"))
+    abroad, home = choice(own, "country", FOREIGN_COUNTRIES), choice(F.col("card_id"), "home", HOME_COUNTRIES)
     return carded.withColumns(
         {
-            "merchant": pick(MERCHANTS, choice(own, "merchant", len(MERCHANTS))),
-            "country": F.when(fraction(own, "abroad") < FOREIGN_SHARE, abroad).otherwise(home),
+            "merchant": choice(own, "merchant", MERCHANTS),
+            "country": F.when(sql_fraction(own, "abroad") < FOREIGN_SHARE, abroad).otherwise(home),
         }
     )

@@ -32,6 +32,11 @@ def expected_path(rows: int) -> float:
     return 2.0 * (math.log(rows - 1) + EULER_GAMMA) - 2.0 * (rows - 1) / rows
 
 
+def deepest(rows: int) -> int:
+    """The depth at which a tree over this many rows ends; growing and walking must agree on it."""
+    return max(1, math.ceil(math.log2(max(rows, 2))))
+
+
 def samples(df: DataFrame, row_id: str, features: Column, trees: int, sample_rows: int, seed: int) -> DataFrame:
     """(tree, x) with at most `sample_rows` rows per tree, chosen by hash.
 
@@ -83,7 +88,7 @@ class IsolationForest:
             for _, part in self.nodes.sort_values(["tree", "node"]).groupby("tree")
         ]
         shared = df.sparkSession.sparkContext.broadcast(tables)
-        depth = max(1, math.ceil(math.log2(max(self.sample_rows, 2))))
+        depth = deepest(self.sample_rows)
         usual = expected_path(self.sample_rows)
 
         @F.pandas_udf("double")
@@ -95,7 +100,8 @@ class IsolationForest:
                 for _ in range(depth):  # leaves lead to themselves
                     at = np.where(x[every, feature[at]] <= cut[at], below[at], above[at])
                 total += path[at]
-            return pd.Series(-(2.0 ** (-(total / len(shared.value)) / usual)))
+            share = total / len(shared.value) / usual if usual else np.ones(len(x))  # of one row no path is unusual
+            return pd.Series(-(2.0 ** -share))
 
         return df.withColumn(name, isolation(features))
 
@@ -103,17 +109,20 @@ class IsolationForest:
 def fit_forest(
     normal: DataFrame, row_id: str, features: Column, trees: int = 200, sample_rows: int = 256, seed: int = 42
 ) -> IsolationForest:
-    """Trees grown one per group, in parallel; only their node rows come back."""
-    limit = max(1, math.ceil(math.log2(max(sample_rows, 2))))
+    """Trees grown one per group, in parallel; only their node rows come back.
+
+    With fewer rows than a sample asks for, depth and usual path are those of the rows there are.
+    """
+    known = min(sample_rows, normal.count())
+    if not known:
+        raise ValueError("there are no normal rows to grow trees from")
+    limit = deepest(known)
 
     def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         return grow(int(key[0]), np.stack(part["x"].to_numpy()).astype("float64"), limit, seed)
 
     drawn = samples(normal, row_id, features, trees, sample_rows, seed)
-    nodes = drawn.groupBy("tree").applyInPandas(fit, NODE_SCHEMA).toPandas()
-    if nodes.empty:
-        raise ValueError("there are no normal rows to grow trees from")
-    return IsolationForest(nodes, min(sample_rows, normal.count()))
+    return IsolationForest(drawn.groupBy("tree").applyInPandas(fit, NODE_SCHEMA).toPandas(), known)
 
 
 def forest_risk(forest: IsolationForest, normal: DataFrame, scored: DataFrame, features: Column) -> DataFrame:

@@ -7,6 +7,7 @@ import json
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import rules as R
@@ -15,12 +16,13 @@ from riskloom.operators import evaluation as E
 from riskloom.operators import forest as IF
 from riskloom.operators import models as M
 from riskloom.operators import prep
+from riskloom.operators.ranking import with_constants
 from riskloom.plans import sql
 from riskloom.plans.messaging import _BROKEN, messages
 from riskloom.plans.quality import rounded
 from riskloom.plans.registry import query
 from riskloom.plans.tables import LIMITS, THRESHOLDS, VERSION, WINDOWS, stub_risk, table
-from riskloom.session import run_folder, ship
+from riskloom.session import checkpointed, run_folder, ship
 from riskloom.sources import messages as msg
 from riskloom.streaming import jobs as J
 
@@ -113,6 +115,31 @@ def forest_quality(spark, sf_dir):
     return rounded(E.metrics(scored, "risk", "label"), "pr_auc", "pr_auc_baseline", "roc_auc")
 
 
+@query(
+    """SELECT count(*) AS rows, count(*) FILTER (WHERE label = 0) AS normals, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS inversions,
+  CAST(0 AS BIGINT) AS odd_paths, true AS normals_spread_evenly FROM embeddings"""
+)
+def forest_facts(spark, sf_dir):
+    """What must hold whatever trees are drawn: risks lie in [0, 1] and follow the raw scores, half of the normals have a
+    risk above one half, and vectors without outliers have raw scores near -0.5, the usual path."""
+    ship(spark)
+    rows = forest_rows(spark, sf_dir)
+    normal = prep.normal_only(rows, "label")
+    scored = checkpointed(IF.forest_risk(IF.fit_forest(normal, "vec_id", F.col("x")), normal, rows, F.col("x")).select("label", "raw", "risk"))
+    strange = scored.groupBy((-F.col("raw")).alias("strange")).agg(F.min("risk").alias("least"), F.max("risk").alias("most"))
+    bins = strange.groupBy(F.floor(F.col("most") * 1024).alias("bin")).agg(F.min("strange").alias("low"), F.max("strange").alias("high"), F.count_if(F.col("least") < F.col("most")).alias("within"))
+    before = F.max("high").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))  # at most 1,025 rows
+    inversions = bins.withColumn("before", before).agg((F.count_if(F.col("low") <= F.col("before")) + F.sum("within")).alias("inversions"))
+    total = scored.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("label") == 0).alias("normals"),
+        F.count_if(~F.col("risk").between(0, 1)).alias("outside"),
+        (F.abs(F.avg(F.when(F.col("label") == 0, (F.col("risk") > 0.5).cast("int"))) - 0.5) < 0.1).alias("normals_spread_evenly"),
+        F.count_if(~F.col("raw").between(-0.75, -0.35)).alias("odd_paths"),
+    )
+    return with_constants(total, inversions)
+
+
 @query()
 def contamination_offset(spark, sf_dir):
     ship(spark)

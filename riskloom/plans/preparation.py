@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import datetime
+from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions import identities as I
 from riskloom.functions.scalars import clock_angle, cyclical_time, finite_frame, utc_timestamp
 from riskloom.operators import explore as X
 from riskloom.operators import prep
+from riskloom.operators.ranking import with_constants
 from riskloom.plans import sql
 from riskloom.plans.registry import query
 from riskloom.plans.quality import rounded
 from riskloom.plans.tables import table, transactions
-from riskloom.session import ship
+from riskloom.session import checkpointed, ship
 from riskloom.sources import replay
 
 LINE_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -180,6 +184,54 @@ def robust_scale(spark, sf_dir):
     return rounded(out.select("transaction_id", F.col("Amount").alias("scaled")), "scaled")
 
 
+_VECTORS = """t AS (SELECT vec_id, vec_id * 977.0 AS t, abs(CAST(embedding[29] AS DOUBLE)) * 1000 AS amount, embedding AS e, CASE WHEN label = 0 THEN 0 ELSE 1 END AS y FROM embeddings),
+ h AS (SELECT *, CAST(('0x' || substr(sha256('42|' || vec_id), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496.0 AS h FROM t),
+ r AS (SELECT *, CAST((row_number() OVER (PARTITION BY y ORDER BY h, vec_id) - 1) % 5 AS INT) AS fold FROM h),
+ q AS (SELECT k.fold, quantile_cont(ln(1 + amount), 0.25) AS a, quantile_cont(ln(1 + amount), 0.5) AS m, quantile_cont(ln(1 + amount), 0.75) AS b
+   FROM (SELECT DISTINCT fold FROM r) k JOIN r ON r.fold <> k.fold GROUP BY k.fold)"""
+
+
+def _folded_vectors(spark, sf_dir):
+    """Embeddings as labelled transactions with all raw features; each row's fold is settled once."""
+    e = lambda k: F.col("embedding")[k].cast("double")
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        (F.col("vec_id") * 977.0).alias("Time"),
+        *(e(k).alias(name) for k, name in enumerate(prep.V_COLUMNS)),
+        (F.abs(e(28)) * 1000).alias("Amount"),
+        F.when(F.col("label") == 0, 0).otherwise(1).alias(prep.TARGET),
+    )
+    return checkpointed(prep.folds(rows, prep.TARGET, "vec_id"))
+
+
+@query(
+    sql.with_(
+        _VECTORS,
+        """SELECT vec_id, r.fold, round((ln(1 + amount) - m) / CASE WHEN b = a THEN 1 ELSE b - a END, 6) AS "Amount",
+  round(sin(2 * pi() * (t % 86400) / 86400), 6) AS time_sin, round(cos(2 * pi() * (t % 86400) / 86400), 6) AS time_cos, """
+        + ", ".join(f'round(CAST(e[{k}] AS DOUBLE), 6) AS "V{k}"' for k in range(1, 29))
+        + " FROM r JOIN q ON r.fold = q.fold",
+    )
+)
+def model_inputs_by_fold(spark, sf_dir):
+    """The 31 model columns of each row, by inputs that are fitted on the rows of the other folds."""
+    folded = _folded_vectors(spark, sf_dir)
+    parts = []
+    for k in range(5):
+        fitted = prep.ModelInputs().fit(prep.features_only(folded.where(F.col("fold") != k)))
+        parts.append(fitted.transform(folded.where(F.col("fold") == k)).select("vec_id", "fold", vector_to_array("features").alias("x")))
+    columns = [F.round(F.col("x")[k], 6).alias(name) for k, name in enumerate(prep.MODEL_FEATURES)]
+    return reduce(DataFrame.unionAll, parts).select("vec_id", "fold", *columns)
+
+
+@query(sql.with_(_VECTORS, "SELECT fold, round(a, 6) AS q25, round(m, 6) AS q50, round(b, 6) AS q75 FROM q"))
+def scaling_by_fold(spark, sf_dir):
+    """The three constants that each fold's inputs learn."""
+    folded = _folded_vectors(spark, sf_dir)
+    learnt = [(k, *prep.fit_scaling(folded.where(F.col("fold") != k)).values()) for k in range(5)]
+    return rounded(spark.createDataFrame(learnt, "fold int, q25 double, q50 double, q75 double"), "q25", "q50", "q75")
+
+
 def _fraction_sql(value, salt):
     return f"CAST(('0x' || substr(sha256('{salt}|' || {value}), 1, 13))::UBIGINT AS BIGINT)"
 
@@ -214,6 +266,30 @@ def keyed_identities(spark, sf_dir):
     return I.with_identities(events(spark, sf_dir).select("transaction_id"), keyed=True)
 
 
+@query(
+    """WITH o AS (SELECT o_orderkey, count(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS rows, count(*) AS ids, CAST(0 AS BIGINT) AS unstable, CAST(0 AS BIGINT) AS strangers, CAST(0 AS BIGINT) AS moved_cards, true AS few_abroad FROM o"""
+)
+def keyed_identity_facts(spark, sf_dir):
+    """What must hold whatever the hash is, over ids that rows repeat: an id has one identity, out of the known names,
+    a card has one home, and about FOREIGN_SHARE of the ids are abroad."""
+    ship(spark)
+    ids = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("test-row-"), "l_orderkey").alias("transaction_id"))
+    made = I.with_identities(ids, keyed=True).groupBy("transaction_id", "card_id", "merchant", "country").agg(F.count(F.lit(1)).alias("n"))
+    at_home = F.col("country").isin(*I.HOME_COUNTRIES)
+    known = (at_home | F.col("country").isin(*I.FOREIGN_COUNTRIES)) & F.col("merchant").isin(*I.MERCHANTS) & F.col("card_id").rlike("^card-0[0-4][0-9]{3}$")
+    homes = made.groupBy("card_id").agg((F.count_distinct(F.when(at_home, F.col("country"))) > 1).cast("long").alias("moved")).agg(F.sum("moved").alias("moved_cards"))
+    per_id = made.groupBy("transaction_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("identities"), F.count_if(~known).alias("strangers"), F.max((~at_home).cast("int")).alias("abroad"))
+    total = per_id.agg(
+        F.sum("n").alias("rows"),
+        F.count(F.lit(1)).alias("ids"),
+        F.count_if(F.col("identities") > 1).alias("unstable"),
+        F.sum("strangers").alias("strangers"),
+        (F.abs(F.avg("abroad") - I.FOREIGN_SHARE) < 6 * F.sqrt(F.lit(I.FOREIGN_SHARE) / F.count(F.lit(1)))).alias("few_abroad"),
+    )
+    return with_constants(total, homes)
+
+
 # -------------------------------------------------------------------- replay
 _POSITIONS = sql.TX + ", p AS (SELECT *, row_number() OVER (ORDER BY amount, event_id) - 1 AS position FROM tx)"
 

@@ -1,6 +1,7 @@
 import json
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -152,6 +153,24 @@ def test_counter_means(spark):
 
 
 # ---------------------------------------------------------------- identities
+def test_keyed_identities_of_repeated_and_missing_ids(spark):
+    def plain(own):
+        u = I.keyed_digest(own, "card") / 2**64
+        card = sum(1 for end in I.card_ends() if end <= u)
+        name = f"card-{card:05d}"
+        merchant = I.MERCHANTS[I.keyed_digest(own, "merchant") % 12]
+        if I.keyed_digest(own, "abroad") / 2**64 < 0.03:
+            return name, merchant, I.FOREIGN_COUNTRIES[I.keyed_digest(own, "country") % 6]
+        return name, merchant, I.HOME_COUNTRIES[I.keyed_digest(name, "home") % 8]
+
+    ids = [f"test-row-{i % 400}" for i in range(900)] + [None, "", None]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(ids)], "n long, transaction_id string")
+    got = {r.n: r for r in I.with_identities(df.repartition(3), keyed=True).collect()}
+    assert [(got[i].card_id, got[i].merchant, got[i].country) for i in range(len(ids))] == [(None,) * 3 if k is None else plain(k) for k in ids]
+    assert I.with_identities(df.limit(0), keyed=True).count() == 0
+    assert I.with_identities(df.where("transaction_id is null"), keyed=True).where("country is null").count() == 2
+
+
 def test_identities(spark):
     ids = spark.range(20_000).select(F.concat(F.lit("test-row-"), "id").alias("transaction_id"))
     known = I.with_identities(ids.where("transaction_id = 'test-row-7'"), keyed=True).first()

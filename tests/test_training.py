@@ -3,6 +3,7 @@
 import inspect
 import math
 
+import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -131,3 +132,23 @@ def test_queries_train_with_all_folds_and_resamples(spark, monkeypatch, name):
         getattr(learning, name)(spark, "/root/testdata/sf0.001")
     wanted = {"max_trees": learning.TREES, "k": 5, "resamples": 1000}
     assert used and all(wanted[k] == v for u in used for k, v in u.items())
+
+
+@pytest.mark.parametrize("known", [1, 2, 50, 300])
+def test_scores_are_those_of_walks_to_a_leaf(spark, known):
+    """However few rows there are, no walk ends at a node inside a tree."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(known, 6)))], "id long, x array<double>")
+    fitted = forest.fit_forest(df, "id", F.col("x"), trees=30)
+    trees = [{n.node: n for n in part.itertuples()} for _, part in fitted.nodes.groupby("tree")]
+
+    def walked(nodes, x):
+        at = nodes[0]
+        while at.feature >= 0:
+            at = nodes[at.below if x[at.feature] <= at.cut else at.above]
+        return at.path
+
+    usual = forest.expected_path(min(known, 256))
+    for row in fitted.score(df, F.col("x")).collect():
+        mean = sum(walked(nodes, row.x) for nodes in trees) / len(trees)
+        assert row.raw == pytest.approx(-(2 ** (-mean / usual)) if usual else -0.5)
