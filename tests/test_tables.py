@@ -1,7 +1,6 @@
 import json
 from datetime import datetime, timedelta, timezone
 
-import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
