@@ -2,6 +2,7 @@
 
 import inspect
 import math
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from riskloom.operators import forest, models, prep
+from riskloom.operators import evaluation, forest, models, prep
 from riskloom.operators.ranking import hot_keys
 from riskloom.plans import learning
 
@@ -152,3 +153,21 @@ def test_scores_are_those_of_walks_to_a_leaf(spark, known):
     for row in fitted.score(df, F.col("x")).collect():
         mean = sum(walked(nodes, row.x) for nodes in trees) / len(trees)
         assert row.raw == pytest.approx(-(2 ** (-mean / usual)) if usual else -0.5)
+
+
+def test_resampling_is_dealt_out_by_its_draws(spark, monkeypatch):
+    """A scored table of one partition: tasks share the draws, and the replicates stay what they were."""
+    scored = spark.range(300).select("id", (F.col("id") % 4 == 0).cast("int").alias("y"), (F.col("id") % 37 / 37).alias("s")).coalesce(1)
+    plans, ranked = [], evaluation.ranked_scores
+
+    def seen(counted, by=()):
+        plans.append(counted._jdf.queryExecution().optimizedPlan().toString())
+        return ranked(counted, by)
+
+    monkeypatch.setattr(evaluation, "ranked_scores", seen)
+    got = []
+    for draws in (1 << 18, 1000):
+        monkeypatch.setattr(evaluation, "DRAWS_PER_TASK", draws)
+        got.append({r.replicate: r.pr_auc for r in evaluation.bootstrap_replicates(scored, "s", "y", "id", 20, 3).collect()})
+    assert got[0] == pytest.approx(got[1]) and len(got[0]) == 20
+    assert re.findall(r"RepartitionByExpression \[_y\S+, _at\S+\], (\d+)", plans[1]) == ["6"] * 3
