@@ -171,3 +171,22 @@ def test_resampling_is_dealt_out_by_its_draws(spark, monkeypatch):
         got.append({r.replicate: r.pr_auc for r in evaluation.bootstrap_replicates(scored, "s", "y", "id", 20, 3).collect()})
     assert got[0] == pytest.approx(got[1]) and len(got[0]) == 20
     assert re.findall(r"RepartitionByExpression \[_y\S+, _at\S+\], (\d+)", plans[1]) == ["6"] * 3
+
+
+def test_trees_do_not_depend_on_how_the_table_came(noisy, letters, monkeypatch):
+    """Rows are dealt out by their number, however few partitions a small table has."""
+    fitted, fit = [], models.GBTClassifier.fit
+
+    def seen(self, rows):
+        fitted.append(rows.rdd.getNumPartitions())
+        return fit(self, rows)
+
+    monkeypatch.setattr(models.GBTClassifier, "fit", seen)
+    monkeypatch.setattr(models, "ROWS_PER_TASK", 400)
+    trees = [models.fit_boosted(noisy.repartition(n), "y", "row_id", letters, max_trees=4).stages[-1] for n in (1, 5)]
+    assert fitted == [4, 4]
+    assert len({"".join(t.toDebugString.split("\n", 1)[1] for t in model.trees) for model in trees}) == 1
+
+
+def test_texts_are_counted_once(spark):
+    assert "parquet" not in learning.labelled_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
