@@ -349,3 +349,13 @@ def test_positions_from_progress(spark):
     assert M.total_lag(positions).first()[0] is None
 
 
+
+
+def test_a_row_passes_the_state_as_one_text(spark, tmp_path):
+    """A call per card costs by its columns: only those that are measured go beside the text."""
+    spark.createDataFrame([], J.CLEAN_SCHEMA).write.parquet(f"{tmp_path}/clean")
+    rows = spark.readStream.schema(J.CLEAN_SCHEMA).parquet(f"{tmp_path}/clean")
+    measured = J.live_velocity(rows, V.VelocityWindows())
+    (step,) = [line for line in measured._jdf.queryExecution().analyzed().toString().split("\n") if "FlatMapGroupsInPandasWithState" in line]
+    assert "_row#" in step and "V28#" not in step
+    assert measured.columns == [*rows.columns, "velocity"]
