@@ -136,15 +136,15 @@ def decode(messages: DataFrame, require_id: bool = True) -> DataFrame:
     an omitted id is generated before the first write.
     """
     kept = list(messages.columns)
-    text, size = F.col("value").cast("string"), F.length("value")
-    names = ("transaction_id", *ENTITIES)
-    readable = F.is_valid_utf8(text) & (size <= MAX_MESSAGE_BYTES)
+    size, names = F.length("value"), ("transaction_id", *ENTITIES)
+    step = _held(messages, _text=F.when(size <= MAX_MESSAGE_BYTES, F.try_validate_utf8(F.col("value").cast("string"))))
+    text = F.col("_text")  # null where it can't be read
     wrapped = F.concat(F.lit("["), text, F.lit("]"))
 
     # Nearly every message is fine. One typed parse and a few comparisons show it;
     # only the others are taken apart as variants to say what is wrong.
-    typed = F.from_json(F.when(readable, wrapped), _TYPED, {"allowSingleQuotes": "false"})
-    step = _held(messages, _typed=typed, _keys=F.when(readable, F.json_object_keys(text)))
+    typed = F.from_json(wrapped, _TYPED, {"allowSingleQuotes": "false"})
+    step = _held(step, _typed=typed, _keys=F.json_object_keys(text))
     step = _held(step, _quick=F.when(F.size("_typed") == 1, F.get("_typed", F.lit(0))))
     quick = lambda n: F.col(f"_quick.{n}")
     as_text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
@@ -157,7 +157,7 @@ def decode(messages: DataFrame, require_id: bool = True) -> DataFrame:
     sound.append(F.size(F.array_except("_keys", known)) == 0)
     step = _held(step, _fine=F.coalesce(reduce(lambda a, b: a & b, sound), F.lit(False)))
 
-    step = _held(step, _all=F.when(~F.col("_fine") & readable, _parsed(text)))
+    step = _held(step, _all=F.when(~F.col("_fine"), _parsed(text)))
     only = F.try_variant_get("_all", "$[1]", "variant").isNull()
     step = _held(step, _doc=F.when(only, F.try_variant_get("_all", "$[0]", "variant")))
     is_object = F.coalesce(F.schema_of_variant("_doc").startswith("OBJECT"), F.lit(False))

@@ -359,3 +359,22 @@ def test_a_row_passes_the_state_as_one_text(spark, tmp_path):
     (step,) = [line for line in measured._jdf.queryExecution().analyzed().toString().split("\n") if "FlatMapGroupsInPandasWithState" in line]
     assert "_row#" in step and "V28#" not in step
     assert measured.columns == [*rows.columns, "velocity"]
+
+
+def test_large_batches_are_dealt_out_and_sound_messages_drop_their_bytes(spark, tmp_path, monkeypatch):
+    """One file of many messages is several tasks' work, and only refused letters are kept with their bytes."""
+    rows = [message(n, f"tx-{n}", 10.0, "card-a", float(n), raw=b"not json" if n % 10 == 0 else None)[:5] for n in range(100)]
+    batch = spark.createDataFrame(rows, "key binary, value binary, topic string, partition int, offset bigint").withColumn("timestamp", F.timestamp_seconds(F.lit(BASE))).coalesce(1)
+    monkeypatch.setattr(J, "MESSAGES_PER_TASK", 30)
+    seen, dead_letters = [], M.dead_letters
+
+    def kept(refused):
+        seen.append(refused.rdd.getNumPartitions())
+        return dead_letters(refused)
+
+    monkeypatch.setattr(J.msg, "dead_letters", kept)
+    J.ingest_batch(batch, 0, J.folder_writer(f"{tmp_path}/clean"), J.folder_writer(f"{tmp_path}/dead"), f"{tmp_path}/stats")
+    assert seen == [4]
+    assert {bytes(r.value) for r in spark.read.parquet(f"{tmp_path}/dead").collect()} == {b"not json"}
+    assert spark.read.parquet(f"{tmp_path}/clean").count() == 90
+    assert spark.read.parquet(f"{tmp_path}/stats").select("consumed", "scored", "dead_lettered").first()[:] == (100, 90, 10)
