@@ -135,6 +135,31 @@ def test_queries_train_with_all_folds_and_resamples(spark, monkeypatch, name):
     assert used and all(wanted[k] == v for u in used for k, v in u.items())
 
 
+def test_train_metadata_grows_until_the_patience_runs_out(spark, monkeypatch):
+    """All six fits go on while the score rises and keep the best of all trees; no smaller number of trees ends them."""
+    number = F.col("doc_id").cast("double")
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 4 != 0).cast("int").alias("label"))
+    rows = rows.select("*", *((number * (k + 3) % 17).alias(c) for k, c in enumerate(learning.TEXT_FEATURES)))
+    asked, kept, fit, cut = [], [], models.GBTClassifier.fit, models.first_trees
+
+    def few(self, df):
+        asked.append(self.getMaxIter())
+        return fit(self.copy({self.maxIter: 2}), df)
+
+    def curve(model, judged, label):
+        return spark.createDataFrame([(1, 0.5), (min(asked[-1], 150), 0.9)], "trees int, pr_auc double")
+
+    monkeypatch.setattr(learning, "labelled_documents", lambda *_: rows)
+    monkeypatch.setattr(models.GBTClassifier, "fit", few)
+    monkeypatch.setattr(models, "boosting_curve", curve)
+    monkeypatch.setattr(models, "first_trees", lambda model, n: kept.append(n) or cut(model, 1))
+    monkeypatch.setattr(models, "at_once", lambda spark, jobs: [job() for job in jobs])
+    assert learning.train_metadata(spark, "").count() == 1
+    first, second = models.PATIENCE + models.FIRST_TREES, 2 * (models.PATIENCE + models.FIRST_TREES)
+    assert models.MAX_TREES == 2000 and learning.TREES == models.MAX_TREES
+    assert (asked, kept) == ([first, second] * 6, [150] * 6)
+
+
 @pytest.mark.parametrize("known", [1, 2, 50, 300])
 def test_scores_are_those_of_walks_to_a_leaf(spark, known):
     """However few rows there are, no walk ends at a node inside a tree."""
